@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import line_dedup, mixing, quality_rules
+from captionloom.llm import line_dedup, mixing, ngram_join, quality_rules
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_report(_documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_documents(spark, sf_dir))
 
@@ -23,5 +27,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_line_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op7_quality_rules, op8_line_dedup, op9_mixing)}
 ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
