@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import line_dedup, mixing, ngram_join, quality_rules, suffix_dedup
+from captionloom.llm import flac, line_dedup, mixing, ngram_join, pieces, quality_rules, suffix_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_report(_documents(spark, sf_dir))
 
 
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_report(_documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_documents(spark, sf_dir))
 
@@ -31,5 +35,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op5_suffix_dedup, op7_quality_rules, op8_line_dedup, op9_mixing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_report(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece)}
 ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
