@@ -20,8 +20,8 @@ PERIOD = 64
 COVER = sorted({*range(8), *range(8, PERIOD, 8)})
 #: Suffixes sorted at a time.
 BLOCK = 1 << 18
-#: Distinct strings around one anchor from which on its suffixes are dealt out by their own hash instead.
-HOT = 1024
+#: Distinct strings around one anchor from which on its suffixes are dealt out by context, STEP at a time.
+HOT, STEP = 1024, 16
 
 
 def pieces(texts: list, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -90,6 +90,9 @@ def anchored_runs(held: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 RUN = "k_id long, k_text long, start long, n int, anchor int, gram long, whole long"
 
 
+SEGMENT = "k_id long, k_text long, start long, n int, anchor int, gram long, many boolean, bytes binary"
+
+
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ids, keys = pdf["k_id"], pdf["k_text"]
@@ -108,8 +111,8 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part, rows = pdf.iloc[at : at + 200], []
             for k_id, k_text, text, asked in zip(part["k_id"], part["k_text"], part["text"], part["asked"], strict=True):
                 b = text.encode("utf-8", "replace")
-                rows += [(k_id, k_text, a["start"], a["n"], a["anchor"], a["gram"], a["many"], a["hot"], b[a["start"] : a["start"] + a["n"] + LENGTH - 1]) for a in asked]
-            yield pd.DataFrame(rows, columns=["k_id", "k_text", "start", "n", "anchor", "gram", "many", "hot", "bytes"])
+                rows += [(k_id, k_text, a["start"], a["n"], a["anchor"], a["gram"], a["many"], b[a["start"] : a["start"] + a["n"] + LENGTH - 1], a["hot"]) for a in asked]
+            yield pd.DataFrame(rows, columns=["k_id", "k_text", "start", "n", "anchor", "gram", "many", "bytes", "hot"])
 
 
 def words_at(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -190,19 +193,35 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["k_id", "k_text", "first", "end"])
 
 
-def _hot_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs around a hot anchor in; sub-runs of at most STEP windows out, aligned by their distance to the anchor.
+
+    All windows of a sub-run hold its bytes from STEP-1 to LENGTH, so equal windows have equal cores: the anchor is
+    replaced by a hash of anchor, distance and core, which spreads a hot anchor over as many buckets as it has contexts.
+    """
     for pdf in batches:
         for at in range(0, len(pdf), 2000):
             part = pdf.iloc[at : at + 2000]
-            n = part["n"].to_numpy().astype(np.int64)
             data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
             size = np.array([len(b) for b in part["bytes"]])
+            base = np.append(0, np.cumsum(size)[:-1])
             sums = prefix_hash(data)
-            other = prefix_hash((data ^ 0x5A) if len(data) else data)
-            inside = np.arange(int(n.sum())) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-            w = np.repeat(np.append(0, np.cumsum(size)[:-1]), n) + inside
-            rows = part[["k_id", "k_text", "many", "gram"]].loc[part.index.repeat(n)]
-            yield rows.assign(first=np.repeat(part["start"].to_numpy(), n) + inside, h1=span_hash(sums, w, w + LENGTH).view(np.int64), h2=span_hash(other, w, w + LENGTH).view(np.int64))
+            n, anchor = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().astype(np.int64)
+            low, high = -anchor // STEP, (n - 1 - anchor) // STEP  # window j stands at distance j - anchor
+            count = high - low + 1
+            row = np.repeat(np.arange(len(part)), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+            first = np.maximum(step * STEP + anchor[row], 0)
+            end = np.minimum((step + 1) * STEP + anchor[row], n[row])
+            block = base[row] + step * STEP + anchor[row]
+            core = span_hash(sums, block + STEP - 1, block + LENGTH)
+            whole = span_hash(sums, base[row] + first, base[row] + end + LENGTH - 1)
+            held = part.iloc[row]
+            gram = mix(held["gram"].to_numpy().view(np.uint64) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key = mix(gram + core)
+            texts = part["bytes"].tolist()
+            cut_bytes = [texts[r][f : e + LENGTH - 1] for r, f, e in zip(row.tolist(), first.tolist(), end.tolist(), strict=True)]
+            yield pd.DataFrame({"k_id": held["k_id"].to_numpy(), "k_text": held["k_text"].to_numpy(), "start": held["start"].to_numpy() + first, "n": end - first, "anchor": anchor[row] - first, "gram": key.view(np.int64), "many": held["many"].to_numpy(), "whole": mix(whole + (end - first).astype(np.uint64)).view(np.int64), "bytes": cut_bytes})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,8 +230,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Overlaps count, strings never cross documents, and all are judged on the input. Three steps, none of which holds a
     group of unbounded size: (1) runs of windows under content-defined anchors; an anchor that occurs once has no
     repeats, and equal runs repeat in full whatever their number; (2) what is left, one text per distinct run, is sorted
-    in suffix buckets by anchor (`repeated_windows`); (3) anchors with more than HOT distinct runs are dealt out by
-    window hash (128 bits) instead of in one bucket.
+    in suffix buckets by anchor (`repeated_windows`); (3) anchors with more than HOT distinct runs are first
+    split by context (`_split_hot`) and their equal sub-runs merged, so that none of them fills a bucket.
     """
     spark = docs.sparkSession
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
@@ -227,14 +246,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = classes.join(mixed, "gram").select("k_id", "k_text", F.struct("start", "n", "anchor", "gram", (F.col("held") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("a"))
     asked = asked.groupBy("k_id", "k_text").agg(F.collect_list("a").alias("asked"))
     texts = source.join(asked, same_key(source, asked)).select(source["k_id"], source["k_text"], "text", "asked")
-    segments = cut(texts.mapInPandas(_cut_out, "k_id long, k_text long, start long, n int, anchor int, gram long, many boolean, hot boolean, bytes binary"))
+    segments = cut(texts.mapInPandas(_cut_out, f"{SEGMENT}, hot boolean"))
     buckets = 4 * partitions(spark)
-    cold = segments.where(~F.col("hot")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    sorted_ = cold.groupBy("bucket").applyInPandas(_sort_bucket, SPAN)
-    windows = cut(segments.where("hot").mapInPandas(_hot_windows, "k_id long, k_text long, many boolean, gram long, first long, h1 long, h2 long"))
-    twice = windows.groupBy("gram", "h1", "h2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    dealt = windows.where(~F.col("many")).join(twice, ["gram", "h1", "h2"], "left_semi").select("k_id", "k_text", "first", (F.col("first") + LENGTH).alias("end"))
-    return equal.unionByName(sorted_).unionByName(dealt)
+    parts = cut(segments.where("hot").mapInPandas(_split_hot, f"{SEGMENT}, whole long"))
+    kinds = parts.groupBy("gram", "whole").agg((F.count("*") > 1).alias("again"), F.max("many").alias("many"), *[F.first(c).alias(c) for c in (*place, "bytes")])
+    kinds = cut(kinds)
+    twice = parts.where(~F.col("many")).join(kinds.where("again").select("gram", "whole"), ["gram", "whole"], "left_semi")
+    copied = twice.select("k_id", "k_text", F.col("start").alias("first"), (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
+    open_ = kinds.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    dealt = kinds.join(open_, "gram", "left_semi").select(*place, "gram", (F.col("again") | F.col("many")).alias("many"), "bytes")
+    cold = segments.where(~F.col("hot")).select(*dealt.columns).unionByName(dealt).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+    return equal.unionByName(copied).unionByName(cold.groupBy("bucket").applyInPandas(_sort_bucket, SPAN))
 
 
 def union_of(spans: list) -> list[tuple[int, int]]:
