@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,7 +16,7 @@ WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass looks at; a longer document is one pass of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of steps whose results are tables by now, instead of at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,12 +102,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 
 
 def slices(texts: Iterable, most: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, UTF-8 texts) of consecutive groups of about `most` bytes; null is empty."""
+    """(index of the first, UTF-8 texts) of consecutive groups of about `most` bytes, 32,768 texts at most; null is empty."""
     held: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
         b = t.encode("utf-8", "replace") if isinstance(t, str) else b""
-        if held and size + len(b) > most:
+        if held and (size + len(b) > most or len(held) >= 1 << 15):
             yield first, held
             held, size = [], 0
         if not held:

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import Words, cut, mix, partitions, row_key, same_key, slices
+from captionloom.llm.common import Words, cut, mix, partitions, release, row_key, same_key, slices
 from captionloom.llm.components import connected
 
 #: Documents that a group holds at most; a larger set of similar documents becomes several groups.
 GROUP = 96
+#: Tokens that a packed row set gathers, so that its documents are named once per bucket.
+PACKED = 1 << 20
 #: Bytes of a token that travel; the bucket holds further bits.
 TOKEN_BYTES = 6
 LOW = np.uint64((1 << 8 * TOKEN_BYTES) - 1)
@@ -73,27 +75,38 @@ def unpack_tokens(b: bytes) -> np.ndarray:
 def _postings(width: int, buckets: int) -> Callable:
     """Rows (bucket, sets, sizes, local, tokens): per slice and bucket its postings; local numbers the sets of the row."""
 
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        begin = np.cumsum([0, *(len(p[2]) for p in parts)])
+        h = np.concatenate([p[0] for p in parts])
+        doc = np.concatenate([p[1] + b for p, b in zip(parts, begin, strict=False)])
+        n, keys = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+        _, once = np.unique(keys, return_index=True)
+        fresh = np.zeros(len(n), bool)
+        fresh[once] = True
+        mine = fresh[doc]
+        h, doc = h[mine], doc[mine]
+        bucket = (h >> np.uint64(48)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        h, doc = h[order], doc[order]
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for b in range(buckets):
+            if (at := ends[b]) < (to := ends[b + 1]):
+                docs, local = np.unique(doc[at:to], return_inverse=True)
+                rows.append((b, keys[docs].tobytes(), n[docs].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), pack_tokens(h[at:to])))
+        return pd.DataFrame(rows, columns=["bucket", "sets", "sizes", "local", "tokens"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[tuple] = []
         for pdf in batches:
-            for _, held in slices(pdf["text"], 8 << 20):
+            for _, held in slices(pdf["text"]):
                 h, doc, n = shingle_sets(held, width)
-                keys = set_keys(h, doc, n)
-                _, once = np.unique(keys, return_index=True)
-                fresh = np.zeros(len(n), bool)
-                fresh[once] = True
-                mine = fresh[doc]
-                h, doc = h[mine], doc[mine]
-                bucket = (h >> np.uint64(48)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                h, doc, bucket = h[order], doc[order], bucket[order]
-                ends = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = []
-                for b in range(buckets):
-                    if (at := ends[b]) < (to := ends[b + 1]):
-                        docs, local = np.unique(doc[at:to], return_inverse=True)
-                        rows.append((b, keys[docs].tobytes(), n[docs].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), pack_tokens(h[at:to])))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["bucket", "sets", "sizes", "local", "tokens"])
+                if parts and (sum(len(p[0]) for p in parts) > PACKED or sum(len(p[2]) for p in parts) + len(n) > 0xFFFF):
+                    yield packed(parts)
+                    parts = []
+                parts.append((h, doc, n, set_keys(h, doc, n)))
+        if parts:
+            yield packed(parts)
 
     return run
 
@@ -103,7 +116,7 @@ def _shared_tokens(buckets: int) -> Callable:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         token = np.concatenate([unpack_tokens(b) for b in pdf["tokens"]])
-        at = [np.frombuffer(b, np.uint32) for b in pdf["local"]]
+        at = [np.frombuffer(b, np.uint16) for b in pdf["local"]]
         key = np.concatenate([np.frombuffer(s, np.int64)[i] for s, i in zip(pdf["sets"], at, strict=True)])
         size = np.concatenate([np.frombuffer(s, np.uint32)[i] for s, i in zip(pdf["sizes"], at, strict=True)])
         order = np.lexsort((key, token))
@@ -226,19 +239,31 @@ def _group_links(percent: int) -> Callable:
     return run
 
 
+GROUPS = "group long, pool long, root_size long, least long, most long, members array<long>, matrix array<struct<token:long,reach:long,least:long>>"
+
+
 def _make_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates sorted by component: runs of at most GROUP sets of one component become groups, named by a member."""
+    """Sets sorted by pool: runs of at most GROUP sets of one pool become groups, named by a member.
+
+    Each token of the members' prefixes has a row in the group's matrix: `reach` is how many tokens a member still has
+    from there on at most, `least` the smallest member with it.
+    """
     held: list = []
 
     def flush(rows: list) -> tuple:
-        prefixes = np.unique(np.concatenate([np.frombuffer(r.tokens, np.uint64)[: r.prefix] for r in rows]))
-        return rows[0].set_key, rows[0].root, rows[0].root_size, min(r.n for r in rows), max(r.n for r in rows), [r.set_key for r in rows], prefixes.view(np.int64)
-
-    columns = ["group", "root", "root_size", "least", "most", "members", "prefixes"]
+        token = np.concatenate([np.frombuffer(r.tokens, np.int64)[: r.prefix] for r in rows])
+        reach = np.concatenate([len(r.tokens) // 8 - np.arange(min(r.prefix, len(r.tokens) // 8)) for r in rows])
+        n = np.repeat([r.n for r in rows], [min(r.prefix, len(r.tokens) // 8) for r in rows])
+        order = np.argsort(token, kind="stable")
+        start = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
+        columns = token[order][start].tolist(), np.maximum.reduceat(reach[order], start).tolist(), np.minimum.reduceat(n[order], start).tolist()
+        return rows[0].set_key, rows[0].pool, rows[0].root_size, min(r.n for r in rows), max(r.n for r in rows), [r.set_key for r in rows], [dict(zip(("token", "reach", "least"), x, strict=True)) for x in zip(*columns, strict=True)]
+
+    columns = [c.split()[0] for c in GROUPS.split(", ")]
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            if held and (r.root != held[-1].root or len(held) >= GROUP):
+            if held and ((r.pool, r.root_size) != (held[-1].pool, held[-1].root_size) or len(held) >= GROUP):
                 out.append(flush(held))
                 held = []
             held.append(r)
@@ -247,30 +272,38 @@ def _make_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _open_groups(percent: int) -> Callable:
-    """A group's members and the queries that met it: bound by the group's token union, then open it where the bound holds."""
+    """A group's members and the queries that met it: bound by the group's token union, then open it where the bound holds.
+
+    Out come the components to join: the query's with that of each member it matches.
+    """
 
     def run(_: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         inside = [np.frombuffer(b, np.uint64) for b in members["tokens"]]
         union = np.unique(np.concatenate(inside)) if inside else np.empty(0, np.uint64)
-        n = members["n"].to_numpy()
-        out = []
-        for key, size, tokens in zip(queries["q_key"], queries["q_n"], queries["q_tokens"], strict=True):
+        n, roots = members["n"].to_numpy(), members["root"].to_numpy()
+        out: set[tuple[int, int]] = set()
+        for root, size, tokens in zip(queries["q_root"], queries["q_n"], queries["q_tokens"], strict=True):
             t = np.frombuffer(tokens, np.uint64)
             if len(union) and 100 * np.isin(t, union).sum() >= percent * size:
                 ok = matches(overlaps([t], inside), np.array([size]), n, percent)[0]
-                out += [(key, int(members["set_key"].iloc[j])) for j in np.flatnonzero(ok)[:1]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out |= {(int(root), int(x)) for x in np.unique(roots[ok]) if x != root}
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """(node, root) over set keys: components of the sets of texts that link with another set."""
-    spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+def candidate_sets(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """The distinct sets that can link with another, with the tokens they share with any other set."""
+    buckets = 2 * partitions(docs.sparkSession)
     packed = docs.select(F.col(text_col).alias("text")).mapInPandas(_postings(width, buckets), "bucket long, sets binary, sizes binary, local binary, tokens binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared_tokens(buckets), "home long, sets binary, sizes binary, local binary, tokens binary, df binary")
-    sets = cut(shared.groupBy("home").applyInPandas(_candidates(percent), CANDIDATE))
+    return cut(shared.groupBy("home").applyInPandas(_candidates(percent), CANDIDATE))
+
+
+def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+    """(node, root) over set keys: components of the sets of texts that link with another set."""
+    sets = candidate_sets(docs, text_col, width, percent)
+    release(docs.sparkSession)
     links = []
     for first, second in (("a1", "a2"), ("b1", "b2")):
         dealt = sets.select("set_key", "n", "tokens", F.col(first).alias("first"), F.col(second).alias("second"))
@@ -278,40 +311,47 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataF
         links.append(dealt.mapInPandas(_group_links(percent), "a long, b long"))
     near = cut(links[0].unionByName(links[1]))
     roots = connected(near)
-    found = sets.join(roots, sets["set_key"] == roots["node"], "left").select("set_key", "n", "prefix", "tokens", F.coalesce("root", "set_key").alias("root"))
+    found = sets.join(roots, sets["set_key"] == roots["node"], "left").select("set_key", "n", "prefix", "tokens", "a1", F.coalesce("root", "set_key").alias("root"))
     sizes = found.groupBy("root").agg(F.count("*").alias("root_size"))
-    known = cut(found.join(sizes, "root"))
-    dealt = known.repartitionByRange("root", "set_key").sortWithinPartitions("root", "set_key")
-    groups = cut(dealt.mapInPandas(_make_groups, "group long, root long, root_size long, least long, most long, members array<long>, prefixes array<long>"))
-    matrix = groups.select("group", "root", "root_size", "least", "most", F.explode("prefixes").alias("token"))
-    tokens = _prefix_rows(known)
-    asks = tokens.withColumnsRenamed({"root": "q_root", "root_size": "q_size"})
-    # Two components meet once: the smaller one asks.
-    smaller = (F.col("q_size") < F.col("root_size")) | ((F.col("q_size") == F.col("root_size")) & (F.col("q_root") < F.col("root")))
-    fits = (100 * F.col("n") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
-    met = cut(asks.join(matrix, "token").where(smaller & fits).select("set_key", "group").distinct())
-    body = known.select(F.col("set_key").alias("body_key"), "n", "tokens")
-    queries = met.join(body, F.col("set_key") == F.col("body_key")).select(F.col("group").alias("q_group"), F.col("set_key").alias("q_key"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
+    # A component is a pool of groups; sets without links so far are pooled by their first minhash.
+    known = cut(found.join(sizes, "root").withColumn("pool", F.when(F.col("root_size") > 1, F.col("root")).otherwise(F.col("a1"))).drop("a1"))
+    dealt = known.repartitionByRange("pool", "set_key").sortWithinPartitions("pool", "root_size", "set_key")
+    groups = cut(dealt.mapInPandas(_make_groups, GROUPS))
+    matrix = groups.select("group", "pool", "root_size", F.col("least").alias("g_least"), "most", F.explode("matrix").alias("m")).select("group", "pool", "root_size", "g_least", "most", "m.*")
+    asks = _prefix_rows(known)
+    # Two pools meet once: sets of smaller components ask. A component needs no look at itself.
+    first = (F.col("q_size") < F.col("root_size")) | ((F.col("q_size") == F.col("root_size")) & ((F.col("q_pool") < F.col("pool")) | ((F.col("q_pool") == F.col("pool")) & (F.col("root_size") == 1))))
+    fits = (100 * F.col("n") >= percent * F.col("g_least")) & (100 * F.col("most") >= percent * F.col("n"))
+    # From a shared token on, neither side may have too few tokens left to reach the overlap.
+    enough = (100 + percent) * F.least("q_left", "reach") >= percent * (F.col("n") + F.col("least"))
+    met = cut(asks.join(matrix, "token").where(first & fits & enough).select("set_key", "group").distinct())
+    body = known.select(F.col("set_key").alias("body_key"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
+    queries = met.join(body, F.col("set_key") == F.col("body_key")).select(F.col("group").alias("q_group"), "q_root", "q_n", "q_tokens")
     opened = groups.join(met.select("group").distinct(), "group", "left_semi").select("group", F.explode("members").alias("set_key"))
-    members = opened.join(known.select("set_key", "n", "tokens"), "set_key")
+    members = opened.join(known.select("set_key", "n", "tokens", "root"), "set_key")
     far = members.groupBy("group").cogroup(queries.groupBy("q_group")).applyInPandas(_open_groups(percent), "a long, b long")
-    return connected(near.unionByName(far))
+    joined = connected(far)
+    return roots.join(joined.withColumnsRenamed({"node": "j_node", "root": "j_root"}), F.col("root") == F.col("j_node"), "left").select("node", F.coalesce("j_root", "root").alias("root")).unionByName(joined)
 
 
 def _prefix_rows(known: DataFrame) -> DataFrame:
+    """(set_key, n, q_pool, q_size, token, q_left): each set's prefix tokens, and how many tokens it has from there on."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
                 held = [np.frombuffer(t, np.int64)[:p] for t, p in zip(part["tokens"], part["prefix"], strict=True)]
-                rest = part[["set_key", "n", "root", "root_size"]]
-                yield rest.loc[rest.index.repeat([len(x) for x in held])].assign(token=np.concatenate(held) if held else [])
+                left = [len(t) // 8 - np.arange(len(h)) for t, h in zip(part["tokens"], held, strict=True)]
+                rest = part[["set_key", "n", "pool", "root_size"]].rename(columns={"pool": "q_pool", "root_size": "q_size"})
+                if held:
+                    yield rest.loc[rest.index.repeat([len(x) for x in held])].assign(token=np.concatenate(held), q_left=np.concatenate(left))
 
-    return known.mapInPandas(run, "set_key long, n long, root long, root_size long, token long")
+    return known.mapInPandas(run, "set_key long, n long, q_pool long, q_size long, token long, q_left long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(k_id, k_text, n_shingles, component_id) for every row of docs.
+    """(k_id, k_text, n_shingles, component_id, root) for every row of docs; root tells components of equal smallest id apart.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set is its distinct `width`-word shingles, or
     its whole word sequence if shorter. Two documents link when 100 * |A and B| >= percent * |A or B|; component_id is the
@@ -323,16 +363,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = set_links(docs, text_col, width, percent)
     named = seen.join(roots, seen["set_key"] == roots["node"], "left").select("k_id", "k_text", "n_shingles", F.coalesce("root", "set_key").alias("root"))
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("k_id").alias("least"))
-    return named.join(least, "root", "left").select("k_id", "k_text", "n_shingles", F.coalesce("least", "k_id").alias("component_id"))
+    return named.join(least, "root", "left").select("k_id", "k_text", "n_shingles", F.coalesce("least", "k_id").alias("component_id"), "root")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of each component the row with the smallest id stays (one row, if rows repeat it)."""
     found = near_components(docs, id_col, text_col, width, percent)
-    stays = found.where(F.col("k_id").eqNullSafe(F.col("component_id"))).select("k_id", "k_text").distinct()
-    first = stays.groupBy("k_id").agg(F.min("k_text").alias("k_text"))
+    first = found.where(F.col("k_id").eqNullSafe(F.col("component_id")))
+    alone = F.when(F.col("root").isNull(), F.col("k_text"))
+    stays = cut(first.groupBy("k_id", "root", alone.alias("alone")).agg(F.min("k_text").alias("k_text"), F.count("*").alias("rows")))
+    repeated = stays.where("rows > 1").limit(1).count()
+    release(docs.sparkSession)
     keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col))
-    return keyed.join(first, same_key(keyed, first), "left_semi").select("row.*").dropDuplicates([id_col])
+    out = keyed.join(stays, same_key(keyed, stays), "left_semi").select("row.*")
+    return out.dropDuplicates([id_col, text_col]) if repeated else out
 
 
 def near_report(docs: DataFrame) -> DataFrame:
