@@ -11,6 +11,8 @@ from captionloom.llm.common import LOWER, UPPER, cut
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: A host is blocked if the lower bound of its rate of bad pages, Z deviations under the mean, reaches BOUND.
 BOUND, Z = 0.5, 1.645
+#: Labelled pages that a prior weighs at least, so that one page alone blocks no host.
+LEAST = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -48,7 +50,7 @@ def _strength(groups: DataFrame, mean: Column) -> float:
         return 10.0
     # E[(rate - mean)^2] = mean(1-mean) * (1 + (n-1) rho) / n, summed over groups with weight n
     rho = (r["spread"] - r["within"] * r["groups"] / r["n"]) / max(r["within"] * (1 - r["groups"] / r["n"]), 1e-12)
-    rho = min(max(rho, 1e-3), 0.9)
+    rho = min(max(rho, 1e-3), 1 / (1 + LEAST))
     return 1 / rho - 1
 
 
