@@ -21,11 +21,11 @@ def read_caption_files(spark: SparkSession, path: str, exts: Iterable[str] = EXT
     """(job_id, path, ext, content) of the files with these extensions under path; job_id is the file's folder.
 
     The scan prunes by extension before it reads a file's bytes. Text is UTF-8; a byte-order mark and bytes that don't
-    decode are dropped.
+    decode are dropped. Files of no bytes have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    clean = F.regexp_replace(F.coalesce(F.try_validate_utf8(F.decode("content", "UTF-8")), F.lit("")), "�|^﻿", "")
+    clean = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\x{FFFD}|^\x{FEFF}", "")
     wanted = files.where(ext.isin(*[e.lower() for e in exts]))
     return wanted.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"), "path", ext.alias("ext"), clean.alias("content"))
 

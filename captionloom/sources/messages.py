@@ -10,11 +10,13 @@ from captionloom.functions.text import to_jsonable
 
 
 def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Typed message columns and `bad_json` from a column of JSON texts; invalid JSON is flagged, not a failure."""
-    parsed = F.from_json(F.col(value).cast("string"), f"{MESSAGE_IN}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    out = lines.select(F.col(value).cast("string").alias("raw"), parsed.alias("m"))
-    flat = out.select("raw", "m.*")
-    return flat.withColumn("bad_json", F.col("_bad").isNotNull() | ~F.trim("raw").startswith("{")).drop("_bad")
+    """Typed message columns, `raw` and `bad_json` from a column of JSON texts; what is no JSON object is flagged, not a failure.
+
+    A field of another type than its column's is read as text where that is possible, else as null.
+    """
+    raw = F.col(value).cast("string")
+    broken = F.try_parse_json(raw).isNull() | ~F.trim(raw).startswith("{")
+    return lines.select(raw.alias("raw"), F.from_json(raw, MESSAGE_IN).alias("m"), broken.alias("bad_json")).select("raw", "m.*", "bad_json")
 
 
 def read_chunk_messages(spark: SparkSession, path: str) -> DataFrame:
