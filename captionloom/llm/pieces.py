@@ -17,8 +17,8 @@ from captionloom.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose ids a worker remembers between batches; of pairs of pieces, twice as many.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers between batches; of pairs of pieces, four times as many.
+REMEMBERED = 300_000
 NONE = -1
 
 
@@ -47,8 +47,8 @@ class Vocabulary:
         self.points = np.zeros((len(order), self.longest), np.int64)  # code points plus 1; 0 behind the end
         for k, t in enumerate(order):
             self.points[k, : len(t)] = [ord(c) + 1 for c in t]
-        self.words: dict[str, list[int]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.pairs, self.pair_ok = np.empty(0, np.int64), np.empty(0, bool)  # sorted
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE: join the best-scored neighbours, leftmost first, until none is a piece."""
@@ -62,15 +62,19 @@ class Vocabulary:
 
     def adjacent(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """May the right piece follow the left one? Only if BPE leaves the two as they are when they stand alone."""
-        key, inverse = np.unique(left * (1 << 20) + right, return_inverse=True)
-        known = np.empty(len(key), bool)
-        for k, pair in enumerate(key.tolist()):
-            ok = self.pairs.get(pair)
-            if ok is None:
+        asked = left * (1 << 20) + right
+        at = np.searchsorted(self.pairs, asked)
+        missing = np.append(self.pairs, -1)[at] != asked
+        if missing.any():
+            new = np.unique(asked[missing])
+            ok = []
+            for pair in new.tolist():
                 a, b = self.text[pair >> 20], self.text[pair & 0xFFFFF]
-                ok = self.pairs[pair] = self.merged(a + b) == [a, b]
-            known[k] = ok
-        return known[inverse]
+                ok.append(a + b not in self.score and self.merged(a + b) == [a, b])
+            where = np.searchsorted(self.pairs, new)
+            self.pairs, self.pair_ok = np.insert(self.pairs, where, new), np.insert(self.pair_ok, where, ok)
+            at = np.searchsorted(self.pairs, asked)
+        return self.pair_ok[at]
 
 
 @functools.cache
@@ -88,8 +92,11 @@ def packed(symbols: np.ndarray) -> list[np.ndarray]:
 
 def in_alphabet(v: Vocabulary, alphabet: np.ndarray, kind: type) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The pieces that the alphabet spells: their numbers and the least and greatest symbols that begin with them."""
-    at = np.minimum(np.searchsorted(alphabet, v.points), len(alphabet) - 1)
-    spelled = np.flatnonzero((alphabet[at] == v.points).all(axis=1))
+    place = np.full(0x110001, -1, np.int32)
+    place[alphabet] = np.arange(len(alphabet))
+    place[0] = 0
+    at = place[v.points]
+    spelled = np.flatnonzero((at >= 0).all(axis=1))
     symbols = at[spelled].astype(kind)
     behind = np.arange(v.longest) >= v.sorted_len[spelled, None]
     return spelled, packed(symbols), packed(np.where(behind, np.iinfo(kind).max, symbols).astype(kind))
@@ -111,8 +118,8 @@ def rank_in(keys: list[np.ndarray], asked: list[np.ndarray], right: bool) -> np.
     return lo
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Ids of each word, by itself.
+def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
+    """Ids of each word, by itself, as 32-bit integers.
 
     The words are one text; its suffixes are sorted as deep as the longest piece, every piece finds its range by binary
     search, and the ranges' positions are edges. Edges are sorted by their end and relaxed: an edge extends the encoding
@@ -146,7 +153,7 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
     end = begin + np.append(length, np.ones(len(lone), np.int64))
     word = np.searchsorted(start, begin, side="right") - 1
     step = end - start[word]
-    by_step = np.lexsort((begin, step))
+    by_step = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
     begin, end, piece, step, word = begin[by_step], end[by_step], piece[by_step], step[by_step], word[by_step]
     bounds = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step))
     last = np.full(n + 1, -3, np.int64)  # the last piece of the prefix that ends here; NONE: an unknown character
@@ -162,36 +169,49 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[list[int]]:
         e = end[a:b][ok]
         last[e], back[e] = p[ok], s[ok]
         # `last` of a word's first position would be read as the word before's end; words are a separator apart.
-    out: list[list[int]] = []
-    for w, at, k in zip(words, start.tolist(), size.tolist(), strict=True):
+    # All words walk back from their ends together; what they pass, sorted by position, is their ids.
+    at, floor = start + size, start
+    passed = []
+    while len(at):
+        passed.append(back[at])
+        at = back[at]
+        more = at > floor
+        at, floor = at[more], floor[more]
+    where = np.sort(np.concatenate(passed)) if passed else np.empty(0, np.int64)
+    taken = last[_end_of(where, start, size)]
+    first = np.searchsorted(where, start)
+    stop = np.append(first[1:], len(where))
+    raw = taken.astype("<i4").tobytes()
+    out = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+    for k in np.unique(np.searchsorted(start, where[taken == NONE], side="right") - 1).tolist():
         ids: list[int] = []
-        e = at + k
-        while e > at:
-            p, s = int(last[e]), int(back[e])
-            if p >= 0:
-                ids.append(p)
-            else:
-                ids += [v.byte_id[x] for x in reversed(w[s - at : e - at].encode("utf-8", "replace"))]
-            e = s
-        out.append(ids[::-1])
+        for s, t in zip(where[first[k] : stop[k]].tolist(), taken[first[k] : stop[k]].tolist(), strict=True):
+            ids += [t] if t >= 0 else [v.byte_id[x] for x in words[k][s - start[k]].encode("utf-8", "replace")]
+        out[k] = np.array(ids, "<i4").tobytes()
     return out
 
 
-def spaced(v: Vocabulary, unit: str) -> list[int]:
+def _end_of(where: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Where the pieces that begin at these sorted positions end: at the next one's begin, or the word's end."""
+    word = np.searchsorted(start, where, side="right") - 1
+    end = start[word] + size[word]
+    follows = np.append(where[1:], -1)
+    inside = np.append(word[1:] == word[:-1], False) if len(word) else np.empty(0, bool)
+    return np.where(inside, follows, end)
+
+
+def spaced(v: Vocabulary, unit: str) -> bytes:
     """Ids of a unit with several spaces before its word: one may belong to the word, the others are runs."""
     word = unit.lstrip(SPACE)
     n = len(unit) - len(word)
-    ids = v.words[SPACE + word] if word else []
-    if ids and ids[0] == v.id_of[SPACE]:
+    ids = np.frombuffer(v.words[SPACE + word], "<i4") if word else np.empty(0, "<i4")
+    if len(ids) and ids[0] == v.id_of[SPACE]:
         ids = ids[1:]
-    elif ids:
+    elif len(ids):
         n -= 1
-    out, most = [], max(v.runs)
-    while n > 0:  # equal scores: runs join from the left, up to the longest run that is a piece
-        k = min(n, most)
-        out.append(v.runs[k])
-        n -= k
-    return out + ids
+    most = max(v.runs)  # equal scores: runs join from the left, up to the longest run that is a piece
+    runs = [v.runs[most]] * (n // most) + ([v.runs[n % most]] if n % most else [])
+    return np.append(np.array(runs, "<i4"), ids).astype("<i4").tobytes()
 
 
 def encode_batch(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
@@ -203,15 +223,15 @@ def encode_batch(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     cut = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     if len(v.words) > REMEMBERED:
         v.words.clear()
-    if len(v.pairs) > 2 * REMEMBERED:
-        v.pairs.clear()
+    if len(v.pairs) > 4 * REMEMBERED:
+        v.pairs, v.pair_ok = v.pairs[:0], v.pair_ok[:0]
     unseen = set(itertools.chain.from_iterable(cut)) - v.words.keys()
     gaps = [u for u in unseen if u.startswith(SPACE * 2) or u == SPACE]
     fresh = sorted(({SPACE + w for u in gaps if (w := u.lstrip(SPACE))} | unseen.difference(gaps)) - v.words.keys())
     if fresh:
         v.words.update(zip(fresh, encode_words(v, fresh), strict=True))
     v.words.update({u: spaced(v, u) for u in gaps})
-    return [np.fromiter(itertools.chain.from_iterable(map(v.words.__getitem__, u)), np.int32) for u in cut]
+    return [np.frombuffer(b"".join(map(v.words.__getitem__, u)), "<i4") for u in cut]
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -227,7 +247,7 @@ def encode_column(model: str):
         v = vocabulary(model)
         for texts in batches:
             ids, same = [], []
-            for _, held in slices(texts, 4 << 20):
+            for _, held in slices(texts, 2 << 20):
                 plain = [b.decode("utf-8") for b in held]
                 got = encode_batch(v, plain)
                 ids += got
