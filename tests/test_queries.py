@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from captionloom.plans import queries as plans
+from captionloom.plans import stream_queries  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
