@@ -24,7 +24,7 @@ RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|iframe)\b
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?][^>]*(?:>|$)|([^<]+|<)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-PATH_DIM, WORD_DIM, EXTRA_DIM = 160, 32, 6
+PATH_DIM, WORD_DIM, EXTRA_DIM = 384, 32, 6
 INPUTS = PATH_DIM + WORD_DIM + EXTRA_DIM
 HIDDEN = 12
 
@@ -193,16 +193,17 @@ def padded(pages: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # What page builders call the parts of a page that are not its article.
 SIDE = {
-    "nav": ("nav", "div.menu", "ul.navigation", "div.navbar", "div#nav", "ol.breadcrumb", "div.topnav", "div.main-menu"),
-    "header": ("header", "div.header", "div#masthead", "div.site-header", "div.topbar", "div#header"),
-    "footer": ("footer", "div.footer", "div#footer", "div.site-footer", "div.copyright", "div.bottom"),
-    "aside": ("aside", "div.sidebar", "div#sidebar", "aside.widget", "div.related", "section.recommended", "div.popular"),
-    "ad": ("div.ad", "div.advert", "div.ads", "div.sponsored", "aside.promo", "div.banner", "div#ad", "section.advertisement"),
-    "notice": ("div.notice", "div.cookie-notice", "div.alert", "div.cookies", "div.consent", "div.gdpr", "section.announcement", "div.popup"),
-    "form": ("form", "form.search", "div.newsletter", "form.subscribe", "div.signup", "form.login", "div.share", "div.social"),
-    "comments": ("section.comments", "div#comments", "div.comment", "ol.comment-list", "div.replies", "section#disqus", "div.reader-comments"),
+    "nav": ("nav", "div.menu", "ul.navigation", "div.navbar", "div#nav", "div.nav", "ol.breadcrumb", "div.breadcrumbs", "div.topnav", "div.main-menu", "ul.menu", "div.pagination", "nav.pager"),
+    "header": ("header", "div.header", "div#masthead", "div.site-header", "div.topbar", "div#header", "div.page-header"),
+    "footer": ("footer", "div.footer", "div#footer", "div.site-footer", "div.copyright", "div.bottom", "div.legal", "div.foot"),
+    "aside": ("aside", "div.sidebar", "div#sidebar", "aside.widget", "div.widget", "div.related", "section.recommended", "div.popular", "div.side", "div.teaser", "div.trending", "ul.related-posts"),
+    "ad": ("div.ad", "div.advert", "div.ads", "div.sponsored", "aside.promo", "div.banner", "div#ad", "section.advertisement", "div.ad-slot", "div.promotion", "div.commercial"),
+    "notice": ("div.notice", "div.cookie-notice", "div.alert", "div.cookies", "div.cookie-banner", "div.consent", "div.gdpr", "section.announcement", "div.popup", "div.warning", "div.privacy", "div.message"),
+    "form": ("form", "form.search", "div.newsletter", "form.subscribe", "div.signup", "form.login", "div.login", "div.share", "div.social", "div.form", "form.contact", "div.subscribe"),
+    "comments": ("section.comments", "div#comments", "div.comment", "ol.comment-list", "ul.comments", "div.replies", "div.reply", "section#disqus", "div.reader-comments", "div.discussion", "div.responses", "div.feedback"),
 }
-MAIN = ("article", "main", "main/article", "div.content", "div#content", "div.post", "div.article-body", "section.story", "div.entry-content", "article.post")
+MAIN = ("article", "main", "main/article", "div.content", "div#content", "div.post", "div.article-body", "section.story", "div.entry-content", "article.post", "div.text", "div.main", "div#main", "section.article", "div.page-content", "div.blog-post", "div.post-body", "div.news-item", "div", "section")
+FRAME = ("div.container", "div#page", "div.wrapper", "div.layout", "div.site", "div#wrap", "div.row")
 
 
 def _element(spec: str, inside: str) -> str:
@@ -262,6 +263,8 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
         body += side("comments")
     page = before + _element(r.choice(MAIN), body)
     page += "".join(side(k) for k in ("aside", "ad", "comments", "form", "footer") if r.random() < 0.5)
+    if r.random() < 0.4:
+        page = _element(r.choice(FRAME), page)
     return f"<html><head><title>x</title></head><body>{page}</body></html>", labels
 
 
@@ -312,7 +315,7 @@ def extract(model: Labeller, htmls: list[str], group: int = 128) -> list[str]:
     at = 0
     while at < len(order):
         size = 1
-        while at + size < len(order) and size < group and (size + 1) * len(pages[order[at + size]]) <= 20_000:
+        while at + size < len(order) and size < group and (size + 1) * len(pages[order[at + size]]) <= 8_000:
             size += 1
         part = order[at : at + size]
         x, mask = padded([pages[k] for k in part], features([pages[k] for k in part]))
