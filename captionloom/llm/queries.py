@@ -56,4 +56,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece)}
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
