@@ -22,8 +22,13 @@ def is_uuid(c: Column) -> Column:
 def url_uuid(name: Column) -> Column:
     """Version 5 UUID of a name in the URL namespace, as 32 hex digits."""
     digest = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(name, "UTF-8")))
-    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
+
+    def told(h: Column) -> Column:
+        variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+        return F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 14, 3), variant, F.substring(h, 18, 15))
+
+    # The digest is named once, as an array's element: used five times it would be written five times, nested ids more.
+    return F.get(F.transform(F.array(digest), told), F.lit(0))
 
 
 def dashed(c: Column) -> Column:
