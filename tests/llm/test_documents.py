@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from captionloom.llm import common, flac, line_dedup, mixing, ngram_join, pieces, quality_rules, suffix_dedup
@@ -60,11 +62,36 @@ def test_ngram_join(docs, empty):
     assert ngram_join.near_report(empty).count() == 0
 
 
-def test_ngram_join_small_groups(docs, monkeypatch):
+def test_runs_longer_than_a_group_hang_together(monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", 3)
-    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_report(docs).collect()}
-    want = brute.components(ROWS)
-    assert got == {(i, len(brute.shingles(t)), want[k]) for k, (i, t) in enumerate(ROWS)}
+    r = random.Random(6)
+    core = [r.getrandbits(62) for _ in range(100)]
+    sets = [sorted(core[: 100 - k % 4] + [r.getrandbits(62) for _ in range(k % 5)]) for k in range(20)]
+    pdf = pd.DataFrame({"set_key": range(20), "n": [len(x) for x in sets], "tokens": [np.array(x, np.uint64).tobytes() for x in sets], "first": 1, "second": range(20)})
+    links = pd.concat(ngram_join._group_links(80)(iter([pdf.iloc[:7], pdf.iloc[7:]])))
+    reached = {0}
+    for _ in range(20):
+        reached |= {b for a, b in links.itertuples(index=False) if a in reached} | {a for a, b in links.itertuples(index=False) if b in reached}
+    assert reached == set(range(20)) and len(links) == 19
+
+
+def test_groups_keep_every_prefix_token(monkeypatch):
+    monkeypatch.setattr(ngram_join, "GROUP", 2)
+    pdf = pd.DataFrame({"set_key": [1, 2, 3, 4], "n": [9, 8, 7, 6], "prefix": [2, 9, 1, 2], "tokens": [np.array(t, np.uint64).tobytes() for t in ([5, 6, 7], [6, 8], [5, 9], [9, 5, 6])], "pool": [1, 1, 1, 4], "root": [1, 1, 1, 4], "root_size": [3, 3, 3, 1]})
+    out = pd.concat(ngram_join._make_groups(iter([pdf.iloc[:1], pdf.iloc[1:]])))
+    got = {g: (list(m), {(x["token"], x["reach"], x["least"]) for x in t}) for g, m, t in zip(out["group"], out["members"], out["matrix"], strict=True)}
+    assert got == {1: ([1, 2], {(5, 3, 9), (6, 2, 8), (8, 1, 8)}), 3: ([3], {(5, 2, 7)}), 4: ([4], {(9, 3, 6), (5, 2, 6)})}
+
+
+def test_every_window_is_in_one_run():
+    r = random.Random(7)
+    texts = [None, "a" * 199, "b" * 200, "".join(r.choice("abcd") for _ in range(1500)), "xyz" * 300]
+    for most in (60, 301, 5000):
+        seen = []
+        for held in suffix_dedup.pieces(texts, most):
+            for x in suffix_dedup.anchored_runs(held).itertuples(index=False):
+                seen += [(x.row, x.start + k) for k in range(x.n)]
+        assert sorted(seen) == [(i, k) for i, t in enumerate(texts) for k in range(len(t or "") - 199)]
 
 
 def test_drop_near_copies(docs):
@@ -82,7 +109,6 @@ def test_suffix_dedup(docs, empty):
 
 def test_suffix_dedup_hot_anchor(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 3000)
     got = [tuple(r) for r in suffix_dedup.suffix_report(docs).collect()]
     same(got, [(i, n, gone, runs, sha(left)) for (i, _), (n, gone, runs, left) in zip(ROWS, brute.repeated_bytes([t for _, t in ROWS]), strict=True)])
 
