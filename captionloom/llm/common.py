@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy pass looks at; a longer document is one pass of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,12 +104,25 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def utf8_of(texts: pa.Array) -> Iterator[bytes | None]:
+    """UTF-8 of an Arrow batch's texts, a few at a time and without decoding them: a batch is not copied as a whole."""
+    for at in range(0, len(texts), 256):
+        yield from texts.slice(at, 256).cast(pa.binary()).to_pylist()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on and serve later stages beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(texts: Iterable, most: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, UTF-8 texts) of consecutive groups of about `most` bytes, 32,768 texts at most; null is empty."""
     held: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
-        b = t.encode("utf-8", "replace") if isinstance(t, str) else b""
+        b = t if isinstance(t, bytes) else t.encode("utf-8", "replace") if isinstance(t, str) else b""
         if held and (size + len(b) > most or len(held) >= 1 << 15):
             yield first, held
             held, size = [], 0

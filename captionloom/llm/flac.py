@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import slices
+from captionloom.llm.common import give_back, slices, utf8_of
 
 BLOCK = 4096
 RATE = 8000
@@ -284,17 +285,18 @@ def padded(b: bytes) -> bytes:
     return b + bytes(-len(b) % UNIT if b else UNIT)
 
 
-def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         out: list[bytes] = []
-        for _, held in slices(texts, CHUNK):
+        for _, held in slices(utf8_of(texts), CHUNK):
             out += encode([padded(b) for b in held])
-        yield pd.Series(out, dtype=object)
+        yield pa.array(out, pa.binary())
+        give_back()
 
 
 def flac_column(text):
     """Binary column: the text's UTF-8 bytes (null: none), zero-padded to a positive multiple of UNIT, as FLAC."""
-    return F.pandas_udf(_encode, "binary")(text)
+    return F.arrow_udf(_encode, "binary")(text)
 
 
 def _chunks(media: pd.Series) -> Iterator[list[bytes]]:

@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import Words, cut, mix, partitions, release, row_key, same_key, slices
+from captionloom.llm.common import Words, cut, give_back, mix, partitions, release, row_key, same_key, slices, utf8_of
 from captionloom.llm.components import connected
 
 #: Documents that a group holds at most; a larger set of similar documents becomes several groups.
@@ -50,14 +51,15 @@ def set_keys(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _sizes(width: int) -> Callable:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            n_all, key_all = [], []
-            for _, held in slices(texts):
+            n_all, key_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for _, held in slices(utf8_of(texts)):
                 h, doc, n = shingle_sets(held, width)
                 n_all.append(n)
                 key_all.append(set_keys(h, doc, n))
-            yield pd.DataFrame({"n": np.concatenate(n_all or [np.empty(0, np.int64)]), "set_key": np.concatenate(key_all or [np.empty(0, np.int64)])})
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (n_all, key_all)], ["n", "set_key"])
+            give_back()
 
     return run
 
@@ -75,7 +77,7 @@ def unpack_tokens(b: bytes) -> np.ndarray:
 def _postings(width: int, buckets: int) -> Callable:
     """Rows (bucket, sets, sizes, local, tokens): per slice and bucket its postings; local numbers the sets of the row."""
 
-    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         begin = np.cumsum([0, *(len(p[2]) for p in parts)])
         h = np.concatenate([p[0] for p in parts])
         doc = np.concatenate([p[1] + b for p, b in zip(parts, begin, strict=False)])
@@ -94,31 +96,35 @@ def _postings(width: int, buckets: int) -> Callable:
             if (at := ends[b]) < (to := ends[b + 1]):
                 docs, local = np.unique(doc[at:to], return_inverse=True)
                 rows.append((b, keys[docs].tobytes(), n[docs].astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), pack_tokens(h[at:to])))
-        return pd.DataFrame(rows, columns=["bucket", "sets", "sizes", "local", "tokens"])
+        kinds = [("bucket", pa.int64()), *((c, pa.binary()) for c in ("sets", "sizes", "local", "tokens"))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], [n for n, _ in kinds])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
-        for pdf in batches:
-            for _, held in slices(pdf["text"]):
+        for batch in batches:
+            for _, held in slices(utf8_of(batch.column(0))):
                 h, doc, n = shingle_sets(held, width)
                 if parts and (sum(len(p[0]) for p in parts) > PACKED or sum(len(p[2]) for p in parts) + len(n) > 0xFFFF):
                     yield packed(parts)
                     parts = []
+                    give_back()
                 parts.append((h, doc, n, set_keys(h, doc, n)))
         if parts:
             yield packed(parts)
+        parts = []
+        give_back()
 
     return run
 
 
+#: Parts that a bucket is sorted in, one after the other.
+PARTS = 8
+
+
 def _shared_tokens(buckets: int) -> Callable:
     """One bucket's postings in; out, per set bucket, the postings of tokens that two sets or more hold, with that number."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        token = np.concatenate([unpack_tokens(b) for b in pdf["tokens"]])
-        at = [np.frombuffer(b, np.uint16) for b in pdf["local"]]
-        key = np.concatenate([np.frombuffer(s, np.int64)[i] for s, i in zip(pdf["sets"], at, strict=True)])
-        size = np.concatenate([np.frombuffer(s, np.uint32)[i] for s, i in zip(pdf["sizes"], at, strict=True)])
+    def of_part(token: np.ndarray, key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((key, token))
         token, key, size = token[order], key[order], size[order]
         new = np.ones(len(token), bool)
@@ -127,10 +133,21 @@ def _shared_tokens(buckets: int) -> Callable:
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         held = np.diff(np.append(start, len(token)))
         df = np.repeat(held, held)
-        token = token | (np.uint64(int(pdf["bucket"].iloc[0]) & 0xFFFF) << np.uint64(48))
         many = df > 1
-        token, key, size, df = token[many], key[many], size[many], df[many]
-        home = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return token[many], key[many], size[many], np.minimum(df[many], 0xFFFFFFFF).astype(np.uint32)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        top = np.uint64(int(pdf["bucket"].iloc[0]) & 0xFFFF) << np.uint64(48)
+        token = np.concatenate([unpack_tokens(b) for b in pdf["tokens"]])
+        at = [np.frombuffer(b, np.uint16) for b in pdf["local"]]
+        key = np.concatenate([np.frombuffer(s, np.int64)[i] for s, i in zip(pdf["sets"], at, strict=True)])
+        size = np.concatenate([np.frombuffer(s, np.uint32)[i] for s, i in zip(pdf["sizes"], at, strict=True)])
+        part = (mix(token) % np.uint64(PARTS)).astype(np.uint8)
+        found = [of_part(*(x[part == k] for x in (token, key, size))) for k in range(PARTS) if (part == k).any()]
+        del token, key, size, part, at
+        token, key, size, df = (np.concatenate([f[j] for f in found]) for j in range(4))
+        del found
+        home = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(home, kind="stable")
         ends = np.searchsorted(home[order], np.arange(buckets + 1))
         rows = []
@@ -140,7 +157,9 @@ def _shared_tokens(buckets: int) -> Callable:
                 docs, local = np.unique(key[i], return_inverse=True)
                 sizes = np.zeros(len(docs), np.uint32)
                 sizes[local] = size[i]
-                rows.append((b, docs.tobytes(), sizes.tobytes(), local.astype(np.uint32).tobytes(), token[i].tobytes(), np.minimum(df[i], 0xFFFFFFFF).astype(np.uint32).tobytes()))
+                rows.append((b, docs.tobytes(), sizes.tobytes(), local.astype(np.uint32).tobytes(), (token[i] | top).tobytes(), df[i].tobytes()))
+        del token, key, size, df, home, order
+        give_back()
         return pd.DataFrame(rows, columns=["home", "sets", "sizes", "local", "tokens", "df"])
 
     return run
@@ -295,7 +314,7 @@ def _open_groups(percent: int) -> Callable:
 def candidate_sets(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """The distinct sets that can link with another, with the tokens they share with any other set."""
     buckets = 2 * partitions(docs.sparkSession)
-    packed = docs.select(F.col(text_col).alias("text")).mapInPandas(_postings(width, buckets), "bucket long, sets binary, sizes binary, local binary, tokens binary")
+    packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_postings(width, buckets), "bucket long, sets binary, sizes binary, local binary, tokens binary")
     shared = packed.groupBy("bucket").applyInPandas(_shared_tokens(buckets), "home long, sets binary, sizes binary, local binary, tokens binary, df binary")
     return cut(shared.groupBy("home").applyInPandas(_candidates(percent), CANDIDATE))
 
@@ -358,7 +377,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable by links. Texts without words (null, empty) have empty sets and link with nothing: their own id.
     Shingles are compared by 48 bits of hash and their bucket's, sets by 64 bits; equal sets are one node, so copies cost nothing.
     """
-    sizes = F.pandas_udf(_sizes(width), "n long, set_key long")
+    sizes = F.arrow_udf(_sizes(width), "n long, set_key long")
     seen = cut(docs.select(*row_key(id_col, text_col), sizes(F.col(text_col)).alias("s")).select("k_id", "k_text", F.col("s.n").alias("n_shingles"), F.when(F.col("s.n") > 0, F.col("s.set_key")).alias("set_key")))
     roots = set_links(docs, text_col, width, percent)
     named = seen.join(roots, seen["set_key"] == roots["node"], "left").select("k_id", "k_text", "n_shingles", F.coalesce("root", "set_key").alias("root"))

@@ -9,16 +9,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import slices
+from captionloom.llm.common import give_back, slices, utf8_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words whose ids a worker remembers between batches; of pairs of pieces, four times as many.
-REMEMBERED = 300_000
+#: Words whose ids a task remembers between batches; of pairs of pieces, four times as many.
+REMEMBERED = 250_000
+#: Characters indexed at a time.
+PORTION = 1 << 18
 NONE = -1
 
 
@@ -141,7 +144,7 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
     spelled, low, high = in_alphabet(v, alphabet, kind)
     lo, hi = rank_in(keys, low, False), rank_in(keys, high, True)
     count = hi - lo
-    which = np.repeat(np.arange(len(count)), count)
+    which = np.repeat(np.arange(len(count), dtype=np.int32), count)
     begin = order[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
     piece, length = v.sorted_ids[spelled[which]], v.sorted_len[spelled[which]]
     # A character that no piece holds is an edge of its own; its bytes become the ids.
@@ -214,6 +217,20 @@ def spaced(v: Vocabulary, unit: str) -> bytes:
     return np.append(np.array(runs, "<i4"), ids).astype("<i4").tobytes()
 
 
+def portions(words: list[str]) -> Iterator[list[str]]:
+    """The words in groups of about PORTION characters, which bounds an index."""
+    held: list[str] = []
+    size = 0
+    for w in words:
+        if held and size + len(w) > PORTION:
+            yield held
+            held, size = [], 0
+        held.append(w)
+        size += len(w) + 1
+    if held:
+        yield held
+
+
 def encode_batch(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text, as the model's own encoder gives them; empty texts have none.
 
@@ -228,8 +245,8 @@ def encode_batch(v: Vocabulary, texts: list[str]) -> list[np.ndarray]:
     unseen = set(itertools.chain.from_iterable(cut)) - v.words.keys()
     gaps = [u for u in unseen if u.startswith(SPACE * 2) or u == SPACE]
     fresh = sorted(({SPACE + w for u in gaps if (w := u.lstrip(SPACE))} | unseen.difference(gaps)) - v.words.keys())
-    if fresh:
-        v.words.update(zip(fresh, encode_words(v, fresh), strict=True))
+    for part in portions(fresh):
+        v.words.update(zip(part, encode_words(v, part), strict=True))
     v.words.update({u: spaced(v, u) for u in gaps})
     return [np.frombuffer(b"".join(map(v.words.__getitem__, u)), "<i4") for u in cut]
 
@@ -243,18 +260,26 @@ ENCODED = "token_ids array<int>, n_tokens long, round_trip boolean"
 
 
 def encode_column(model: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(model)
         for texts in batches:
-            ids, same = [], []
-            for _, held in slices(texts, 2 << 20):
+            values, counts, same = [], [], []
+            for _, held in slices(utf8_of(texts), 1 << 20):
                 plain = [b.decode("utf-8") for b in held]
-                got = encode_batch(v, plain)
-                ids += got
-                same += [decode_ids(v, i) == t for i, t in zip(got, plain, strict=True)]
-            yield pd.DataFrame({"token_ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": same})
-
-    return F.pandas_udf(run, ENCODED)
+                for ids, t in zip(encode_batch(v, plain), plain, strict=True):
+                    values.append(ids)
+                    counts.append(len(ids))
+                    same.append(decode_ids(v, ids) == t)
+            ends = np.append(0, np.cumsum(np.array(counts, np.int64))).astype(np.int32)
+            flat = np.concatenate(values) if values else np.empty(0, np.int32)
+            values.clear()
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.StructArray.from_arrays([lists, pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], ["token_ids", "n_tokens", "round_trip"])
+            give_back()
+        v.words.clear()  # the worker may go on to other work
+        give_back()
+
+    return F.arrow_udf(run, ENCODED)
 
 
 def decode_column(model: str):

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import IS_WORD, WS, Words, slices
+from captionloom.llm.common import IS_WORD, WS, Words, give_back, slices, utf8_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_alpha_words long, n_lines long, n_distinct_words long, n_symbol_words long"
 WINDOW = 5
@@ -49,15 +50,18 @@ def measure(texts: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"n_words": w.n_words, "word_chars": chars, "n_symbols": per_doc(IS_SYMBOL[w.data]), "n_dup_lines": dup, "n_repeat_words": count(repeat), "n_alpha_words": count(alpha), "n_lines": lines, "n_distinct_words": count(first), "n_symbol_words": count(symbols[w.end] > symbols[w.start])})
 
 
-def _measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    names = [x.split()[0] for x in MEASURES.split(", ")]
     for texts in batches:
-        parts = [measure(held) for _, held in slices(texts)]
-        yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[x.split()[0] for x in MEASURES.split(", ")], dtype="int64")
+        parts = [measure(held) for _, held in slices(utf8_of(texts))]
+        columns = [np.concatenate([p[n].to_numpy() for p in parts]) if parts else np.empty(0, np.int64) for n in names]
+        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+        give_back()
 
 
 def measures(text: Column) -> Column:
     """The struct MEASURES over the whole text; null and empty texts have none of anything."""
-    return F.pandas_udf(_measures, MEASURES)(text)
+    return F.arrow_udf(_measures, MEASURES)(text)
 
 
 def rules(m: Column) -> dict[str, tuple[Column, Column]]:
