@@ -125,8 +125,10 @@ def repeated_windows(segments: list[bytes], n: np.ndarray, anchor: np.ndarray) -
     """For all windows of all segments, in order: does the same LENGTH-byte string start at another window?
 
     One bucket of a blockwise suffix sort. Segments are laid out with their anchors at multiples of PERIOD. First the
-    suffixes at cover positions are ranked by LENGTH bytes; then all suffixes are sorted by their first 8 bytes, and ties
-    by the rank at the next position where both are in the cover. Neighbours in that order are compared byte by byte.
+    suffixes at cover positions are ranked by the bytes that a window can have from there on; then all suffixes are sorted
+    by their first 8 bytes, the distance to the next cover position, and the rank there of what is left of the window. So
+    equal windows, which are equally far from the cover, are neighbours whatever their period. Neighbours are compared
+    byte by byte.
     """
     size = np.array([len(b) for b in segments])
     room = -(-(anchor + 1) // PERIOD) * PERIOD - anchor  # so that room + anchor is a multiple of PERIOD
@@ -138,16 +140,22 @@ def repeated_windows(segments: list[bytes], n: np.ndarray, anchor: np.ndarray) -
     at = np.repeat(base, n) + np.arange(int(n.sum())) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
     to_cover = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])
     # Suffixes that share an anchor are equally far from it, so they meet the cover at the same offset, of 7 bytes at most.
-    meet = at + to_cover[at % PERIOD]
+    away = to_cover[at % PERIOD]
+    meet = at + away
     sample = np.unique(meet)
     keys = words_at(data, sample, LENGTH // 8)
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(sample), bool)
-    for k in keys:
+    for k in keys[:-1]:
         new[1:] |= k[order][1:] != k[order][:-1]
-    rank = np.empty(len(sample), np.int64)
-    rank[order] = np.cumsum(new)
-    order = np.lexsort([rank[np.searchsorted(sample, meet)], *words_at(data, at, 1)])
+    place, last = np.searchsorted(sample, meet), keys[-1][order]
+    rank = np.empty(len(at), np.int64)
+    for d in np.unique(away).tolist():  # the window's last d bytes from there on are not its own
+        left = last >> np.uint64(8 * d)
+        ranks = np.empty(len(sample), np.int64)
+        ranks[order] = np.cumsum(new | np.append(False, left[1:] != left[:-1]))
+        rank[away == d] = ranks[place[away == d]]
+    order = np.lexsort([rank, away, *words_at(data, at, 1)])
     same = np.ones(len(at) - 1, bool)
     for k in words_at(data, at, LENGTH // 8):
         same &= k[order][1:] == k[order][:-1]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,36 @@ def test_suffix_dedup_hot_anchor(docs, monkeypatch):
     same(got, [(i, n, gone, runs, sha(left)) for (i, _), (n, gone, runs, left) in zip(ROWS, brute.repeated_bytes([t for _, t in ROWS]), strict=True)])
 
 
+def test_suffix_dedup_short_periods():
+    """Separators and leaders before what two texts share, in all lengths: each repeated window is found by the sort."""
+    r = random.Random(11)
+    plain = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    missed = []
+    for unit in ("-", ". ", "- -", " \t ", "=-=-+", "abcdefghi"):
+        for length in (0, 5, 8, 17, 64, 70, 131, 199, 200, 230):
+            mark, shared = (unit * length)[:length], plain(400)
+            texts = [plain(r.randint(1, 90)) + mark + shared + mark + plain(r.randint(1, 90)) for _ in range(2)] + [plain(30) + mark + shared[:205] + plain(90), plain(40) + mark + plain(300)]
+            windows = [[t[k : k + 200] for k in range(len(t) - 199)] for t in texts]
+            count = Counter(w for x in windows for w in x)
+            runs = pd.concat([suffix_dedup.anchored_runs(held) for held in suffix_dedup.pieces(texts, 5000)])
+            segments = [texts[x.row][x.start : x.start + x.n + 199].encode() for x in runs.itertuples()]
+            hit = suffix_dedup.repeated_windows(segments, runs["n"].to_numpy(), runs["anchor"].to_numpy())
+            at = [(x.row, x.start + k) for x in runs.itertuples() for k in range(x.n)]
+            missed += [(unit, length, *p) for p, h in zip(at, hit, strict=True) if h != (count[windows[p[0]][p[1]]] > 1)]
+    assert not missed
+
+
+def test_suffix_dedup_separators(spark):
+    r = random.Random(12)
+    plain = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    texts = []
+    for length in (9, 70, 150):
+        shared = plain(400)
+        texts += [plain(r.randint(20, 90)) + c * length + shared + plain(50) for c in "-." for _ in range(2)]
+    got = [tuple(r) for r in suffix_dedup.suffix_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    same(got, [(i, n, gone, runs, sha(left)) for i, (n, gone, runs, left) in enumerate(brute.repeated_bytes(texts))])
+
+
 def test_line_dedup(docs, empty):
     got = [tuple(r) for r in line_dedup.line_dedup_report(docs).collect()]
     same(got, [(i, n, gone, sha(text.encode())) for (i, _), (n, gone, text) in zip(ROWS, brute.kept_lines(ROWS), strict=True)])
