@@ -54,41 +54,61 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return 1 / rho - 1
 
 
-def host_reputations(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, lower) from labelled page outcomes (host, is_bad): each host's rate of bad pages.
+def reputation_levels(outcomes: DataFrame) -> dict[str, DataFrame]:
+    """Of labelled page outcomes (host, is_bad): (key, n, bad, mean, lower) of each host under 'host', and under 'domain',
+    'suffix' and 'all' (one row, key empty) what holds for a host without labelled pages that has nothing narrower.
 
     Beta-binomial priors chain from all pages to suffix, registered domain and host: each level's mean is its own counts
     shrunk to the level above, with a concentration fitted to the spread at that level. Counts are pre-aggregated per host,
-    so a host with a third of all pages is one row; three numbers reach the driver.
+    so a host with a third of all pages is one row; a few numbers reach the driver. A host without labelled pages has the
+    mean of the level above it and the spread of all levels from there down to hosts.
     """
     hosts = cut(outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("is_bad").cast("long")).alias("bad")))
     hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    base = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
+    n, bad = total["n"] or 0, total["bad"] or 0
+    base = (bad + 1) / (n + 2)
+    means, k = {"all": hosts.sparkSession.createDataFrame([("", n, bad, base)], "key string, n long, bad long, mean double")}, {}
     above, key = None, None
     for level in ("suffix", "domain", "host"):
         groups = hosts.groupBy(level, *([key] if key else [])).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         groups = groups.withColumn("prior", F.lit(base)) if above is None else groups.join(above.select(key, F.col("mean").alias("prior")), key)
         groups = cut(groups)
-        k = _strength(groups, F.col("prior"))
-        above = groups.withColumn("mean", (F.col("bad") + k * F.col("prior")) / (F.col("n") + k)).withColumn("weight", F.col("n") + k)
+        k[level] = _strength(groups, F.col("prior"))
+        above = groups.withColumn("mean", (F.col("bad") + k[level] * F.col("prior")) / (F.col("n") + k[level]))
+        means[level] = above.select(F.col(level).alias("key"), "n", "bad", "mean")
         key = level
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return above.select("host", "n", "bad", "mean", (F.col("mean") - Z * deviation).alias("lower"))
+    spread, out = 1.0, {}
+    for level, below in (("host", None), ("domain", "host"), ("suffix", "domain"), ("all", "suffix")):
+        if below:
+            spread *= k[below] / (k[below] + 1)
+        share = F.lit(1 - spread) if below else 1 / (F.col("n") + k["host"] + 1)
+        out[level] = means[level].withColumn("lower", F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) * share))
+    return out
+
+
+def host_reputations(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad, mean, lower) from labelled page outcomes (host, is_bad): each host's rate of bad pages."""
+    return reputation_levels(outcomes)["host"].withColumnRenamed("key", "host")
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, outcomes: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, lower) for every row of pages.
 
     Pages that a rule fits get its verdict. Others are blocked if their host's reputation bound reaches BOUND, else
-    allowed; hosts without labelled pages, and URLs without a host, are allowed. outcomes (host, is_bad) are the labelled
-    pages; by default they are the pages that a rule judged. Null URLs have an empty host and path.
+    allowed; a host without labelled pages has the bound that its domain's pages give, else its suffix's, else all pages.
+    URLs without a host are allowed. outcomes (host, is_bad) are the labelled pages; by default they are the pages that a
+    rule judged. Null URLs have an empty host and path.
     """
     url = F.col(url_col)
     seen = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
     labelled = outcomes if outcomes is not None else seen.where("verdict IS NOT NULL").select("host", (F.col("verdict") == "block").alias("is_bad"))
-    known = host_reputations(labelled).select(F.col("host").alias("known_host"), "lower")
-    both = seen.join(known, F.col("host") == F.col("known_host"), "left")
+    levels, both = reputation_levels(labelled), seen
+    for level, key in (("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host")))):
+        known = levels[level].select(F.col("key").alias(f"{level}_key"), F.col("lower").alias(f"{level}_lower"))
+        both = both.join(known, (F.col("host") != "") & (key == F.col(f"{level}_key")), "left")
+    rest = F.lit(levels["all"].first()["lower"])
+    both = both.withColumn("lower", F.when(F.col("host") != "", F.coalesce("host_lower", "domain_lower", "suffix_lower", rest)))
     by_host = F.when(F.col("lower") >= BOUND, "block").otherwise("allow")
     return both.select(id_col, "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), "lower")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from captionloom.llm import html_extract, importance, url_filter
 
@@ -101,6 +102,20 @@ def test_reputations(spark):
     assert all(r.lower <= r.mean for r in got.values())
 
 
+def test_hosts_without_outcomes(spark):
+    """A new host is judged by its domain, else its suffix, else all pages; one that is known, by its own pages."""
+    rows = [(f"h{k}.bad.aa", True) for k in range(200)] + [(f"h{k}.good.aa", False) for k in range(200)] + [(f"x{k}.d{k}.cc", True) for k in range(60)] + [(f"x{k}.e{k}.dd", False) for k in range(90)] + [("ok.bad.aa", False)] * 12
+    outcomes = spark.createDataFrame(rows, "host string, is_bad boolean")
+    want = {"new.bad.aa": "block", "a.b.bad.aa": "block", "bad.aa": "block", "new.good.aa": "allow", "new.z.aa": "allow", "new.z.cc": "block", "new.z.dd": "allow", "new.z.zz": "allow"}
+    pages = spark.createDataFrame([(f"http://{h}/p",) for h in [*want, "ok.bad.aa"]] + [("no host",), (None,)], "page_id string").withColumn("url", F.col("page_id"))
+    got = {r.host: r for r in url_filter.judge_urls(pages, rules=(), outcomes=outcomes).collect()}
+    assert {h: got[h].verdict for h in want} == want
+    assert got[""].verdict == "allow" and got[""].lower is None and all(got[h].lower is not None for h in want)
+    assert got["ok.bad.aa"].lower == url_filter.host_reputations(outcomes).where("host = 'ok.bad.aa'").first().lower < got["new.bad.aa"].lower
+    all_bad = spark.createDataFrame([(f"x.d{k}.s{k}", True) for k in range(200)], "host string, is_bad boolean")
+    assert {r.verdict for r in url_filter.judge_urls(pages.where("url LIKE '%.zz/p'"), rules=(), outcomes=all_bad).collect()} == {"block"}
+
+
 # --- importance resampling
 
 def test_top_k(spark):
