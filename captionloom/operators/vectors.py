@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -93,52 +94,70 @@ def payload_filter(user_id: str | None = None, source: str | None = None, lang:
 
 #: Queries scored at a time; they are shipped to every task, so searches of more come in blocks.
 QUERY_BLOCK = 4096
+#: Scores held at a time in a task.
+SCORES = 1 << 20
+
+
+def _local_best(names: list, shared, limit: int, score_threshold: float | None, metric: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Points (id, vector) in; (query_id, id, score) of the partition's `limit` best for each query of a block out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, best = shared.value, None
+        floor = np.full(len(q), -np.inf)
+        step = max(8 * limit, SCORES // max(1, len(q)))
+        for pdf in batches:
+            for first in range(0, len(pdf) if len(q) else 0, step):
+                held = pdf.iloc[first : first + step]
+                x = np.stack(held["vector"].to_numpy()).astype(float)
+                x = unit_rows(x) if metric == "cosine" else x
+                scores = x @ q.T
+                bar = floor
+                if len(x) > 4 * limit:  # all that tie with the last kept one stay, so that ids decide
+                    bar = np.maximum(bar, np.partition(scores, len(x) - limit, axis=0)[len(x) - limit])
+                near = 1e-9 * max(1.0, np.fmax.reduce(np.abs(scores), axis=None))
+                row, col = np.nonzero(scores >= bar - near)
+                # Each pair is summed in the same order and rounded, so that equal scores tie wherever they were computed.
+                score = np.concatenate([np.zeros(0), *((x[row[a : a + 65536]] * q[col[a : a + 65536]]).sum(axis=1) for a in range(0, len(row), 65536))]).round(12)
+                part = pd.DataFrame({"q": col, "id": held["id"].to_numpy()[row], "score": score})
+                if score_threshold is not None:
+                    part = part[part["score"] >= score_threshold]
+                if not len(part):
+                    continue
+                best = part if best is None else pd.concat([best, part])
+                best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(limit)
+                full = best.groupby("q")["score"].agg(["size", "min"]).query(f"size >= {limit}")
+                floor[full.index.to_numpy()] = full["min"].to_numpy()
+        if best is not None:
+            yield pd.DataFrame({"query_id": [names[k] for k in best["q"]], "id": best["id"], "score": best["score"]})
+
+    return run
 
 
 def search_topk(points: DataFrame, queries: DataFrame, limit: int = 10, score_threshold: float | None = None, metric: str = "cosine", where: Column | None = None) -> DataFrame:
-    """(query_id, rank, id, score): the `limit` best points of each query, exactly; ties go to the smaller id.
+    """(query_id, rank, id, score): the `limit` best points of each query, exactly; ties, to 12 decimals, go to the smaller id.
 
     Points (id, vector) stay where they are: each partition multiplies them with a block of the queries (query_id,
     vector) and keeps its own best, so limit rows a query and partition are all that is shuffled. `where` filters
-    points before the search and reaches the scan. The query side goes to every task and is checked: over QUERY_BLOCK
-    queries are an error; search them in blocks.
+    points before the search and reaches the scan. The query side passes through the driver once, a partition of the
+    queries at a time, and goes to every task in blocks of QUERY_BLOCK; points are scanned once a block.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be cosine or dot")
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(QUERY_BLOCK + 1).collect()
-    if len(asked) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    names = [r["query_id"] for r in asked]
-    q = np.array([r["vector"] for r in asked], float) if asked else np.zeros((0, 1))
-    shared = points.sparkSession.sparkContext.broadcast(unit_rows(q) if metric == "cosine" and len(asked) else q)
     kind = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", points.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, best = shared.value, None
-        for pdf in batches:
-            if not len(q) or not len(pdf):
-                continue
-            x = np.stack(pdf["vector"].to_numpy()).astype(float)
-            scores = (unit_rows(x) if metric == "cosine" else x) @ q.T
-            at = np.arange(len(x))[:, None].repeat(len(q), 1)
-            if len(x) > 4 * limit:  # all that tie with the last kept one stay, so that ids decide
-                bar = np.partition(scores, len(x) - limit, axis=0)[len(x) - limit]
-                row, col = np.nonzero(scores >= bar)
-            else:
-                row, col = at.ravel(), np.tile(np.arange(len(q)), len(x))
-            part = pd.DataFrame({"q": col, "id": pdf["id"].to_numpy()[row], "score": scores[row, col]})
-            if score_threshold is not None:
-                part = part[part["score"] >= score_threshold]
-            best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(limit)
-        if best is not None:
-            yield pd.DataFrame({"query_id": [names[k] for k in best["q"]], "id": best["id"], "score": best["score"]})
-
     kept = points.where("vector IS NOT NULL")
-    local = (kept.where(where) if where is not None else kept).select("id", "vector").mapInPandas(run, schema)
+    kept = (kept.where(where) if where is not None else kept).select("id", "vector")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()
+    local = None
+    while (block := list(itertools.islice(asked, QUERY_BLOCK))) or local is None:
+        q = np.array([r["vector"] for r in block], float) if block else np.zeros((0, 1))
+        shared = points.sparkSession.sparkContext.broadcast(unit_rows(q) if metric == "cosine" and block else q)
+        found = kept.mapInPandas(_local_best([r["query_id"] for r in block], shared, limit, score_threshold, metric), schema)
+        local = found if local is None else local.unionByName(found)
+        if len(block) < QUERY_BLOCK:
+            break
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 

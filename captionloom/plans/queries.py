@@ -211,6 +211,33 @@ def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.col("payload.source").alias("source"))
 
 
+# The same three searches for the whole query set: every row whose id is divisible by 20, against all rows.
+WHOLE_TOPK_SQL = TOPK_SQL.replace("q.vec_id < 16", "q.vec_id % 20 = 0")
+
+
+def _asked_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(WHOLE_TOPK_SQL.format(where="", low=-2))
+def nearest_points_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.search_topk(_points(spark, sf_dir), _asked_whole(spark, sf_dir))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query(WHOLE_TOPK_SQL.format(where="AND p.label = 2", low=0.1))
+def filtered_points_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.search_topk(_points(spark, sf_dir), _asked_whole(spark, sf_dir), score_threshold=0.1, where=vectors.payload_filter(source="2"))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT h.query_id, h.rank, CAST(h.id AS VARCHAR) AS id, CAST(e.label AS VARCHAR) AS source FROM (" + WHOLE_TOPK_SQL.format(where="", low=-2) + ") h JOIN embeddings e ON e.vec_id = h.id")
+def hits_with_payload_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    hits = vectors.hits_with_payload(vectors.search_topk(p, _asked_whole(spark, sf_dir)), p)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.col("payload.source").alias("source"))
+
+
 @query("""
 SELECT CASE WHEN vec_id % 5 = 0 THEN 'no_vector' WHEN vec_id % 7 = 0 THEN 'wrong_dimension' END AS reason, CASE WHEN vec_id % 2 = 0 THEN 'c' || vec_id WHEN vec_id % 3 = 0 THEN '' ELSE 'i' || vec_id END AS point_id FROM embeddings
 """)

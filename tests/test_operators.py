@@ -205,6 +205,24 @@ def test_search(spark):
         vectors.search_topk(pts, q, metric="euclid")
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    """More queries than a block holds, more points than are scored at a time, and many equal vectors."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(vectors, "SCORES", 500)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 9))
+    x[r.choice(300, 90, replace=False)] = x[7]
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3).cache()
+    q = pts.where("id % 2 = 0").select(F.col("id").alias("query_id"), "vector")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {i: sorted(range(300), key=lambda j: (-round(float(unit[i] @ unit[j]), 12), j))[:5] for i in range(0, 300, 2)}
+    got = {}
+    for h in vectors.search_topk(pts, q, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(h.query_id, []).append(h.id)
+    assert got == want
+    assert vectors.search_topk(pts, q.limit(40), 5).count() == 200 and vectors.search_topk(pts, q.where("false"), 5).count() == 0
+
+
 def test_payload_filter(spark):
     df = spark.createDataFrame([("Big Title, here", "2025-01-02 00:00:00")], "title string, at string").select(F.struct("title", F.col("at").cast("timestamp").alias("created_at")).alias("payload"))
     import datetime
