@@ -83,8 +83,18 @@ SELECT page_id, md5(t) AS digest, len(t) AS n_chars FROM (SELECT page_id, trim(r
   replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '<[^>]+>', '', 'g'), '[\s\x0b]+', ' ', 'g')) AS t FROM pages WHERE html NOT LIKE '%&' AND html NOT LIKE '%&a' AND html NOT LIKE '%&am' AND html NOT LIKE '%&amp')
 """)
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities, tags and white space of raw pages; pages that end inside an entity are left to the tests."""
+    """Entities, tags and white space of raw pages; pages that end inside an entity are left to page_text_whole."""
     p = table(spark, sf_dir, "pages").where(~F.col("html").rlike("&(a|am|amp)?$"))
+    return _page_text(p)
+
+
+@query()
+def page_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_text of all pages, those that end inside an entity too."""
+    return _page_text(table(spark, sf_dir, "pages"))
+
+
+def _page_text(p: DataFrame) -> DataFrame:
     return p.select("page_id", text.collapse_ws(text.strip_tags(text.unescape_html(F.col("html")))).alias("t")).select("page_id", F.md5("t").alias("digest"), F.length("t").cast("long").alias("n_chars"))
 
 
@@ -101,10 +111,23 @@ k AS (SELECT *, coalesce(list_filter(list_concat(range(least(len(a), len(b), 30)
 SELECT doc_id, i - 1 AS line, md5(CASE WHEN n = 0 THEN cur ELSE array_to_string(b[n + 1 :], ' ') END) AS digest FROM k
 """)
 def overlap_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a line repeats of the one before it is taken off."""
+    """What a line repeats of the one before it is taken off; pairs with tabs or carriage returns are left to overlap_of_all_lines."""
+    pairs = _line_pairs(spark, sf_dir)
+    return _overlaps(pairs.where(~F.concat("x.prev", "x.cur").rlike(r"[\t\r]")))
+
+
+@query()
+def overlap_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """overlap_of_lines with the lines that hold tabs or carriage returns."""
+    return _overlaps(_line_pairs(spark, sf_dir))
+
+
+def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    pairs = d.select("doc_id", F.posexplode(F.slice(F.arrays_zip(F.col("p").alias("prev"), F.slice("p", F.lit(2), F.size("p")).alias("cur")), F.lit(1), F.size("p") - 1)).alias("at", "x"))
-    pairs = pairs.where(~F.concat("x.prev", "x.cur").rlike(r"[\t\r]"))
+    return d.select("doc_id", F.posexplode(F.slice(F.arrays_zip(F.col("p").alias("prev"), F.slice("p", F.lit(2), F.size("p")).alias("cur")), F.lit(1), F.size("p") - 1)).alias("at", "x"))
+
+
+def _overlaps(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_id", (F.col("at") + 1).cast("long").alias("line"), F.md5(text.remove_overlap(F.col("x.prev"), F.col("x.cur"))).alias("digest"))
 
 

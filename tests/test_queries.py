@@ -1,7 +1,10 @@
 """Every registered query runs; those with SQL give the same rows as DuckDB on the same files."""
 
 import glob
+import hashlib
+import html
 import os
+import re
 
 import duckdb
 import pytest
@@ -41,3 +44,25 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(plans.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_page_text_of_all_pages(spark, tmp_path):
+    pages = ["<p>a &amp; b</p>", "cut &", "cut &a", "cut &am", "cut &amp", "<b>x</b>\r\n\ty &amp", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.digest, r.n_chars) for r in plans.QUERIES["page_text_whole"](spark, str(tmp_path)).collect()}
+    texts = [" ".join(re.sub("<[^>]+>", "", html.unescape(p)).split()) if p is not None else None for p in pages]
+    assert got == {k: (hashlib.md5(t.encode()).hexdigest(), len(t)) if t is not None else (None, None) for k, t in enumerate(texts)}
+
+
+def test_overlap_of_all_lines(spark, tmp_path):
+    docs = ["one two three\r\ntwo three four\r\nthree four\r\n", "a\tb\tc\nb c\td e\nd  e f", "p q r s\nq r s\tt", "same\r\nsame\r\n", "alone", "\t\n\r\n"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line): r.digest for r in plans.QUERIES["overlap_of_all_lines"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, d in enumerate(docs):
+        lines = d.split("\n")
+        for n, (prev, cur) in enumerate(zip(lines, lines[1:]), 1):
+            a, b = prev.split(), cur.split()
+            cut = next((m for m in range(min(len(a), len(b), 30), 1, -1) if a[-m:] == b[:m]), 0)
+            want[k, n] = hashlib.md5((" ".join(b[cut:]) if cut else cur).encode()).hexdigest()
+    assert got == want
