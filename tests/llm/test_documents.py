@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from captionloom.llm import common, flac, line_dedup, mixing, ngram_join, pieces, quality_rules, suffix_dedup
+from captionloom.llm import common, line_dedup, mixing, ngram_join, pieces, quality_rules, suffix_dedup
 from captionloom.llm.components import connected
 from tests.llm import brute
 
@@ -210,33 +210,6 @@ def test_mixing(docs, empty):
     assert sum(len(brute.WORD.findall(r.text or "")) for r in out.collect()) == sum(taken.values())
 
 
-def test_flac(docs, empty):
-    rows = flac.media_report(docs).collect()
-    want = []
-    for i, t in ROWS:
-        b = (t or "").encode()
-        p = b + bytes(-len(b) % 64 if b else 64)
-        want.append((i, len(b), len(p), sha(p)))
-    same([(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in rows], want)
-    assert flac.media_report(empty).count() == 0
-    stored = docs.where("doc_id = 104").select("doc_id", flac.flac_column(docs["text"]).alias("media"))
-    blocks = flac.pcm_blocks(stored, "media", "doc_id").orderBy("first_sample").collect()
-    text = dict(ROWS)[104].encode()
-    assert b"".join(bytes(b.pcm) for b in blocks)[: len(text)] == text and [b.first_sample for b in blocks] == [4096 * k for k in range(len(blocks))]
-
-
-def test_flac_frames():
-    r = random.Random(2)
-    media = [bytes(64), b"a" * 9000, bytes(r.randrange(256) for _ in range(4100)), bytes((i * i // 50) % 256 for i in range(4096 * 130)), bytes(i // 9 % 256 for i in range(5000)), b"\xff" * 64 + b"\x00" * 64]
-    streams = flac.encode(media)
-    assert flac.decode(streams)[1] == media
-    for at in (9, 60, -1, -40):
-        broken = bytearray(streams[3])
-        broken[at if at < 0 else len(broken) // 2 + at] ^= 1
-        with pytest.raises(ValueError):
-            flac.decode([bytes(broken)])
-
-
 def test_pieces(docs, empty):
     import sentencepiece
 
