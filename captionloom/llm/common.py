@@ -54,6 +54,11 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("k_id"), F.xxhash64(F.col(text_col)).alias("k_text")]
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it holds: dots are no fields."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def same_key(a: DataFrame, b: DataFrame, names: Iterable[str] = ("k_id", "k_text")) -> Column:
     """Join condition that also matches null keys."""
     return functools.reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
