@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,27 +24,84 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 1 << 19
 
 
+_own_folders: dict[str, str] = {}
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only where it is unset and everything runs in
+    one process, as in tests, a folder of our own; on a cluster without it, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _own_folders.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="spark-shared-")
+        _own_folders[sc.applicationId] = at
     return at.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends, and a lost executor costs a reread."""
+def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends, and a lost executor costs a reread.
+
+    The table stays until the folder is cleared, or until the end of the scratch() that this is called in, unless lasting.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{'' if lasting else _scope.get()}{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end: what is wanted of them must be written by then."""
+    token = _scope.set(f"{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables/{_scope.get()}")
+        _scope.reset(token)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of steps whose results are tables by now, instead of at some later collection."""
+    """Have Spark delete the shuffle files of steps whose results are tables by now, where the session has a handle on its
+    JVM; elsewhere Spark's cleaner does it some time later."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if jvm := getattr(getattr(spark, "_sc", None), "_jvm", None):
+        jvm.System.gc()
+
+
+#: Parts that the rows of one key are dealt to wherever a key may hold a large share of all rows.
+SALTS = 64
+
+
+def salt(*unit: str) -> Column:
+    """The part of its key that a row belongs to."""
+    return F.pmod(F.xxhash64(*unit), F.lit(SALTS)).cast("int")
+
+
+def salts_of(salt_col: Column | str) -> Column:
+    """Aggregate: the parts that a key has rows in, as the bits of a long. Combined before the shuffle, like a sum."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt_col))
+
+
+def per_salt(groups: DataFrame, mask: str = "salts", name: str = "salt") -> DataFrame:
+    """One row for each part that a key has rows in, so that a join on key and part puts no key's rows in one task."""
+    parts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit(mask, k) == 1)
+    return groups.withColumn(name, F.explode(parts)).drop(mask)
+
+
+def beside(rows: DataFrame, key: list[str], unit: list[str], having: str | None = None, **sums: Column) -> DataFrame:
+    """rows with aggregates of their key beside them, and only those whose key fits `having`.
+
+    As a window over the key would give, but the rows of no key meet in one task: aggregates are combined before the
+    shuffle, and come back once per part of the key. rows should be a table; it is read twice.
+    """
+    dealt = rows.withColumn("_salt", salt(*unit))
+    groups = dealt.groupBy(*key).agg(*[c.alias(n) for n, c in sums.items()], salts_of("_salt").alias("_salts"))
+    groups = groups.where(having) if having else groups
+    return dealt.join(per_salt(groups, "_salts", "_salt"), [*key, "_salt"]).drop("_salt")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import LOWER, UPPER, WS, cut, row_key, same_key
-
-#: Parts that the documents of one key are spread over before its first occurrence is sought.
-SALTS = 64
+from captionloom.llm.common import LOWER, UPPER, WS, cut, per_salt, row_key, salt, salts_of, same_key
 
 
 def lines_of(text: Column) -> Column:
@@ -27,18 +24,19 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     64-line words that miss a line: (word, bits), bit i for line 64*word+i. Rows that repeat id and text share a bitmap.
     Lines are compared by 128 bits of hash. Empty and null texts have one empty line and lose nothing.
 
-    Each key's documents are spread over SALTS ranges; a range streams its first occurrence (the largest id) in sorted
-    order, and only these per-range summaries meet per key, so a line that every document holds is no hot task.
+    Each key's documents are dealt to parts; a part streams its first occurrence (the largest id) in sorted order, only
+    these summaries meet per key, and they go back to lines by key and part, so a line that every document holds is no hot
+    task anywhere.
     """
     rows = docs.select(*row_key(id_col, text_col), F.posexplode(F.transform(lines_of(F.col(text_col)), line_key)).alias("pos", "key")).where(F.length("key") >= min_chars)
-    rows = cut(rows.select("k_id", "k_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")))
+    rows = cut(rows.select("k_id", "k_text", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), salt("k_id").alias("salt")))
     part = ["h1", "h2", "salt"]
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("k_id"), F.lit(SALTS))).repartitionByRange(*part)
+    dealt = rows.repartitionByRange(*part)
     order = Window.partitionBy(*part).orderBy(F.desc_nulls_last("k_id"), "k_text", "pos")
     streamed = dealt.select(*part, "k_id", F.row_number().over(order).alias("nth"), F.lag("k_id").over(order).alias("before"))
     heads = streamed.where((F.col("nth") == 1) | ~F.col("k_id").eqNullSafe(F.col("before")))
-    hot = heads.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("k_id").alias("last_id")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_id")
-    lost = rows.join(hot, ["h1", "h2"]).where(~F.col("k_id").eqNullSafe(F.col("last_id")))
+    hot = heads.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("k_id").alias("last_id"), salts_of("salt").alias("salts")).where(F.col("n_docs") >= min_docs)
+    lost = rows.join(per_salt(hot.select("h1", "h2", "last_id", "salts")), part).where(~F.col("k_id").eqNullSafe(F.col("last_id")))
     words = lost.groupBy("k_id", "k_text", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("gone"))
     return words.groupBy("k_id", "k_text").agg(
         F.sum(F.bit_count("gone")).alias("n_dropped"),
@@ -58,15 +56,16 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with their kept text in place; every row and every other column stays (null text becomes empty)."""
+    """docs with their kept text in place; every row and every other column stays, whatever its name (null text becomes empty)."""
     gone = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     keyed = docs.select(F.struct("*").alias("row"), *row_key(id_col, text_col))
     out = keyed.join(gone, same_key(keyed, gone), "left").select("row", "keep")
-    kept = kept_text(F.col("row")[text_col], F.col("keep"))
-    return out.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    field = lambda c: F.col("row").getField(c)
+    return out.select(*[(kept_text(field(c), F.col("keep")) if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of every row; null and empty texts have one line, which stays."""
     keyed = docs.select("doc_id", "text", *row_key("doc_id", "text"))
     gone = keep_bitmaps(docs)
     both = keyed.join(gone, same_key(keyed, gone), "left")
