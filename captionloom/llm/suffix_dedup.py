@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import BYTE_HASH, SLICE, cut, mix, partitions, powers, prefix_hash, row_key, same_key, span_hash
+from captionloom.llm.common import SLICE, beside, cut, mix, per_salt, powers, prefix_hash, row_key, salt, salts_of, same_key, span_hash
 
 LENGTH = 200
 #: Bytes of the content-defined anchor that assigns suffixes to buckets.
@@ -20,8 +20,10 @@ PERIOD = 64
 COVER = sorted({*range(8), *range(8, PERIOD, 8)})
 #: Suffixes sorted at a time.
 BLOCK = 1 << 18
-#: Distinct strings around one anchor from which on its suffixes are dealt out by context, STEP at a time.
+#: Distinct strings around one anchor from which on its suffixes are dealt out by context, STEP at a time, then singly.
 HOT, STEP = 1024, 16
+#: Bytes of segments that one bucket is to hold.
+BUCKET_BYTES = 8 << 20
 
 
 def pieces(texts: list, most: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -201,70 +203,102 @@ def _sort_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["k_id", "k_text", "first", "end"])
 
 
-def _split_hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs around a hot anchor in; sub-runs of at most STEP windows out, aligned by their distance to the anchor.
+def _split(step: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Runs around a hot anchor in; sub-runs of at most `step` windows out, aligned by their distance to the anchor.
 
-    All windows of a sub-run hold its bytes from STEP-1 to LENGTH, so equal windows have equal cores: the anchor is
+    All windows of a sub-run hold its bytes from step-1 to LENGTH, so equal windows have equal cores: the anchor is
     replaced by a hash of anchor, distance and core, which spreads a hot anchor over as many buckets as it has contexts.
     """
-    for pdf in batches:
-        for at in range(0, len(pdf), 2000):
-            part = pdf.iloc[at : at + 2000]
-            data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
-            size = np.array([len(b) for b in part["bytes"]])
-            base = np.append(0, np.cumsum(size)[:-1])
-            sums = prefix_hash(data)
-            n, anchor = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().astype(np.int64)
-            low, high = -anchor // STEP, (n - 1 - anchor) // STEP  # window j stands at distance j - anchor
-            count = high - low + 1
-            row = np.repeat(np.arange(len(part)), count)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
-            first = np.maximum(step * STEP + anchor[row], 0)
-            end = np.minimum((step + 1) * STEP + anchor[row], n[row])
-            block = base[row] + step * STEP + anchor[row]
-            core = span_hash(sums, block + STEP - 1, block + LENGTH)
-            whole = span_hash(sums, base[row] + first, base[row] + end + LENGTH - 1)
-            held = part.iloc[row]
-            gram = mix(held["gram"].to_numpy().view(np.uint64) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            key = mix(gram + core)
-            texts = part["bytes"].tolist()
-            cut_bytes = [texts[r][f : e + LENGTH - 1] for r, f, e in zip(row.tolist(), first.tolist(), end.tolist(), strict=True)]
-            yield pd.DataFrame({"k_id": held["k_id"].to_numpy(), "k_text": held["k_text"].to_numpy(), "start": held["start"].to_numpy() + first, "n": end - first, "anchor": anchor[row] - first, "gram": key.view(np.int64), "many": held["many"].to_numpy(), "whole": mix(whole + (end - first).astype(np.uint64)).view(np.int64), "bytes": cut_bytes})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                yield _sub_runs(pdf.iloc[at : at + 2000], step)
+
+    return run
+
+
+def _sub_runs(part: pd.DataFrame, width: int) -> pd.DataFrame:
+    texts = part["bytes"].tolist()
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    size = np.array([len(b) for b in texts])
+    base = np.append(0, np.cumsum(size)[:-1])
+    sums = prefix_hash(data)
+    n, anchor = part["n"].to_numpy().astype(np.int64), part["anchor"].to_numpy().astype(np.int64)
+    low, high = -anchor // width, (n - 1 - anchor) // width  # window j stands at distance j - anchor
+    count = high - low + 1
+    row = np.repeat(np.arange(len(part)), count)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+    first = np.maximum(step * width + anchor[row], 0)
+    end = np.minimum((step + 1) * width + anchor[row], n[row])
+    block = base[row] + step * width + anchor[row]
+    core = span_hash(sums, block + width - 1, block + LENGTH)
+    whole = mix(span_hash(sums, base[row] + first, base[row] + end + LENGTH - 1) + (end - first).astype(np.uint64))
+    held = part.iloc[row]
+    gram = mix(mix(held["gram"].to_numpy().view(np.uint64) + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + core)
+    cut_bytes = [texts[r][f : e + LENGTH - 1] for r, f, e in zip(row.tolist(), first.tolist(), end.tolist(), strict=True)]
+    return pd.DataFrame({"k_id": held["k_id"].to_numpy(), "k_text": held["k_text"].to_numpy(), "start": held["start"].to_numpy() + first, "n": end - first, "anchor": anchor[row] - first, "gram": gram.view(np.int64), "many": held["many"].to_numpy(), "bytes": cut_bytes, "whole": whole.view(np.int64)})
+
+
+PLACE = ("k_id", "k_text", "start", "n", "anchor")
+CLASS = ["gram", "whole"]
+
+
+def _span(rows: DataFrame) -> DataFrame:
+    return rows.select("k_id", "k_text", F.col("start").alias("first"), (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
+
+
+def _kinds(classes: DataFrame, having: str) -> DataFrame:
+    """Classes of runs (gram, whole, ...) with `kinds`, how many their anchor has, where the anchor fits `having`."""
+    return beside(classes, ["gram"], ["whole"], having, kinds=F.count("*"), least=F.min("held")).drop("least")
+
+
+def _classes(runs: DataFrame, *more: str) -> DataFrame:
+    """Equal runs as one row (gram, whole, held, place of one of them, salts); a hot class is combined before the shuffle."""
+    dealt = runs.withColumn("salt", salt("k_id", "k_text", "start"))
+    many = [F.max("many").alias("many")] if "many" in runs.columns else []
+    return cut(dealt.groupBy(*CLASS).agg(F.count("*").alias("held"), *many, *[F.first(c).alias(c) for c in (*PLACE, *more)], salts_of("salt").alias("salts")))
+
+
+def _repeated(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Spans of the runs that are one of several equal ones: they repeat each other window by window."""
+    dealt = runs.withColumn("salt", salt("k_id", "k_text", "start"))
+    return _span(dealt.join(per_salt(classes.where("held > 1").select(*CLASS, "salts")), [*CLASS, "salt"]))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k_id, k_text, first, end): byte spans whose union is what LENGTH-byte strings that start twice or more cover.
 
-    Overlaps count, strings never cross documents, and all are judged on the input. Three steps, none of which holds a
-    group of unbounded size: (1) runs of windows under content-defined anchors; an anchor that occurs once has no
-    repeats, and equal runs repeat in full whatever their number; (2) what is left, one text per distinct run, is sorted
-    in suffix buckets by anchor (`repeated_windows`); (3) anchors with more than HOT distinct runs are first
-    split by context (`_split_hot`) and their equal sub-runs merged, so that none of them fills a bucket.
+    Overlaps count, strings never cross documents, and all are judged on the input; null texts have no bytes. Four steps,
+    none of which holds a group of unbounded size: (1) runs of windows under content-defined anchors; an anchor that occurs
+    once has no repeats, and equal runs repeat in full whatever their number; (2) what is left, one text per distinct run,
+    is dealt by anchor to suffix buckets of about BUCKET_BYTES, as many as the bytes need, each of which is sorted by
+    itself (`repeated_windows`); (3) anchors with more than HOT distinct runs are first split by context into sub-runs of
+    STEP windows, and equal sub-runs are merged; (4) where even a sub-run has more than HOT contexts, its windows are told
+    apart singly. Hashes are of 64 bits.
     """
-    spark = docs.sparkSession
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     runs = cut(source.where(F.octet_length("text") >= LENGTH).mapInPandas(_runs, RUN))
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n_runs")).where("n_runs > 1").select("gram")
-    live = cut(runs.join(shared, "gram", "left_semi"))
-    place = ("k_id", "k_text", "start", "n", "anchor")
-    classes = cut(live.groupBy("gram", "whole").agg(F.count("*").alias("held"), *[F.first(c).alias(c) for c in place]))
-    full = live.join(classes.where("held > 1").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    equal = full.select("k_id", "k_text", F.col("start").alias("first"), (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
-    mixed = classes.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("held").alias("least")).where("kinds > 1 AND least = 1")
-    asked = classes.join(mixed, "gram").select("k_id", "k_text", F.struct("start", "n", "anchor", "gram", (F.col("held") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("a"))
+    live = cut(beside(runs, ["gram"], ["k_id", "k_text", "start"], "n_runs > 1", n_runs=F.count("*")).drop("n_runs"))
+    classes = _classes(live)
+    # Anchors with several classes, one of which at least is no copy of another run: windows may still repeat across classes.
+    asked = _kinds(classes, "kinds > 1 AND least = 1")
+    asked = asked.select("k_id", "k_text", F.struct("start", "n", "anchor", "gram", (F.col("held") > 1).alias("many"), (F.col("kinds") > HOT).alias("hot")).alias("a"))
     asked = asked.groupBy("k_id", "k_text").agg(F.collect_list("a").alias("asked"))
     texts = source.join(asked, same_key(source, asked)).select(source["k_id"], source["k_text"], "text", "asked")
     segments = cut(texts.mapInPandas(_cut_out, f"{SEGMENT}, hot boolean"))
-    buckets = 4 * partitions(spark)
-    parts = cut(segments.where("hot").mapInPandas(_split_hot, f"{SEGMENT}, whole long"))
-    kinds = parts.groupBy("gram", "whole").agg((F.count("*") > 1).alias("again"), F.max("many").alias("many"), *[F.first(c).alias(c) for c in (*place, "bytes")])
-    kinds = cut(kinds)
-    twice = parts.where(~F.col("many")).join(kinds.where("again").select("gram", "whole"), ["gram", "whole"], "left_semi")
-    copied = twice.select("k_id", "k_text", F.col("start").alias("first"), (F.col("start") + F.col("n") + LENGTH - 1).alias("end"))
-    open_ = kinds.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    dealt = kinds.join(open_, "gram", "left_semi").select(*place, "gram", (F.col("again") | F.col("many")).alias("many"), "bytes")
-    cold = segments.where(~F.col("hot")).select(*dealt.columns).unionByName(dealt).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    return equal.unionByName(copied).unionByName(cold.groupBy("bucket").applyInPandas(_sort_bucket, SPAN))
+    parts = cut(segments.where("hot").mapInPandas(_split(STEP), f"{SEGMENT}, whole long"))
+    merged = _classes(parts, "bytes")
+    open_ = cut(_kinds(merged, "kinds > 1").withColumn("many", F.col("many") | (F.col("held") > 1)))
+    single = cut(open_.where(F.col("kinds") > HOT).mapInPandas(_split(1), f"{SEGMENT}, whole long"))
+    columns = [c.split()[0] for c in SEGMENT.split(", ")]
+    cold = segments.where(~F.col("hot")).select(*columns).unionByName(open_.where(F.col("kinds") <= HOT).select(*columns))
+    total = cold.agg(F.sum(F.octet_length("bytes").cast("long"))).first()[0] or 0
+    buckets = total // BUCKET_BYTES + 1
+    dealt = cold.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))).repartition(buckets, "bucket")
+    found = dealt.groupBy("bucket").applyInPandas(_sort_bucket, SPAN)
+    not_many = ~F.col("many")
+    return _repeated(live, classes).unionByName(_repeated(parts.where(not_many), merged)).unionByName(_repeated(single.where(not_many), _classes(single))).unionByName(found)
 
 
 def union_of(spans: list) -> list[tuple[int, int]]:
@@ -304,6 +338,21 @@ def _digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataF
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row; null and empty texts have no bytes and lose none."""
     digest = F.pandas_udf(_digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     out = cut_documents(docs.select("doc_id", "text"))
     return out.select(F.col("k_id").alias("doc_id"), digest("text", "spans").alias("d")).select("doc_id", "d.*")
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, 250 * k AS base, substr(x, 500 * k + 1, 898) AS y FROM (SELECT r, x, unnest(range(0, length(x) // 500 + 1)) AS k FROM d)),
+w AS (SELECT r, base + p AS p, hash(substr(y, 2 * p + 1, 400)) AS h FROM (SELECT r, base, y, unnest(range(0, least(250, length(y) // 2 - 199))) AS p FROM c WHERE length(y) >= 400)),
+again AS (SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS opens FROM again),
+spans AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS k FROM marked) GROUP BY r, k),
+kept AS (SELECT s.r, sum(b - a) AS gone, count(*) AS n, string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS left_
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS start FROM spans) s JOIN d ON d.r = s.r GROUP BY s.r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(left_, x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
