@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import Words, cut, give_back, mix, partitions, release, row_key, same_key, slices, utf8_of
+from captionloom.llm.common import Words, beside, cut, give_back, mix, per_salt, release, row_key, salt, salts_of, same_key, slices, utf8_of
 from captionloom.llm.components import connected
 
 #: Documents that a group holds at most; a larger set of similar documents becomes several groups.
@@ -19,7 +19,10 @@ GROUP = 96
 PACKED = 1 << 20
 #: Bytes of a token that travel; the bucket holds further bits.
 TOKEN_BYTES = 6
-LOW = np.uint64((1 << 8 * TOKEN_BYTES) - 1)
+#: Postings that a bucket is to hold; buckets are as many as the tokens need.
+BUCKET_TOKENS = 1 << 21
+#: Queries that one task compares with a group; more are dealt to several, each beside the group's members.
+ASKED = 1024
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +90,7 @@ def _postings(width: int, buckets: int) -> Callable:
         fresh[once] = True
         mine = fresh[doc]
         h, doc = h[mine], doc[mine]
-        bucket = (h >> np.uint64(48)) % np.uint64(buckets)
+        bucket = (h >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         h, doc = h[order], doc[order]
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -137,7 +140,7 @@ def _shared_tokens(buckets: int) -> Callable:
         return token[many], key[many], size[many], np.minimum(df[many], 0xFFFFFFFF).astype(np.uint32)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        top = np.uint64(int(pdf["bucket"].iloc[0]) & 0xFFFF) << np.uint64(48)
+        own = np.uint64(int(pdf["bucket"].iloc[0])) << np.uint64(8 * TOKEN_BYTES)
         token = np.concatenate([unpack_tokens(b) for b in pdf["tokens"]])
         at = [np.frombuffer(b, np.uint16) for b in pdf["local"]]
         key = np.concatenate([np.frombuffer(s, np.int64)[i] for s, i in zip(pdf["sets"], at, strict=True)])
@@ -157,7 +160,7 @@ def _shared_tokens(buckets: int) -> Callable:
                 docs, local = np.unique(key[i], return_inverse=True)
                 sizes = np.zeros(len(docs), np.uint32)
                 sizes[local] = size[i]
-                rows.append((b, docs.tobytes(), sizes.tobytes(), local.astype(np.uint32).tobytes(), (token[i] | top).tobytes(), df[i].tobytes()))
+                rows.append((b, docs.tobytes(), sizes.tobytes(), local.astype(np.uint32).tobytes(), mix(token[i] + own).tobytes(), df[i].tobytes()))
         del token, key, size, df, home, order
         give_back()
         return pd.DataFrame(rows, columns=["home", "sets", "sizes", "local", "tokens", "df"])
@@ -258,11 +261,11 @@ def _group_links(percent: int) -> Callable:
     return run
 
 
-GROUPS = "group long, pool long, root_size long, least long, most long, members array<long>, matrix array<struct<token:long,reach:long,least:long>>"
+GROUPS = "group long, pool long, root_size long, least long, most long, members array<long>, union binary, matrix array<struct<token:long,reach:long,least:long>>"
 
 
 def _make_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sets sorted by pool: runs of at most GROUP sets of one pool become groups, named by a member.
+    """Sets sorted by pool: runs of at most GROUP sets of one pool become groups, named by a member, with their token union.
 
     Each token of the members' prefixes has a row in the group's matrix: `reach` is how many tokens a member still has
     from there on at most, `least` the smallest member with it.
@@ -276,7 +279,8 @@ def _make_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(token, kind="stable")
         start = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1]))
         columns = token[order][start].tolist(), np.maximum.reduceat(reach[order], start).tolist(), np.minimum.reduceat(n[order], start).tolist()
-        return rows[0].set_key, rows[0].pool, rows[0].root_size, min(r.n for r in rows), max(r.n for r in rows), [r.set_key for r in rows], [dict(zip(("token", "reach", "least"), x, strict=True)) for x in zip(*columns, strict=True)]
+        union = np.unique(np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in rows])).tobytes()
+        return rows[0].set_key, rows[0].pool, rows[0].root_size, min(r.n for r in rows), max(r.n for r in rows), [r.set_key for r in rows], union, [dict(zip(("token", "reach", "least"), x, strict=True)) for x in zip(*columns, strict=True)]
 
     columns = [c.split()[0] for c in GROUPS.split(", ")]
     for pdf in batches:
@@ -290,38 +294,50 @@ def _make_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([flush(held)] if held else [], columns=columns)
 
 
-def _open_groups(percent: int) -> Callable:
-    """A group's members and the queries that met it: bound by the group's token union, then open it where the bound holds.
+ASKS = "q_group long, q_part long, q_root long, q_n long, q_tokens binary"
+
+
+def _bounded(percent: int) -> Callable:
+    """A group's token union and the queries that met it: out come those whose overlap with the union suffices for a link."""
+
+    def run(_: tuple, groups: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        union = np.frombuffer(groups["union"].iloc[0], np.uint64) if len(groups) else np.empty(0, np.uint64)
+        enough = [len(union) > 0 and 100 * np.isin(np.frombuffer(t, np.uint64), union).sum() >= percent * n for n, t in zip(queries["q_n"], queries["q_tokens"], strict=True)]
+        return queries.loc[np.array(enough, bool), [c.split()[0] for c in ASKS.split(", ")]]
+
+    return run
 
-    Out come the components to join: the query's with that of each member it matches.
-    """
+
+def _opened(percent: int) -> Callable:
+    """A group's members and the queries that its union lets in: out come the components to join, the query's with that of
+    each member it matches."""
 
     def run(_: tuple, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         inside = [np.frombuffer(b, np.uint64) for b in members["tokens"]]
-        union = np.unique(np.concatenate(inside)) if inside else np.empty(0, np.uint64)
         n, roots = members["n"].to_numpy(), members["root"].to_numpy()
         out: set[tuple[int, int]] = set()
-        for root, size, tokens in zip(queries["q_root"], queries["q_n"], queries["q_tokens"], strict=True):
-            t = np.frombuffer(tokens, np.uint64)
-            if len(union) and 100 * np.isin(t, union).sum() >= percent * size:
-                ok = matches(overlaps([t], inside), np.array([size]), n, percent)[0]
-                out |= {(int(root), int(x)) for x in np.unique(roots[ok]) if x != root}
+        for root, size, tokens in zip(queries["q_root"], queries["q_n"], queries["q_tokens"], strict=True) if inside else ():
+            ok = matches(overlaps([np.frombuffer(tokens, np.uint64)], inside), np.array([size]), n, percent)[0]
+            out |= {(int(root), int(x)) for x in np.unique(roots[ok]) if x != root}
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def candidate_sets(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
-    """The distinct sets that can link with another, with the tokens they share with any other set."""
-    buckets = 2 * partitions(docs.sparkSession)
+def candidate_sets(docs: DataFrame, text_col: str, width: int, percent: int, n_tokens: int) -> DataFrame:
+    """The distinct sets that can link with another, with the tokens they share with any other set.
+
+    n_tokens is what all rows' sets sum up to: buckets are as many as it takes for BUCKET_TOKENS each.
+    """
+    buckets = n_tokens // BUCKET_TOKENS + 1
     packed = docs.select(F.col(text_col).alias("text")).mapInArrow(_postings(width, buckets), "bucket long, sets binary, sizes binary, local binary, tokens binary")
-    shared = packed.groupBy("bucket").applyInPandas(_shared_tokens(buckets), "home long, sets binary, sizes binary, local binary, tokens binary, df binary")
-    return cut(shared.groupBy("home").applyInPandas(_candidates(percent), CANDIDATE))
+    shared = packed.repartition(2 * buckets, "bucket").groupBy("bucket").applyInPandas(_shared_tokens(buckets), "home long, sets binary, sizes binary, local binary, tokens binary, df binary")
+    return cut(shared.repartition(2 * buckets, "home").groupBy("home").applyInPandas(_candidates(percent), CANDIDATE))
 
 
-def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
+def set_links(docs: DataFrame, text_col: str, width: int, percent: int, n_tokens: int) -> DataFrame:
     """(node, root) over set keys: components of the sets of texts that link with another set."""
-    sets = candidate_sets(docs, text_col, width, percent)
+    sets = candidate_sets(docs, text_col, width, percent, n_tokens)
     release(docs.sparkSession)
     links = []
     for first, second in (("a1", "a2"), ("b1", "b2")):
@@ -330,10 +346,10 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataF
         links.append(dealt.mapInPandas(_group_links(percent), "a long, b long"))
     near = cut(links[0].unionByName(links[1]))
     roots = connected(near)
-    found = sets.join(roots, sets["set_key"] == roots["node"], "left").select("set_key", "n", "prefix", "tokens", "a1", F.coalesce("root", "set_key").alias("root"))
-    sizes = found.groupBy("root").agg(F.count("*").alias("root_size"))
+    sized = beside(roots, ["root"], ["node"], root_size=F.count("*"))
+    found = sets.join(sized, sets["set_key"] == sized["node"], "left").select("set_key", "n", "prefix", "tokens", "a1", F.coalesce("root", "set_key").alias("root"), F.coalesce("root_size", F.lit(1)).alias("root_size"))
     # A component is a pool of groups; sets without links so far are pooled by their first minhash.
-    known = cut(found.join(sizes, "root").withColumn("pool", F.when(F.col("root_size") > 1, F.col("root")).otherwise(F.col("a1"))).drop("a1"))
+    known = cut(found.withColumn("pool", F.when(F.col("root_size") > 1, F.col("root")).otherwise(F.col("a1"))).drop("a1"))
     dealt = known.repartitionByRange("pool", "set_key").sortWithinPartitions("pool", "root_size", "set_key")
     groups = cut(dealt.mapInPandas(_make_groups, GROUPS))
     matrix = groups.select("group", "pool", "root_size", F.col("least").alias("g_least"), "most", F.explode("matrix").alias("m")).select("group", "pool", "root_size", "g_least", "most", "m.*")
@@ -344,11 +360,17 @@ def set_links(docs: DataFrame, text_col: str, width: int, percent: int) -> DataF
     # From a shared token on, neither side may have too few tokens left to reach the overlap.
     enough = (100 + percent) * F.least("q_left", "reach") >= percent * (F.col("n") + F.col("least"))
     met = cut(asks.join(matrix, "token").where(first & fits & enough).select("set_key", "group").distinct())
-    body = known.select(F.col("set_key").alias("body_key"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens"))
-    queries = met.join(body, F.col("set_key") == F.col("body_key")).select(F.col("group").alias("q_group"), "q_root", "q_n", "q_tokens")
-    opened = groups.join(met.select("group").distinct(), "group", "left_semi").select("group", F.explode("members").alias("set_key"))
+    # A group that many sets meet is asked in parts of about ASKED queries, each of which has the group beside it.
+    parts = F.ceil(F.col("asked") / ASKED)
+    met = beside(met, ["group"], ["set_key"], asked=F.count("*")).select("group", F.pmod(F.xxhash64("set_key"), parts).alias("part"), F.col("set_key").alias("q_key"))
+    met = cut(met)
+    queries = met.join(known.select("set_key", F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")), F.col("q_key") == F.col("set_key"))
+    queries = queries.select(F.col("group").alias("q_group"), F.col("part").alias("q_part"), "q_root", "q_n", "q_tokens")
+    unions = met.select("group", "part").distinct().join(groups.select("group", "union"), "group")
+    inside = cut(unions.groupBy("group", "part").cogroup(queries.groupBy("q_group", "q_part")).applyInPandas(_bounded(percent), ASKS))
+    opened = inside.select(F.col("q_group").alias("group"), F.col("q_part").alias("part")).distinct().join(groups.select("group", "members"), "group").select("group", "part", F.explode("members").alias("set_key"))
     members = opened.join(known.select("set_key", "n", "tokens", "root"), "set_key")
-    far = members.groupBy("group").cogroup(queries.groupBy("q_group")).applyInPandas(_open_groups(percent), "a long, b long")
+    far = members.groupBy("group", "part").cogroup(inside.groupBy("q_group", "q_part")).applyInPandas(_opened(percent), "a long, b long")
     joined = connected(far)
     return roots.join(joined.withColumnsRenamed({"node": "j_node", "root": "j_root"}), F.col("root") == F.col("j_node"), "left").select("node", F.coalesce("j_root", "root").alias("root")).unionByName(joined)
 
@@ -379,14 +401,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sizes = F.arrow_udf(_sizes(width), "n long, set_key long")
     seen = cut(docs.select(*row_key(id_col, text_col), sizes(F.col(text_col)).alias("s")).select("k_id", "k_text", F.col("s.n").alias("n_shingles"), F.when(F.col("s.n") > 0, F.col("s.set_key")).alias("set_key")))
-    roots = set_links(docs, text_col, width, percent)
-    named = seen.join(roots, seen["set_key"] == roots["node"], "left").select("k_id", "k_text", "n_shingles", F.coalesce("root", "set_key").alias("root"))
-    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("k_id").alias("least"))
-    return named.join(least, "root", "left").select("k_id", "k_text", "n_shingles", F.coalesce("least", "k_id").alias("component_id"), "root")
+    n_tokens = seen.agg(F.sum("n_shingles")).first()[0] or 0
+    roots = set_links(docs, text_col, width, percent, n_tokens)
+    # A set that many rows have, and a component of many sets, send their smallest id back by parts.
+    dealt = seen.withColumn("salt", salt("k_id", "k_text"))
+    sets = dealt.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("k_id").alias("least"), salts_of("salt").alias("salts"))
+    sets = cut(sets.join(roots, sets["set_key"] == roots["node"], "left").select("set_key", "least", "salts", F.coalesce("root", "set_key").alias("root")))
+    told = beside(sets, ["root"], ["set_key"], component_id=F.min("least")).select("set_key", "salts", "root", "component_id")
+    return dealt.join(per_salt(told), ["set_key", "salt"], "left").select("k_id", "k_text", "n_shingles", F.coalesce("component_id", "k_id").alias("component_id"), "root")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest id stays (one row, if rows repeat it)."""
+    """docs without near copies: of each component the row with the smallest id stays (one row, if rows repeat it).
+
+    A null id is the component's smallest only where it has no other. Texts without words all stay. All columns stay,
+    whatever their names.
+    """
     found = near_components(docs, id_col, text_col, width, percent)
     first = found.where(F.col("k_id").eqNullSafe(F.col("component_id")))
     alone = F.when(F.col("root").isNull(), F.col("k_text"))
@@ -399,6 +429,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def near_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; see near_components()."""
     found = near_components(docs.select("doc_id", "text"))
     return found.select(F.col("k_id").alias("doc_id"), "n_shingles", "component_id")
 
