@@ -14,13 +14,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import Words
+from captionloom.llm.common import Words, quoted
 
 # Element names of HTML.
-SKIPPED = frozenset("head script style noscript template svg math textarea select option button iframe object title".split())
+SKIPPED = frozenset("head noscript template svg select option button datalist".split())
+HEAD = frozenset("title meta link base script style noscript template".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meta link q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+MATHS = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot munder mover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = re.compile(r"<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)", re.S | re.I)
+CLOSED_BY_NEXT = frozenset("p li dt dd tr td th".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?][^>]*(?:>|$)|([^<]+|<)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -35,13 +38,23 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(re.findall(r"[a-z]+", found)))
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
+
+
+Block = tuple[tuple[str, ...], str, float]
+
+
+def blocks_of(page: str) -> list[Block]:
     """(path, text, share of linked characters) of every leaf block in page order.
 
     The path holds the names, classes, ids and roles of the open block elements. A block ends at every block element's
-    start and end tag; <br> and other inline tags end none. Text is decoded, white space runs become one space.
+    start and end tag; <br> and other inline tags end none. Text is decoded, white space runs become one space. Comments,
+    scripts, styles and form controls are no text; a control or drawing without an end tag ends with the element it is
+    in, and a head with the first element that belongs to a body.
     """
-    out: list[tuple[tuple[str, ...], str, float]] = []
+    out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked = anchor = 0
@@ -56,10 +69,14 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             text.clear()
         linked = 0
 
-    skip = None
-    for m in TOKEN.finditer(RAW.sub(" ", page)):
+    skip, inner, at = None, [], 0  # the element whose content is left out, what is open in it, where to read on
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         plain = m[5]
         if plain is not None:
+            if skip == "head" and not inner and not plain.isspace():
+                skip = None
             if skip is None:
                 text.append(plain)
                 if anchor:
@@ -67,13 +84,26 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         if m[2] is None:
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
+        tag, closing, alone = m[2].lower(), m[1] == "/", m[3].endswith("/")
+        if tag in RAW and not closing:
+            end = _end_tag(tag).search(page, at)
+            at = end.end() if end else len(page)
+            if tag == "textarea" and skip is None:
+                flush()
+            continue
         if skip is not None:
-            if closing and tag == skip or not closing and skip == "head" and tag == "body":
+            if closing and tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            elif closing and tag == skip:
+                skip = None
+            elif closing and any(name == tag for name, _ in stack) or not closing and skip == "head" and tag not in HEAD:
                 skip = None
-            if skip is not None or tag != "body":
+                inner.clear()
+            elif not closing and tag not in VOID and tag not in INLINE and tag != "option" and not alone:
+                inner.append(tag)
+            if skip is not None or closing and tag in SKIPPED:
                 continue
-        if tag in INLINE:
+        if tag in INLINE or tag in MATHS:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
@@ -81,40 +111,44 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         flush()
         if closing:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if place is not None:
+                del stack[place:]
             anchor = 0
         elif tag in SKIPPED:
-            skip = tag
+            skip = None if alone else tag
+            inner.clear()
         elif tag not in VOID:
-            if stack and (tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag or stack[-1][0] == "p"):
+            if stack and (tag in CLOSED_BY_NEXT and stack[-1][0] == tag or stack[-1][0] == "p"):
                 stack.pop()
             stack.append((tag, (tag, *_names(m[3]))))
-            if m[3].endswith("/"):
+            if alone:
                 stack.pop()
     flush()
     return out
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> np.ndarray:
-    """One input vector per block of all pages: hashed path names, hashed words of the whole block, and shape."""
-    flat = [b for p in pages for b in p]
-    x = np.zeros((len(flat), INPUTS))
-    if not flat:
+def features(blocks: list[Block], place: np.ndarray) -> np.ndarray:
+    """One input vector per block: hashed path names, hashed words of the whole block, and shape; place is 0 at a page's
+    start and 1 at its end."""
+    x = np.zeros((len(blocks), INPUTS), np.float32)
+    if not blocks:
         return x
-    for i, (path, _, _) in enumerate(flat):
+    for i, (path, _, _) in enumerate(blocks):
         x[i, _hashed(path)] = 1
-    w = Words([t.encode("utf-8", "replace") for _, t, _ in flat], lower=True)
+    w = Words([t.encode("utf-8", "replace") for _, t, _ in blocks], lower=True)
     slot = (w.hashes() % np.uint64(WORD_DIM)).astype(np.int64)
-    counts = np.bincount(w.doc * WORD_DIM + slot, minlength=len(flat) * WORD_DIM).reshape(-1, WORD_DIM)
+    counts = np.bincount(w.doc * WORD_DIM + slot, minlength=len(blocks) * WORD_DIM).reshape(-1, WORD_DIM)
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = counts / np.sqrt(np.maximum(w.n_words, 1))[:, None] / 4
-    length = np.array([len(t) for _, t, _ in flat])
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages if p])
-    x[:, PATH_DIM + WORD_DIM :] = np.stack([np.log1p(length) / 6, np.log1p(w.n_words) / 5, [r for _, _, r in flat], [t[-1] in ".!?:;\"'”»" for _, t, _ in flat], place, [t.count(",") / (len(t) + 1) * 20 for _, t, _ in flat]], axis=1)
+    length = np.array([len(t) for _, t, _ in blocks])
+    x[:, PATH_DIM + WORD_DIM :] = np.stack([np.log1p(length) / 6, np.log1p(w.n_words) / 5, [r for _, _, r in blocks], [t[-1] in ".!?:;\"'”»" for _, t, _ in blocks], place, [t.count(",") / (len(t) + 1) * 20 for _, t, _ in blocks]], axis=1)
     return x
 
 
+def places(n: int) -> np.ndarray:
+    return np.arange(n) / max(1, n - 1)
+
+
 @functools.lru_cache(maxsize=65536)
 def _hashed(path: tuple[str, ...]) -> list[int]:
     return sorted({zlib.crc32(n.encode()) % PATH_DIM for n in path})
@@ -127,7 +161,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Labeller:
     """Two LSTMs, one from each end, and a logistic output per block."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, seed: int = 7, kind: type = np.float64):
         r = np.random.default_rng(seed)
         self.w = {}
         for d in "fb":
@@ -136,16 +170,21 @@ class Labeller:
             self.w[f"c{d}"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)])
         self.w["o"] = r.normal(0, 0.3, 2 * HIDDEN)
         self.w["p"] = np.zeros(1)
+        self.w = {k: v.astype(kind) for k, v in self.w.items()}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """x: pages x blocks x inputs, mask: pages x blocks. States after padding are left as they were."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+        """x: pages x blocks x inputs, mask: pages x blocks. (outputs, what gradients need, state at the end); states after
+        padding are left as they were."""
         n, t, _ = x.shape
-        h, c = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN))
+        kind = self.w["p"].dtype
+        h, c = state or (np.zeros((n, HIDDEN), kind), np.zeros((n, HIDDEN), kind))
         pre = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        out, saved = np.zeros((n, t, HIDDEN)), []
+        mask = mask.astype(kind)
+        out, saved = np.zeros((n, t, HIDDEN), kind), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = pre[:, k] + h @ self.w[f"h{d}"]
-            i, f, o = (sigmoid(z[:, j * HIDDEN : (j + 1) * HIDDEN]) for j in range(3))
+            gates = sigmoid(z[:, : 3 * HIDDEN])
+            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g = np.tanh(z[:, 3 * HIDDEN :])
             m = mask[:, k, None]
             c2 = f * c + i * g
@@ -154,21 +193,35 @@ class Labeller:
                 saved.append((k, i, f, o, g, c, h, tc, m))
             h, c = m * o * tc + (1 - m) * h, m * c2 + (1 - m) * c
             out[:, k] = h
-        return out, saved
+        return out, saved, (h, c)
+
+    def scored(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        return sigmoid(np.concatenate([forward, backward], axis=2) @ self.w["o"] + self.w["p"])
 
     def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
-        return sigmoid(both @ self.w["o"] + self.w["p"])
+        return self.scored(*(self._run(x, mask, d, False)[0] for d in "fb"))
+
+    def long_page(self, blocks: list[Block], most: int) -> np.ndarray:
+        """probabilities() of one page, whose blocks pass `most` at a time in either direction with the state carried on."""
+        place, both = places(len(blocks)), []
+        for d in "fb":
+            out, state = np.zeros((1, len(blocks), HIDDEN), np.float32), None
+            starts = range(0, len(blocks), most)
+            for a in starts if d == "f" else reversed(starts):
+                part = blocks[a : a + most]
+                out[:, a : a + most], _, state = self._run(features(part, place[a : a + most])[None], np.ones((1, len(part))), d, False, state)
+            both.append(out)
+        return self.scored(*both)[0]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
-        delta = (sigmoid(both @ self.w["o"] + self.w["p"]) - y) * mask / mask.sum()
-        grad = {"o": np.einsum("nt,nth->h", delta, both), "p": np.array([delta.sum()])}
+        delta = ((sigmoid(both @ self.w["o"] + self.w["p"]) - y) * mask / mask.sum()).astype(both.dtype)
+        grad = {"o": delta.ravel() @ both.reshape(-1, 2 * HIDDEN), "p": np.array([delta.sum()])}
         for s, d in enumerate("fb"):
             above = delta[:, :, None] * self.w["o"][s * HIDDEN : (s + 1) * HIDDEN]
-            dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN))
-            dh, dc = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
+            dz_all = np.zeros((*x.shape[:2], 4 * HIDDEN), both.dtype)
+            dh, dc = np.zeros((len(x), HIDDEN), both.dtype), np.zeros((len(x), HIDDEN), both.dtype)
             wh = np.zeros_like(self.w[f"h{d}"])
             for k, i, f, o, g, c, h, tc, m in reversed(runs[d][1]):
                 dh = dh + above[:, k]
@@ -178,13 +231,15 @@ class Labeller:
                 dz_all[:, k] = dz
                 wh += h.T @ dz
                 dh, dc = (1 - m) * dh + dz @ self.w[f"h{d}"].T, (1 - m) * dc + dc2 * f
-            grad |= {f"x{d}": np.einsum("nti,ntj->ij", x, dz_all), f"h{d}": wh, f"c{d}": dz_all.sum((0, 1))}
+            grad |= {f"x{d}": x.reshape(-1, INPUTS).T @ dz_all.reshape(-1, 4 * HIDDEN), f"h{d}": wh, f"c{d}": dz_all.sum((0, 1))}
         return grad
 
 
-def padded(pages: list, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def padded(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, mask) of pages side by side."""
+    x = features([b for p in pages for b in p], np.concatenate([places(len(p)) for p in pages]))
     most = max(map(len, pages))
-    out, mask, at = np.zeros((len(pages), most, x.shape[1])), np.zeros((len(pages), most)), 0
+    out, mask, at = np.zeros((len(pages), most, x.shape[1]), x.dtype), np.zeros((len(pages), most)), 0
     for k, p in enumerate(pages):
         out[k, : len(p)], mask[k, : len(p)] = x[at : at + len(p)], 1
         at += len(p)
@@ -287,12 +342,12 @@ def trained(pages: int = 1200, epochs: int = 14, batch: int = 40, seed: int = 11
     batches = []
     for at in range(0, len(data), batch):
         part = data[at : at + batch]
-        x, mask = padded([b for b, _ in part], features([b for b, _ in part]))
+        x, mask = padded([b for b, _ in part])
         y = np.zeros(mask.shape)
         for k, (_, labels) in enumerate(part):
             y[k, : len(labels)] = labels
         batches.append((x, mask, y))
-    model = Labeller()
+    model = Labeller(kind=np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
     step = 0
     for epoch in range(epochs):
@@ -307,21 +362,35 @@ def trained(pages: int = 1200, epochs: int = 14, batch: int = 40, seed: int = 11
     return model
 
 
+#: Blocks whose inputs are held at a time.
+BLOCKS = 8_000
+
+
 def extract(model: Labeller, htmls: list[str], group: int = 128) -> list[str]:
-    """The article text of each page: its blocks labelled article, in page order, joined by line feeds."""
+    """The article text of each page: its blocks labelled article, in page order, joined by line feeds.
+
+    Pages of like length are labelled side by side. A page of more than BLOCKS blocks passes in parts, with the network's
+    state carried on, so inputs are bounded and every block still sees the whole page.
+    """
     pages = [blocks_of(h) for h in htmls]
     out = [""] * len(pages)
+
+    def told(page: list[Block], p: np.ndarray) -> str:
+        return "\n".join(t for (_, t, _), score in zip(page, p, strict=False) if score >= 0.5)
+
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
     at = 0
     while at < len(order):
         size = 1
-        while at + size < len(order) and size < group and (size + 1) * len(pages[order[at + size]]) <= 8_000:
+        while at + size < len(order) and size < group and (size + 1) * len(pages[order[at + size]]) <= BLOCKS:
             size += 1
         part = order[at : at + size]
-        x, mask = padded([pages[k] for k in part], features([pages[k] for k in part]))
-        p = model.probabilities(x, mask)
-        for row, k in enumerate(part):
-            out[k] = "\n".join(t for (_, t, _), score in zip(pages[k], p[row], strict=False) if score >= 0.5)
+        if len(pages[part[0]]) > BLOCKS:
+            out[part[0]] = told(pages[part[0]], model.long_page(pages[part[0]], BLOCKS))
+        else:
+            x, mask = padded([pages[k] for k in part])
+            for k, p in zip(part, model.probabilities(x, mask), strict=True):
+                out[k] = told(pages[k], p)
         at += size
     return out
 
@@ -343,9 +412,10 @@ def extract_column(spark):
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages with out_col: the page's main text, empty if it has none (null or empty html); all other columns stay."""
-    kept = [c for c in pages.columns if c != out_col]
+    kept = [F.col(quoted(c)) for c in pages.columns if c != out_col]
     return pages.select(F.struct(*kept).alias("row"), extract_column(pages.sparkSession)(F.col(html_col)).alias("t")).select("row.*", F.col("t").alias(out_col))
 
 
 def pages_report(pages: DataFrame) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; without html or article the text is empty."""
     return extract_pages(pages.select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

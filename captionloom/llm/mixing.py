@@ -5,51 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import WORD, cut, row_key, same_key
+from captionloom.llm.common import SALTS, WORD, cut, row_key, salt, same_key
 
 #: Source weights, repeating over the sources in code point order, null last.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Documents that one rounding group holds; sources are split into as many groups as they need.
 GROUP = 512
-NEWTON_STEPS, TOLERANCE = 40, 1e-8
+#: Newton's method and bisection end long before this; if not, an error says so.
+NEWTON_STEPS, TOLERANCE = 300, 1e-8
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with sums over all rows that come before them in a total order: within ranges of the order by a window, across
+    ranges by one row each, so no task sees all rows."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).withColumns({f"_{n}": c for n, c in sums.items()}))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(f"_{n}").alias(f"_{n}_all") for n in sums])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_{n}_all").over(ahead), F.lit(0)).alias(f"_{n}_ahead") for n in sums])
+    both = dealt.join(F.broadcast(ranges), "_range")  # a row per range: as many as shuffle partitions
+    return both.withColumns({n: F.col(f"_{n}_ahead") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)) for n in sums}).select(*rows.columns, *sums)
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, n_units, target) from rows (source, size).
+    """(source, source_size, n_rows, n_units, target) from a histogram (source, size, n, units).
 
     `share` times all sizes is dealt by weight; no target passes `most` times its source's size, and the excess is
     dealt again by weight. That fixed point is min(cap, weight * level), so one pass over the sources sorted by cap per
-    weight finds it. Works on one row per source.
+    weight finds it. Works on one row per source, in ranges; two numbers reach the driver. A null source is a source.
     """
-    by_source = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_units")))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int"))
-    dealt = by_source.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    full_first = Window.orderBy(F.col("cap") / F.col("weight"), F.asc_nulls_last("source"))
-    before = full_first.rowsBetween(Window.unboundedPreceding, -1)
-    after = full_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everywhere = full_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = share * F.sum("source_size").over(everywhere)
-    level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = dealt.withColumn("level", level).withColumn("fits", F.col("cap") > F.col("weight") * F.col("level"))
-    first_fit = F.first(F.when(F.col("fits"), F.col("level")), ignorenulls=True).over(everywhere)
-    target = F.when(first_fit.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * first_fit))
-    return leveled.select("source", "source_size", "n_units", target.alias("target"))
-
-
-def tilted_rates(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
-    """(source, size, rate): rates min(most, exp(tilt * size / mean size)) whose token sum meets each source's target.
-
-    The tilt of a source is the dual variable of its token constraint. Every Newton step is one distributed
-    aggregation over (source, size, count); steps are taken on the log of the sum and fall back to bisection where
-    they would leave the bracket. Sources without tokens keep rate 1.
+    by_source = cut(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_rows"), F.sum("units").alias("n_units")))
+    placed = running(by_source, [F.asc_nulls_last("source")], place=F.lit(1))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    dealt = placed.withColumn("weight", weight).drop("place").withColumn("cap", most * F.col("source_size"))
+    dealt = running(cut(dealt), [(F.col("cap") / F.col("weight")).asc(), F.asc_nulls_last("source")], cap_before=F.col("cap"), weight_before=F.col("weight"))
+    sums = by_source.agg(F.sum("source_size").alias("size"), F.count("*").alias("n")).first()
+    n, rest = divmod(sums["n"], len(weights))
+    total_weight = n * sum(weights) + sum(weights[:rest])
+    level = (share * (sums["size"] or 0) - F.col("cap_before")) / (total_weight - F.col("weight_before"))
+    leveled = dealt.withColumn("level", level).where(F.col("cap") > F.col("weight") * F.col("level"))
+    first = leveled.agg(F.min_by("level", F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source"))).first()[0]
+    target = F.col("cap") if first is None else F.least("cap", F.col("weight") * F.lit(float(first)))
+    return dealt.select("source", "source_size", "n_rows", "n_units", target.alias("target"))
+
+
+def tilted_rate(size: Column, tilt: Column, mean: Column, most: float) -> Column:
+    """How often the mix takes a document on average: min(most, exp(tilt * size / mean size)); 1 where nothing is to tilt."""
+    x = tilt * size / mean
+    return F.when(tilt.isNull() | (size == 0), 1.0).when(x < F.log(F.lit(most)), F.exp(x)).otherwise(most)
+
+
+def solved_tilts(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
+    """(source, tilt, mean): the tilt at which the rates' token sum meets each source's target, from a histogram (source, size, n).
+
+    The tilt of a source is the dual variable of its token constraint. Every Newton step is one distributed aggregation
+    over the histogram; steps are taken on the log of the sum and fall back to bisection where they would leave the
+    bracket. Goes on until every source is within TOLERANCE; RuntimeError if that doesn't happen. Sources without tokens
+    have no row.
     """
-    hist = cut(sizes.groupBy("source", "size").agg(F.count("*").alias("n")))
-    live = targets.where(F.col("source_size") > 0).withColumn("mean", F.col("source_size") / F.col("n_units"))
+    hist = sizes.select("source", "size", "n")
+    live = targets.where(F.col("source_size") > 0).withColumn("mean", F.col("source_size") / F.col("n_rows"))
     state = cut(live.select("source", "target", "mean", "source_size", F.lit(0.0).alias("tilt"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("miss")))
     x = F.col("size") / F.col("mean")
     free = F.col("tilt") * x < F.log(F.lit(most))
@@ -66,12 +85,11 @@ def tilted_rates(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> Dat
         middle = F.when(F.col("low2").isNull(), F.least(F.lit(-1.0), 2 * F.col("tilt"))).when(F.col("high2").isNull(), F.greatest(F.lit(1.0), 2 * F.col("tilt"))).otherwise((F.col("low2") + F.col("high2")) / 2)
         miss = F.when(full, 0.0).otherwise(F.abs(F.col("s") / F.col("target") - 1))
         step = F.when(full, F.lit(float("inf"))).when(miss < TOLERANCE, F.col("tilt")).when(inside, newton).otherwise(middle)
-        state = cut(sums.withColumns({"low2": low, "high2": high}).select("source", "target", "mean", "source_size", step.alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), miss.alias("miss")).coalesce(1))
-        if (state.agg(F.max("miss")).first()[0] or 0.0) < TOLERANCE:
-            break
-    solved = state.select(F.col("source").alias("s_source"), "tilt", "mean")
-    capped = F.when(F.col("tilt").isNull() | (F.col("size") == 0), 1.0).when(free, F.exp(F.col("tilt") * x)).otherwise(most)
-    return hist.join(solved, hist["source"].eqNullSafe(solved["s_source"]), "left").select("source", "size", capped.alias("rate"))
+        state = cut(sums.withColumns({"low2": low, "high2": high}).select("source", "target", "mean", "source_size", step.alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), miss.alias("miss")))
+        worst = state.agg(F.max("miss")).first()[0] or 0.0
+        if worst < TOLERANCE:
+            return state.select("source", "tilt", "mean")
+    raise RuntimeError(f"a source's tokens still miss its target by a share of {worst}")
 
 
 def copies_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2) -> DataFrame:
@@ -80,20 +98,22 @@ def copies_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat source, id and text are one unit of n_rows rows with the same copies. Units are dealt by hash
     into groups of about GROUP; a group goes from its largest unit to its smallest and rounds each so that the words
     taken follow the sum of rates, so a group's error is about half its smallest document. No sampling: reruns agree.
+    Null ids and sources are values; null texts and texts without words have size 0 and are taken once.
     """
     sized = docs.select(F.col(source_col).alias("source"), *row_key(id_col, text_col), word_count(F.col(text_col)).alias("size"))
     units = cut(sized.groupBy("source", "k_id", "k_text").agg(F.first("size").alias("size"), F.count("*").alias("n_rows")))
-    rows = units.select("source", (F.col("size") * F.col("n_rows")).alias("size"))
-    targets = cut(source_targets(rows).coalesce(1))
-    each = units.select("source", F.explode(F.array_repeat("size", F.col("n_rows").cast("int"))).alias("size"))
-    counts = each.groupBy("source").agg(F.count("*").alias("n_units"))
-    per_row = targets.drop("n_units").join(counts.withColumnRenamed("source", "c_source"), F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
-    rates = cut(tilted_rates(each, per_row, float(most))).withColumnsRenamed({"source": "r_source", "size": "r_size"})
-    groups = F.greatest(F.lit(1), F.ceil(F.col("n_units") / GROUP))
-    t = targets.withColumnRenamed("source", "t_source")
-    rated = units.join(rates, units["source"].eqNullSafe(rates["r_source"]) & (units["size"] == rates["r_size"])).join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    dealt = rated.select("source", "source_size", "target", F.pmod(F.xxhash64("k_id", "k_text"), groups).alias("part"), F.struct((-F.col("size") * F.col("n_rows")).alias("order"), "k_id", "k_text", "size", "n_rows", "rate").alias("unit"))
-    held = dealt.groupBy("source", "source_size", "target", "part").agg(F.array_sort(F.collect_list("unit")).alias("units"))
+    hist = cut(units.groupBy("source", "size").agg(F.sum("n_rows").alias("n"), F.count("*").alias("units")))
+    targets = cut(source_targets(hist, most=float(most)))
+    tilts = solved_tilts(hist, targets, float(most)).withColumnRenamed("source", "s_source")
+    known = targets.join(tilts, targets["source"].eqNullSafe(tilts["s_source"]), "left").select(F.col("source").alias("t_source"), "source_size", "target", "tilt", "mean", F.greatest(F.lit(1), F.ceil(F.col("n_units") / GROUP)).alias("groups"))
+    # Small tables of sources are broadcast by size; others meet their units in parts, so that a large source fills no task.
+    known = cut(known).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = units.withColumn("u_salt", salt("k_id", "k_text"))
+    rated = dealt.join(known, dealt["source"].eqNullSafe(known["t_source"]) & (dealt["u_salt"] == known["salt"]))
+    rate = tilted_rate(F.col("size"), F.col("tilt"), F.col("mean"), float(most))
+    unit = F.struct((-F.col("size") * F.col("n_rows")).alias("order"), "k_id", "k_text", "size", "n_rows", rate.alias("rate"))
+    rated = rated.select("source", "source_size", "target", F.pmod(F.xxhash64("k_id", "k_text"), "groups").alias("part"), unit.alias("unit"))
+    held = rated.groupBy("source", "source_size", "target", "part").agg(F.array_sort(F.collect_list("unit")).alias("units"))
 
     def rounded(acc: Column, u: Column) -> Column:
         words = (u["size"] * u["n_rows"]).cast("double")
@@ -107,6 +127,13 @@ def copies_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return flat.select("source", "u.units.k_id", "u.units.k_text", "u.units.size", "u.units.n_rows", "source_size", "target", "u.copies")
 
 
+def repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Each row n times, however large n is: no array of more than 4,096 numbers or n / 4,096 is built."""
+    most = 4096
+    outer = rows.withColumn("_outer", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {most}"))))
+    return outer.withColumn("_inner", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most), F.col(n) - most * F.col("_outer"))))).drop("_outer", "_inner")
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2) -> DataFrame:
     """docs as the mix takes them: each row as often as copies_plan() says, zero times included; columns stay."""
     plan = copies_plan(docs, id_col, text_col, source_col, most).select(F.col("source").alias("k_source"), "k_id", "k_text", "copies")
@@ -116,6 +143,6 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    plan = copies_plan(docs)
-    rows = plan.withColumn("row", F.explode(F.array_repeat(F.lit(1), F.col("n_rows").cast("int"))))
+    """(doc_id, size, source_size, target, taken) of every row; repeated rows have a row each."""
+    rows = repeated(copies_plan(docs), "n_rows")
     return rows.select(F.col("k_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import IS_WORD, WS, Words, give_back, slices, utf8_of
+from captionloom.llm.common import IS_WORD, WS, Words, cut, give_back, quoted, slices, utf8_of
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_alpha_words long, n_lines long, n_distinct_words long, n_symbol_words long"
 WINDOW = 5
@@ -64,18 +64,22 @@ def measures(text: Column) -> Column:
     return F.arrow_udf(_measures, MEASURES)(text)
 
 
-def rules(m: Column) -> dict[str, tuple[Column, Column]]:
-    """Each rule's (votes bad, votes good); it abstains where neither holds."""
+def rules(m: Column) -> dict[str, tuple[Column, ...]]:
+    """Each rule's (votes bad, votes good[, votes bad for two reasons or more]); it abstains where neither holds.
+
+    Votes are taken to be independent, so measures of the same thing are one rule: its strong vote says that they agree.
+    """
     words = F.greatest(m["n_words"], F.lit(1))
     share = lambda c: m[c] / words
     length = m["word_chars"] / words
     lines = F.greatest(m["n_lines"], F.lit(1))
     long_enough = m["n_words"] >= 50
+    many_symbols = (share("n_symbols") > 0.1, m["n_symbols"] > 0.02 * m["word_chars"], share("n_symbol_words") > 0.08)
+    few_symbols = (share("n_symbols") < 0.03) & (m["n_symbols"] < 0.005 * m["word_chars"]) & (share("n_symbol_words") < 0.03)
+    reasons = sum((c.cast("int") for c in many_symbols), F.lit(0))
     return {
         "length": (m["n_words"] < 10, m["n_words"] >= 30),
-        "symbols_per_word": (share("n_symbols") > 0.1, share("n_symbols") < 0.03),
-        "symbols_per_char": (m["n_symbols"] > 0.02 * m["word_chars"], m["n_symbols"] < 0.005 * m["word_chars"]),
-        "symbol_words": (share("n_symbol_words") > 0.08, share("n_symbol_words") < 0.03),
+        "symbols": (reasons > 0, few_symbols, reasons > 1),
         "lines": (m["n_dup_lines"] / lines > 0.5, (m["n_dup_lines"] == 0) & (m["n_lines"] >= 2)),
         "repeats": (share("n_repeat_words") > 0.2, long_enough & (share("n_repeat_words") < 0.05)),
         "word_length": ((length < 2) | (length > 15), (length >= 3) & (length <= 10)),
@@ -89,47 +93,54 @@ def base_failed(m: Column) -> Column:
 
 
 def vote_pattern(m: Column) -> Column:
-    """All votes in one string: '-', '0' or '+' for each rule, in the order of rules()."""
-    return F.concat(*[F.when(bad, "-").when(good, "+").otherwise("0") for bad, good in rules(m).values()])
+    """All votes in one string: '=' (strongly bad), '-', '0' or '+' for each rule, in the order of rules()."""
+    return F.concat(*[F.when(strong[0] if strong else F.lit(False), "=").when(bad, "-").when(good, "+").otherwise("0") for bad, good, *strong in rules(m).values()])
+
+
+#: Where a rule's rates of strongly bad and of bad votes start, and between what they stay, for bad and for good texts.
+STARTS = ((0.4, 0.5), (0.0002, 0.02))
+BOUNDS = (((0.2, 0.9), (0.2, 0.999)), ((0.0001, 0.0005), (0.001, 0.05)))
 
 
-def fit_label_model(counts: dict[str, int], steps: int = 200, tolerance: float = 1e-9) -> dict[str, float]:
-    """Posterior probability of good quality for each vote pattern, by expectation-maximisation.
+def fit_label_model(counts: dict[str, int], tolerance: float = 1e-9) -> dict[str, float]:
+    """Posterior probability of good quality for each vote pattern, by expectation-maximisation until nothing moves.
 
     A rule that votes calls a bad text bad, and a good text bad, with probabilities of its own; abstaining says nothing.
     A bad text may look good to most rules (0.5 at the start, 0.2 at least to be caught), while a good one is seldom
     called bad (0.02 at the start, 0.05 at most): this keeps the two classes from changing places. A pattern in which
-    all rules abstain gets the share of good texts.
+    all rules abstain gets the share of good texts. RuntimeError if 100,000 steps are not enough.
     """
     if not counts:
         return {}
-    votes = np.array([[{"-": -1, "0": 0, "+": 1}[v] for v in p] for p in counts])
+    votes = np.array([list(p) for p in counts])
     n = np.array(list(counts.values()), float)
-    caught = np.stack([np.full(votes.shape[1], 0.5), np.full(votes.shape[1], 0.02)])  # [bad, good] x rule
-    bounds = ((0.2, 0.999), (0.001, 0.05))
+    strong, bad, fine = ((votes == v).astype(float) for v in "=-+")
+    rates = [[np.full(votes.shape[1], r) for r in pair] for pair in STARTS]  # [bad, good] x [strong, bad] x rule
     prior, before = 0.8, None
-    for _ in range(steps):
-        log = [(votes < 0) @ np.log(c) + (votes > 0) @ np.log(1 - c) for c in caught]
+    for _ in range(100_000):
+        log = [strong @ np.log(s) + bad @ np.log(b) + fine @ np.log(np.maximum(1 - b - s * strong.any(axis=0), 1e-3)) for s, b in rates]
         good = 1 / (1 + np.exp(np.clip(log[0] + np.log(1 - prior) - log[1] - np.log(prior), -700, 700)))
         if before is not None and np.abs(good - before).max() < tolerance:
-            break
+            return dict(zip(counts, map(float, good), strict=True))
         before = good
         prior = float(np.clip((n @ good + 4) / (n.sum() + 5), 0.05, 0.95))
         for c, weight in enumerate((n * (1 - good), n * good)):
-            caught[c] = np.clip((weight @ (votes < 0) + (5, 0.2)[c]) / (weight @ (votes != 0) + 10), *bounds[c])
-    return dict(zip(counts, map(float, good), strict=True))
+            given = weight @ (strong + bad + fine) + 10
+            rates[c] = [np.clip((weight @ v + 10 * start) / given, *bound) for v, start, bound in zip((strong, bad), STARTS[c], BOUNDS[c], strict=True)]
+    raise RuntimeError("the rules' accuracies don't settle")
 
 
-def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(row, m, base_failed, posterior, kept) for every row of docs; row holds all its columns.
+def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, carried: list[str] | None = None) -> DataFrame:
+    """(row, m, base_failed, posterior, kept) for every row of docs; row holds all its columns, or those that are carried.
 
     A row is kept if the base rules pass and its posterior reaches the threshold. Null and empty texts have no words and
-    fail. Only the counts of vote patterns reach the driver: at most 3 ** rules of them, whatever the input's size.
+    fail. Measures are taken once and written with the rows; only the counts of vote patterns reach the driver: at most
+    4 * 3 ** 6 of them, whatever the input's size.
     """
-    row = F.struct(*docs.columns) if docs.columns else F.struct(F.lit(None).alias("none"))
-    seen = docs.select(row.alias("row"), measures(F.col(text_col)).alias("m")).withColumn("pattern", vote_pattern(F.col("m")))
-    tally = docs.select(measures(F.col(text_col)).alias("m")).select(vote_pattern(F.col("m")).alias("pattern")).groupBy("pattern").count()
-    posterior = fit_label_model({r["pattern"]: r["count"] for r in tally.collect()})
+    names = docs.columns if carried is None else carried
+    row = F.struct(*[F.col(quoted(c)) for c in names]) if names else F.struct(F.lit(None).alias("none"))
+    seen = cut(docs.select(row.alias("row"), measures(F.col(text_col)).alias("m")).withColumn("pattern", vote_pattern(F.col("m"))))
+    posterior = fit_label_model({r["pattern"]: r["count"] for r in seen.groupBy("pattern").count().collect()})
     table = docs.sparkSession.createDataFrame(sorted(posterior.items()), "p string, posterior double")
     both = seen.join(F.broadcast(table), seen["pattern"] == table["p"], "left")
     failed = base_failed(F.col("m"))
@@ -137,10 +148,12 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> D
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that judged() keeps, with all their columns."""
     return judged(docs, text_col, threshold).where("kept").select("row.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    out = judged(docs.select("doc_id", "text"))
+    """(doc_id, counts, base_failed, kept, posterior) of every row; null and empty texts have counts of 0 and fail."""
+    out = judged(docs, carried=["doc_id"])
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select(F.col("row.doc_id").alias("doc_id"), *[F.col("m")[c].alias(c) for c in counts], "base_failed", "kept", "posterior")

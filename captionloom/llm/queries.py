@@ -28,7 +28,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_pages(spark, sf_dir))
+    return url_filter.judged_report(_pages(spark, sf_dir))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +56,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece)}
-ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

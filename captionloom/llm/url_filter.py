@@ -33,13 +33,29 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain, taken to be the last two labels."""
-    return F.substring_index(host, ".", -2)
+#: Second labels under country suffixes where names are registered one label further down.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
+ADDRESS = r"^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*)$"
+
+
+def name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", "")
 
 
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The public suffix, taken to be the last label, or two under countries that register below co, com and the like; all
+    addresses share one."""
+    name = name_of(host)
+    deep = name.rlike(rf"(^|\.)({'|'.join(SECOND_LABELS)})\.[a-z][a-z]$")
+    return F.when(name.rlike(ADDRESS), "(address)").otherwise(F.when(deep, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)))
+
+
+def domain_of(host: Column) -> Column:
+    """The registered domain: the suffix and one label more. An address is its own."""
+    name = name_of(host)
+    more = F.size(F.split(suffix_of(host), r"\.")) + 1
+    return F.when(name.rlike(ADDRESS), name).otherwise(F.array_join(F.slice(F.split(name, r"\."), -F.least(more, F.size(F.split(name, r"\."))), more), "."))
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
@@ -97,6 +113,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Pages that a rule fits get its verdict. Others are blocked if their host's reputation bound reaches BOUND, else
     allowed; a host without labelled pages has the bound that its domain's pages give, else its suffix's, else all pages.
+    A host of any size is one row of the reputations; its pages meet them by a join that Spark splits or broadcasts by size.
     URLs without a host are allowed. outcomes (host, is_bad) are the labelled pages; by default they are the pages that a
     rule judged. Null URLs have an empty host and path.
     """
@@ -112,3 +129,49 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     both = both.withColumn("lower", F.when(F.col("host") != "", F.coalesce("host_lower", "domain_lower", "suffix_lower", rest)))
     by_host = F.when(F.col("lower") >= BOUND, "block").otherwise("allow")
     return both.select(id_col, "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), "lower")
+
+
+def judged_report(pages: DataFrame) -> DataFrame:
+    """judge_urls() with the bound rounded, so that the order of sums doesn't show."""
+    return judge_urls(pages).withColumn("lower", F.round("lower", 6))
+
+
+def _sql_strength(groups: str) -> str:
+    rho = "(sum(n * pow(bad / n - prior, 2)) - sum(n * prior * (1 - prior)) * count(*) / sum(n)) / greatest(sum(n * prior * (1 - prior)) * (1 - count(*) / sum(n)), 1e-12)"
+    return f"(SELECT CASE WHEN count(*) < 2 OR sum(n * prior * (1 - prior)) = 0 THEN 10.0 ELSE 1 / least(greatest({rho}, 1e-3), 1 / (1 + {LEAST})) - 1 END FROM {groups})"
+
+
+def _sql_lower(mean: str, share: str) -> str:
+    return f"{mean} - {Z} * sqrt({mean} * (1 - {mean}) * {share})"
+
+
+def _sql_case(value: str) -> str:
+    """The longest rule that fits, as a CASE."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if value == 'rule' else v}'" for v, h, p in rules) + " END"
+
+
+_SECOND = "|".join(SECOND_LABELS)
+ORACLE = rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+v AS (SELECT *, {_sql_case("rule")} AS rule, {_sql_case("verdict")} AS given, regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') AS name FROM u),
+x AS (SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN '(address)' WHEN regexp_matches(name, '(^|\.)({_SECOND})\.[a-z][a-z]$') THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS suffix FROM v),
+s AS (SELECT *, CASE WHEN suffix = '(address)' THEN name ELSE array_to_string(list_slice(string_split(name, '.'), -(len(string_split(suffix, '.')) + 1), -1), '.') END AS domain FROM x),
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, count(*) FILTER (given = 'block')::DOUBLE AS bad FROM s WHERE given IS NOT NULL GROUP BY ALL),
+base AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM h),
+g1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT mean FROM base) AS prior FROM h GROUP BY suffix),
+k1 AS (SELECT {_sql_strength("g1")} AS k),
+m1 AS (SELECT suffix, (bad + k * prior) / (n + k) AS mean FROM g1, k1),
+g2 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(m1.mean) AS prior FROM h JOIN m1 USING (suffix) GROUP BY domain, suffix),
+k2 AS (SELECT {_sql_strength("g2")} AS k),
+m2 AS (SELECT domain, (bad + k * prior) / (n + k) AS mean FROM g2, k2),
+g3 AS (SELECT host, n, bad, m2.mean AS prior FROM h JOIN m2 USING (domain)),
+k3 AS (SELECT {_sql_strength("g3")} AS k),
+m3 AS (SELECT host, n, (bad + k * prior) / (n + k) AS mean FROM g3, k3),
+b3 AS (SELECT host, {_sql_lower("mean", "(1 / (n + k + 1))")} AS lower FROM m3, k3),
+b2 AS (SELECT domain, {_sql_lower("mean", "(1 - k3.k / (k3.k + 1))")} AS lower FROM m2, k3),
+b1 AS (SELECT suffix, {_sql_lower("mean", "(1 - k3.k / (k3.k + 1) * k2.k / (k2.k + 1))")} AS lower FROM m1, k3, k2),
+b0 AS (SELECT {_sql_lower("mean", "(1 - k3.k / (k3.k + 1) * k2.k / (k2.k + 1) * k1.k / (k1.k + 1))")} AS lower FROM base, k3, k2, k1),
+j AS (SELECT s.*, CASE WHEN s.host <> '' THEN coalesce(b3.lower, b2.lower, b1.lower, (SELECT lower FROM b0)) END AS lower FROM s LEFT JOIN b3 ON s.host = b3.host LEFT JOIN b2 ON s.domain = b2.domain LEFT JOIN b1 ON s.suffix = b1.suffix)
+SELECT page_id, host, path, rule, coalesce(given, CASE WHEN lower >= {BOUND} THEN 'block' ELSE 'allow' END) AS verdict, round(lower, 6) AS lower FROM j
+"""

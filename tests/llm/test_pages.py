@@ -29,6 +29,37 @@ def test_extract(page):
     assert html_extract.extract(html_extract.trained(), [page]) == [WANT]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<head><title>T</title><meta charset=utf-8><article>{ARTICLE}</article>",  # neither </head> nor <body>
+        f"<html><head><title>T</title></head><body><main><datalist id=x><option value=a>A<option>B</datalist>{ARTICLE}</main></body>",
+        f"<body><article><div><button class=share>Share</div>{ARTICLE}</article></body>",
+        f"<body><article><!-- <script> is made later -->{ARTICLE}<!-- <style> --></article></body>",
+        f"<body><article><button><div>Go</div></button>{ARTICLE}<select><option>One<option>Two</select></article></body>",
+        f"<body><article><svg><g><path/></g><text>no</text></svg>{ARTICLE}<noscript><p>Turn it on</p></noscript></article></body>",
+    ],
+)
+def test_extract_broken_markup(page):
+    assert html_extract.extract(html_extract.trained(), [page]) == [WANT]
+
+
+def test_blocks_keep_fallbacks_and_formulas():
+    texts = [t for _, t, _ in html_extract.blocks_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data=a><p>A chart of it.</p></object></article>")]
+    assert texts == ["Let x=2 hold.", "A chart of it."]
+
+
+def test_long_pages_in_parts(monkeypatch):
+    model, r = html_extract.trained(), random.Random(3)
+    page = "".join(html_extract.training_page(r)[0] for _ in range(12))
+    blocks = html_extract.blocks_of(page)
+    x, mask = html_extract.padded([blocks])
+    assert np.allclose(model.long_page(blocks, 50), model.probabilities(x, mask)[0], atol=1e-4)
+    whole = html_extract.extract(model, [page])
+    monkeypatch.setattr(html_extract, "BLOCKS", 50)
+    assert html_extract.extract(model, [page, "<p>x</p>"])[:1] == whole
+
+
 def test_extract_held_out():
     model, r, right, total = html_extract.trained(), random.Random(99), 0, 0
     for _ in range(150):
@@ -36,7 +67,7 @@ def test_extract_held_out():
         blocks = html_extract.blocks_of(page)
         assert len(blocks) == len(labels)
         if blocks:
-            x, mask = html_extract.padded([blocks], html_extract.features([blocks]))
+            x, mask = html_extract.padded([blocks])
             right += ((model.probabilities(x, mask)[0] >= 0.5) == np.array(labels, bool)).sum()
             total += len(labels)
     assert right / total > 0.99
