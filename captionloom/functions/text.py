@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CLOCK = r"^([0-9]{2}):([0-9]{2}):([0-9]{2})[.,]([0-9]{3})$"
-#: Formats tried behind the wanted one, best first.
+#: Formats tried behind the wanted one, best first.
 FALLBACK_FORMATS = ("json3", "srv3", "vtt", "ttml", "srt", "best")
 
 
@@ -66,13 +66,21 @@ def unescape_html(c: Column) -> Column:
     return F.pandas_udf(_unescape, "string")(c)
 
 
+def _gram(words: str) -> str:
+    # Words of a repeat are whole but for the first one's start and the last repeat's end, so nothing is tried twice.
+    return rf"(?iuU)\b(\S++{words})(?:\s++\1)+\b"
+
+
 def collapse_repeats(c: Column) -> Column:
-    """Immediate repeats of three words, then two, then one become one; case doesn't count, the first spelling stays."""
-    for width in (3, 2, 1):
-        gram = r"\S+" + r"\s+\S+" * (width - 1)
+    """Immediate repeats of three words, then two, then one become one; case doesn't count, the first spelling stays.
+
+    One look for any repeat spares most texts the nine replacements.
+    """
+    out = c
+    for more in (r"\s++\S++\s++\S++", r"\s++\S++", ""):
         for _ in range(3):
-            c = F.regexp_replace(c, rf"(?iuU)\b({gram})(?:\s+\1)+\b", "$1")
-    return c
+            out = F.regexp_replace(out, _gram(more), "$1")
+    return F.when(c.rlike(_gram(r"(?:\s++\S++){0,2}")), out).otherwise(c)
 
 
 def normalize_text(c: Column, entities: bool = True) -> Column:
@@ -82,20 +90,29 @@ def normalize_text(c: Column, entities: bool = True) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
 
 
 def remove_overlap(prev: Column, cur: Column, least: int = 3, most: int = 30) -> Column:
     """cur without the longest token prefix (least to most tokens, else two) that ends prev. Case counts."""
-    a, b = tokens(prev), tokens(cur)
-    fits = F.least(F.size(a), F.size(b), F.lit(most))
-    sizes = F.when(fits >= least, F.sequence(fits, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    if least > 2:
-        sizes = F.concat(sizes, F.when(fits >= 2, F.array(F.lit(2))).otherwise(F.array().cast("array<int>")))
-    hits = F.filter(sizes, lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n))
-    k = F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
-    cut = F.array_join(F.slice(b, k + 1, F.greatest(F.size(b) - k, F.lit(0))), " ")
-    return F.when(prev.isNull() | (k == 0), cur).otherwise(cut)
+
+    def told(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        fits = F.least(F.size(a), F.size(b), F.lit(most))
+        none = F.array().cast("array<int>")
+        sizes = F.when(fits >= least, F.sequence(fits, F.lit(least), F.lit(-1))).otherwise(none)
+        if least > 2:
+            sizes = F.concat(sizes, F.when(fits >= 2, F.array(F.lit(2))).otherwise(none))
+        hits = F.filter(sizes, lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n))
+        k = F.coalesce(F.get(hits, F.lit(0)), F.lit(0))
+        cut = F.array_join(F.slice(b, k + 1, F.greatest(F.size(b) - k, F.lit(0))), " ")
+        # A prefix begins with cur's first token: where that is not near prev's end, nothing else is tried.
+        near = F.array_contains(F.slice(a, -F.greatest(F.lit(1), F.least(F.size(a), F.lit(most))), F.lit(most)), F.get(b, F.lit(0)))
+        return F.when(near & (k > 0), cut).otherwise(cur)
+
+    # Both texts are cut into tokens once, as an array's element: an expression used again would be computed again.
+    both = F.array(F.struct(tokens(F.coalesce(prev, F.lit(""))).alias("a"), tokens(cur).alias("b")))
+    return F.when(prev.isNull() | cur.isNull(), cur).otherwise(F.get(F.transform(both, told), F.lit(0)))
 
 
 def format_chain(fmt: Column, fallbacks: Iterable[str] = FALLBACK_FORMATS) -> Column:

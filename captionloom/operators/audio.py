@@ -55,12 +55,13 @@ def detect_silences_adaptive(loudness: DataFrame, floors: DataFrame, min_d: floa
 def nearest(targets: DataFrame, points: DataFrame, limit: float) -> DataFrame:
     """targets (job_id, target) with `point`: the nearest of points (job_id, mid) within limit, the earlier of two; else null.
 
-    Targets and points are merged and sorted once per job; the neighbours on both sides are the only candidates.
+    Targets and points are merged and sorted by time, forth and back, per job; the neighbours on both sides are the only
+    candidates, and either window looks at rows that it has passed already.
     """
     both = targets.select("job_id", F.col("target").alias("at"), F.lit(1).alias("asks")).unionByName(points.select("job_id", F.col("mid").alias("at"), F.lit(0).alias("asks")))
-    order = Window.partitionBy("job_id").orderBy("at", "asks")
     own = F.when(F.col("asks") == 0, F.col("at"))
-    near = both.select("job_id", "at", "asks", F.last(own, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("before"), F.first(own, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("after"))
+    passed = lambda *order: F.last(own, True).over(Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.select("job_id", "at", "asks", passed("at", "asks").alias("before"), passed(F.desc("at"), "asks").alias("after"))
     later = F.col("before").isNull() | (F.col("after") - F.col("at") < F.col("at") - F.col("before"))
     point = F.when(F.col("after").isNotNull() & later, F.col("after")).otherwise(F.col("before"))
     return near.where("asks = 1").select("job_id", F.col("at").alias("target"), F.when(F.abs(point - F.col("at")) <= limit, point).alias("point"))

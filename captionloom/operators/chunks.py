@@ -16,7 +16,8 @@ from captionloom.functions.text import normalize_text
 def drop_adjacent_duplicates(lines: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """Rows whose text differs from the row before in the same group."""
     before = F.lag(text).over(Window.partitionBy(*keys).orderBy(order))
-    return lines.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(text))).drop("_before")
+    held = lines.select(F.struct("*").alias("row"), before.alias("before"))
+    return held.where(F.col("before").isNull() | (F.col("before") != F.col("row")[text])).select("row.*")
 
 
 def trimmed_overlap(prev: str | None, cur: str, least: int = 3, most: int = 30) -> str:

@@ -33,12 +33,15 @@ def job_progress(events: DataFrame) -> DataFrame:
     return e.groupBy("job_id").agg(F.max_by("d.received", "at").alias("received"), F.max_by("d.total", "at").alias("total"))
 
 
-def job_events(events: DataFrame, job_id: str) -> DataFrame:
-    """A job's feed (seq, type, data): its status first, then its events in order."""
-    own = events.where(F.col("job_id") == job_id)
-    status = job_status(own).select(F.lit(0).cast("long").alias("seq"), F.lit("state").alias("type"), F.to_json(F.struct("state", "detail", "error")).alias("data"), F.lit(None).cast("timestamp").alias("ts"))
-    rest = own.select(F.col("event_id").cast("long").alias("seq"), "type", "data", "ts")
-    return status.unionByName(rest).orderBy(F.col("ts").asc_nulls_first(), "seq")
+def job_events(events: DataFrame, job_id: str | None = None) -> DataFrame:
+    """A job's feed (job_id, seq, type, data, ts), or that of every job: its status first (seq 0, no time), then its events.
+
+    Sorted by job, time and seq. A job without state events has no status row.
+    """
+    own = events.where(F.col("job_id") == job_id) if job_id is not None else events
+    status = job_status(own).select("job_id", F.lit(0).cast("long").alias("seq"), F.lit("state").alias("type"), F.to_json(F.struct("state", "detail", "error")).alias("data"), F.lit(None).cast("timestamp").alias("ts"))
+    rest = own.select("job_id", F.col("event_id").cast("long").alias("seq"), "type", "data", F.col("ts").cast("timestamp").alias("ts"))
+    return status.unionByName(rest).orderBy("job_id", F.col("ts").asc_nulls_first(), "seq")
 
 
 def artifacts(events: DataFrame) -> DataFrame:

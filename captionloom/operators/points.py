@@ -28,27 +28,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _replace(spark: SparkSession, staged: str, path: str) -> None:
     """Rewrite the staged buckets in place, and drop the staging."""
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("buckets", "bucket").parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def upsert_points(batch: DataFrame, path: str, order_col: str = "order", buckets: int = 64) -> None:
+def upsert_points(batch: DataFrame, path: str, order_col: str = "order", buckets: int | None = None) -> None:
     """Insert or replace the batch's points (id, ..., order_col) in the table at path; applying a batch twice changes nothing.
 
-    Only touched buckets are read and rewritten: the batch's bucket numbers (`buckets` at most) prune the scan. The result
-    is staged beside the table first, since a path can't be read and overwritten at once; after a crash, run it again.
+    Only touched buckets are read and rewritten: the batch's bucket numbers prune the scan. How many buckets there are is
+    stored with the table, in its folders' names: a new table has 64 unless given, and another number than the table's is
+    an error. The result is staged beside the table first, since a path can't be read and overwritten at once; after a
+    crash, run it again. Readers may see some buckets of a batch before others.
     """
     spark = batch.sparkSession
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    table = spark.read.parquet(path) if _exists(spark, path) else None
+    held = table.select("buckets").first()[0] if table is not None else buckets or 64
+    if buckets and buckets != held:
+        raise ValueError(f"the table has {held} buckets, not {buckets}")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(held)).cast("int")
     touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
     if not touched:
         return
-    existing = spark.read.parquet(path).where(F.col("bucket").isin(*touched)).drop("bucket") if _exists(spark, path) else None
+    existing = table.where(F.col("bucket").isin(*touched)).drop("bucket", "buckets") if table is not None else None
     staged = f"{path.rstrip('/')}__staged"
-    merged(existing, batch, order_col).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(staged)
+    merged(existing, batch, order_col).withColumns({"buckets": F.lit(held), "bucket": bucket}).repartition("bucket").write.mode("overwrite").partitionBy("buckets", "bucket").parquet(staged)
     _replace(spark, staged, path)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    return spark.read.parquet(path).drop("bucket", "buckets")

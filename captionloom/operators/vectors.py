@@ -46,7 +46,9 @@ def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Enco
     null vectors and the reason; the others go on. Null texts count as empty.
     """
     make = make_encoder or hashed_words(dim)
-    schema = T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
+    plain = [f"c{k}" for k in range(len(df.columns))]  # so that no name of a column matters inside
+    fields = [T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)]
+    schema = T.StructType([*fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make()
@@ -54,15 +56,17 @@ def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Enco
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch].copy()
                 try:
-                    x = np.asarray(encode(part["_prepared"].tolist()), float)
+                    x = np.asarray(encode(part["prepared"].tolist()), float)
                     if x.shape != (len(part), dim):
                         raise ValueError(f"vectors of shape {x.shape}, not {(len(part), dim)}")
                     part["vector"], part["embed_error"] = list(unit_rows(x).astype(np.float32)), None
                 except Exception as e:  # noqa: BLE001  the encoder is the caller's; its failure belongs to the batch
                     part["vector"], part["embed_error"] = None, f"{type(e).__name__}: {e}"
-                yield part.drop(columns="_prepared")
+                yield part.drop(columns="prepared")
 
-    return df.withColumn("_prepared", prepare_text(F.coalesce(F.col(text_col), F.lit("")))).mapInPandas(run, schema)
+    held = df.toDF(*plain)
+    text = F.col(plain[df.columns.index(text_col)])
+    return held.withColumn("prepared", prepare_text(F.coalesce(text, F.lit("")))).mapInPandas(run, schema).toDF(*df.columns, "vector", "embed_error")
 
 
 def embedded_items(messages: DataFrame, model: str) -> DataFrame:

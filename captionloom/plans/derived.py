@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.ids import dashed, url_uuid
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder under the session's shared one; a local one only where none is set and everything runs in one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(at or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/queries/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,17 +43,17 @@ def job_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEFAULT_USER = "00000000-0000-4000-8000-000000000001"
 
 
-def faulty_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message a document, with a fault in some by rule."""
+def faulty_messages(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One message a document, with a fault in some by rule; and more of its columns."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     n = F.col("doc_id")
     uuid = dashed(url_uuid(n.cast("string")))
     times = F.when(n % 11 != 0, F.struct(F.when(n % 26 == 7, "x").otherwise((n % 50).cast("string")).alias("time_from"), (n % 50 + F.when(n % 22 == 3, -1).otherwise(1)).cast("string").alias("time_to")))
     return d.select(
-        F.when(n % 31 == 1, "not-a-uuid").otherwise(uuid).alias("doc_chunk_id"), F.substring("text", 1, 600).alias("text"), F.when(n % 37 == 2, "42").otherwise(uuid).alias("user_id"), F.col("source"),
+        F.when(n % 31 == 1, "not-a-uuid").otherwise(uuid).alias("doc_chunk_id"), F.col("text"), F.when(n % 37 == 2, "42").otherwise(uuid).alias("user_id"), F.col("source"),
         F.when(n % 13 == 0, "  ").otherwise(F.concat(F.lit("T"), n)).alias("title"), F.when(F.col("quality") == 0, F.lit(None)).otherwise(F.col("lang")).alias("lang"),
         F.when(n % 41 == 5, "yesterday").otherwise("2025-01-02T03:04:05Z").alias("created_at"), F.lit("https://videos.example/x").alias("source_url"),
-        F.when(n % 3 == 0, n.cast("string")).when(n % 43 == 7, "abc").otherwise(uuid).alias("source_id"), times.alias("video_timestamp"),
+        F.when(n % 3 == 0, n.cast("string")).when(n % 43 == 7, "abc").otherwise(uuid).alias("source_id"), times.alias("video_timestamp"), *more,
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +10,16 @@ from pyspark.sql import functions as F
 from captionloom.functions.text import to_jsonable
 from captionloom.operators import jobs, points, validate
 from captionloom.plans import derived
-from captionloom.plans.queries import ORACLES, query
+from captionloom.plans.derived import folder
+from captionloom.plans.queries import ORACLES, REASON_SQL, query
 from captionloom.streaming import streams
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{at.rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
-def stream_of(spark: SparkSession, df: DataFrame, at: str, files: int = 4) -> DataFrame:
-    """df as a stream of files, one a trigger."""
+def stream_of(spark: SparkSession, df: DataFrame, at: str, triggers: int = 4) -> DataFrame:
+    """df as a stream of files, as many as shuffles have partitions, read in a few triggers."""
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(files).write.parquet(at)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-files // triggers)).parquet(at)
 
 
 def final_state(df: DataFrame, at: str) -> DataFrame:
@@ -64,8 +58,8 @@ def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as JSON lines through the validating stream: its accepted ones and its rejects by reason."""
     at = folder(spark)
-    derived.faulty_messages(spark, sf_dir).select(to_jsonable(F.struct("*")).alias("value")).repartition(3).write.text(f"{at}/in")
-    streams.stream_validate(spark, f"{at}/in", f"{at}/ok", f"{at}/dlq", f"{at}/log", files_per_trigger=1).awaitTermination()
+    derived.faulty_messages(spark, sf_dir).select(to_jsonable(F.struct("*")).alias("value")).repartition(files := int(spark.conf.get("spark.sql.shuffle.partitions"))).write.text(f"{at}/in")
+    streams.stream_validate(spark, f"{at}/in", f"{at}/ok", f"{at}/dlq", f"{at}/log", files_per_trigger=-(-files // 3)).awaitTermination()
     good = spark.read.text(f"{at}/ok").agg(F.count("*").alias("n")).select(F.lit("accepted").alias("reason"), "n")
     bad = spark.read.schema("raw string, reason string").json(f"{at}/dlq").groupBy("reason").agg(F.count("*").alias("n"))
     return good.unionByName(bad)
@@ -81,13 +75,13 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(id_.cast("string").alias("id"), F.col("embedding").alias("vector"), F.struct(F.lit("").alias("doc_chunk_id"), F.col("vec_id").alias("version")).alias("payload"), F.col("vec_id").alias("order"))
 
     for k, part in enumerate((items(e, F.col("vec_id")), items(e.where("vec_id % 3 = 0"), F.col("vec_id") % 100))):
-        part.coalesce(1).write.parquet(f"{at}/in{k}")
+        part.repartition("id").write.parquet(f"{at}/in{k}")
         stream = spark.readStream.schema(part.schema).parquet(f"{at}/in{k}")
         streams.stream_upsert(stream, f"{at}/points", f"{at}/log{k}", "order", dim=64, buckets=8).awaitTermination()
     return points.read_points(spark, f"{at}/points").select(F.col("id").cast("long").alias("id"), F.col("payload.version").alias("version"))
 
 
-@query()
+@query(f"SELECT lang, count(*) AS n, 64 AS dim FROM ({REASON_SQL}) WHERE reason IS NULL GROUP BY lang")
 def stream_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted messages through the embedding stream: items per language."""
     at = folder(spark)

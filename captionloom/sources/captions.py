@@ -17,53 +17,66 @@ EXTENSIONS = ("vtt", "srt", "ttml", "dfxp", "xml", "srv1", "srv2", "srv3", "json
 STAMP = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
 
 
+def _any_case(ext: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
+
+
 def read_caption_files(spark: SparkSession, path: str, exts: Iterable[str] = EXTENSIONS) -> DataFrame:
     """(job_id, path, ext, content) of the files with these extensions under path; job_id is the file's folder.
 
-    The scan prunes by extension before it reads a file's bytes. Text is UTF-8; a byte-order mark and bytes that don't
-    decode are dropped. Files of no bytes have no row.
+    Files of other extensions are not listed, so media beside captions are never read. Text is UTF-8; a byte-order mark and
+    bytes that don't decode are dropped. Files of no bytes have no row.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    glob = "*.{" + ",".join(_any_case(e) for e in exts) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    clean = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\x{FFFD}|^\x{FEFF}", "")
-    wanted = files.where(ext.isin(*[e.lower() for e in exts]))
-    return wanted.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"), "path", ext.alias("ext"), clean.alias("content"))
+    text = F.col("content").cast("string")
+    decoded = F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+    return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"), "path", ext.alias("ext"), F.regexp_replace(decoded, r"^\x{FEFF}", "").alias("content"))
 
 
 def _lines(content: Column) -> Column:
     return F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n", -1)
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, as an array's element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _timed_cues(content: Column, mark: str, blank: str, each: Callable[[Column], Column] | None, repeats: bool) -> Column:
-    """Cues of timing lines in one pass: an in-row fold over lines. The state holds closed cues and the open one."""
+    """Cues of timing lines, in the row: each line is looked at once; a cue is the slice from its timing line to the next
+    timing line or blank one."""
     timing = rf"({STAMP}[{mark}][0-9]{{3}})\s*-->\s*({STAMP}[{mark}][0-9]{{3}})"
-    cue = "struct<start:double,end:double,lines:array<string>>"
-    start = F.struct(F.array().cast(f"array<{cue}>").alias("done"), F.lit(None).cast(cue).alias("open"))
-    ends = (lambda line: strip(line) == "") if blank == "whitespace" else (lambda line: line == "")
 
-    def step(s: Column, line: Column) -> Column:
+    def seen(line: Column, i: Column) -> Column:
+        blank_line = strip(line) == "" if blank == "whitespace" else line == ""
         stamped = line.rlike(timing)
-        closed = F.when(s["open"].isNotNull() & (stamped | ends(line)), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-        opened = F.struct(timecode_to_seconds(F.regexp_extract(line, timing, 1)).alias("start"), timecode_to_seconds(F.regexp_extract(line, timing, 2)).alias("end"), F.array().cast("array<string>").alias("lines"))
-        text = each(line) if each else strip(line)
-        again = F.lit(repeats) & (F.try_element_at(s["open"]["lines"], F.lit(-1)) == text) if repeats else F.lit(False)
-        keep = (text == "") | F.coalesce(again, F.lit(False))
-        grown = F.struct(s["open"]["start"].alias("start"), s["open"]["end"].alias("end"), F.when(keep, s["open"]["lines"]).otherwise(F.concat(s["open"]["lines"], F.array(text))).alias("lines"))
-        now = F.when(stamped, opened).when(ends(line) | s["open"].isNull(), F.lit(None).cast(cue)).otherwise(grown)
-        return F.struct(closed.alias("done"), now.alias("open"))
+        text = F.when(stamped | blank_line, F.lit("")).otherwise(each(line) if each else strip(line))
+        return F.struct(i.alias("i"), stamped.alias("stamped"), (stamped | blank_line).alias("stops"), text.alias("text"), F.when(stamped, line).alias("line"))
+
+    def lines_of(lines: Column, begin: Column, stop: Column) -> Column:
+        texts = F.filter(F.transform(F.slice(lines, begin + 2, stop - begin - 1), lambda x: x["text"]), lambda t: t != "")
+        return _bound(texts, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))) if repeats else texts
+
+    def cues(lines: Column) -> Column:
+        stops = F.filter(lines, lambda x: x["stops"])
+
+        def told(x: Column, place: Column, all_stops: Column) -> Column:
+            stop = F.coalesce(F.get(all_stops, place + 1)["i"], F.size(lines))
+            text = F.array_join(lines_of(lines, x["i"], stop), " ")
+            when = [timecode_to_seconds(F.regexp_extract(x["line"], timing, k)) for k in (1, 2)]
+            return F.when(x["stamped"], F.struct(when[0].alias("start"), when[1].alias("end"), text.alias("text")))
 
-    def finish(s: Column) -> Column:
-        every = F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        told = F.transform(every, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.array_join(c["lines"], " ").alias("text")))
-        return F.filter(told, lambda c: c["text"] != "")
+        return _bound(stops, lambda all_stops: F.filter(F.transform(all_stops, lambda x, place: told(x, place, all_stops)), lambda c: c.isNotNull() & (c["text"] != "")))
 
-    return F.aggregate(_lines(content), start, step, finish)
+    return _bound(F.transform(_lines(content), seen), cues)
 
 
 def vtt_cues(content: Column, normalize: str = "line", blank: str = "whitespace") -> Column:
     """WebVTT cues. normalize: clean each line (equal neighbours in a cue become one) or the whole cue. blank: what ends a cue.
 
-    Cleaning inside the fold covers all but entities, which need a Python round trip: parse_captions() decodes them first.
+    Cleaning in the row covers all but entities, which need a Python round trip: parse_captions() decodes them first.
     """
     each = (lambda line: normalize_text(line, entities=False)) if normalize == "line" else None
     cues = _timed_cues(content, ".,", blank, each, normalize == "line")

@@ -38,9 +38,13 @@ def write_chunk_messages(df: DataFrame, path: str, mode: str = "append") -> int:
     return seen.get["n"]
 
 
-def read_job_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Job metadata documents, one per file, success and failure forms alike."""
-    return spark.read.schema(JOB_METADATA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(path)
+def read_job_metadata(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Job metadata documents, success and failure forms alike: files named *.meta.json with one each, or, with
+    one_per_file=False, lines as write_job_metadata() writes them."""
+    reader = spark.read.schema(JOB_METADATA)
+    if not one_per_file:
+        return reader.json(path)
+    return reader.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(path)
 
 
 def write_job_metadata(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -42,7 +42,7 @@ def stream_embed(messages: DataFrame, out: str, dlq: str, checkpoint: str, model
     return _start(encoded, each, checkpoint, trigger)
 
 
-def stream_upsert(items: DataFrame, table: str, checkpoint: str, order_col: str, dim: int | None = None, named: str | None = None, buckets: int = 64, trigger: dict | None = None) -> StreamingQuery:
+def stream_upsert(items: DataFrame, table: str, checkpoint: str, order_col: str, dim: int | None = None, named: str | None = None, buckets: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Embedded items to the point table; the greatest order_col of an id in a batch wins, later batches over earlier ones."""
 
     def each(batch: DataFrame, _: int) -> None:

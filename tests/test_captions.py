@@ -78,6 +78,65 @@ def test_files(spark, tmp_path):
     assert [r.job_id for r in files_without_cues(files, cues).collect()] == ["d"]
 
 
+def test_only_captions_are_read(spark, tmp_path):
+    """Media beside captions is not listed, whatever its size; genuine replacement characters stay."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "en.VTT").write_text("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\nodd \ufffd sign\n")
+    (tmp_path / "a" / "video.mp4").write_bytes(bytes(100_000))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "50000")
+    try:
+        files = read_caption_files(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert [(r.job_id, r.ext) for r in files] == [("a", "vtt")] and "odd \ufffd sign" in files[0].content
+
+
+def plain_cues(text):
+    """Roll-up captions by the rules, a line at a time."""
+    import re
+
+    out, cue = [], None
+    for line in [*text.split("\n"), ""]:
+        m = re.search(r"(\d\d):(\d\d):(\d\d)[.,](\d{3})\s*-->\s*(\d\d):(\d\d):(\d\d)[.,](\d{3})", line)
+        if (m or not line.strip()) and cue:
+            if cue[2]:
+                out.append((cue[0], cue[1], " ".join(cue[2])))
+            cue = None
+        if m:
+            g = [int(x) for x in m.groups()]
+            cue = (g[0] * 3600 + g[1] * 60 + g[2] + g[3] / 1000, g[4] * 3600 + g[5] * 60 + g[6] + g[7] / 1000, [])
+        elif cue and line.strip():
+            t = " ".join(re.sub("<[^>]+>", "", line).split())
+            for more in (r"\s+\S+\s+\S+", r"\s+\S+", ""):
+                for _ in range(3):
+                    t = re.sub(rf"\b(\S+{more})(?:\s+\1)+\b", r"\1", t, flags=re.I)
+            if t and (not cue[2] or cue[2][-1] != t):
+                cue[2].append(t)
+    return out
+
+
+def test_roll_up_run(spark, tmp_path):
+    """A ten-minute roll-up file of our own: 527 timing lines, each second cue repeats the line before it."""
+    import random
+
+    from captionloom.operators.chunks import pack, pack_chunks
+    from captionloom.functions.text import format_timecode
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("bcdfgh") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
+    lines = [" ".join(word() for _ in range(r.randint(3, 8))) for _ in range(264)]
+    times = [(r_.a, r_.b) for r_ in spark.range(528).select(format_timecode(F.col("id") * 1.14).alias("a"), format_timecode(F.col("id") * 1.14 + 1.1).alias("b")).orderBy("id").collect()]
+    body = "".join(f"{times[k][0]} --> {times[k][1]} align:start position:0%\n{lines[k // 2 - 1] if k > 1 else ' '}\n{lines[k // 2] if k % 2 == 0 else lines[k // 2].replace(' ', '<c> ', 1) + '</c>'}\n\n" for k in range(527))
+    (tmp_path / "job").mkdir()
+    (tmp_path / "job" / "en.vtt").write_text("WEBVTT\n\n" + body)
+    files = read_caption_files(spark, str(tmp_path))
+    cues = [(c.start, c.end, c.text) for c in parse_captions(files).orderBy("cue_no").collect()]
+    assert cues == plain_cues("WEBVTT\n\n" + body) and len(cues) > 500
+    made = pack_chunks(parse_captions(files), 500).orderBy("chunk_no").collect()
+    assert [(c.text, c.time_from, c.time_to) for c in made] == list(pack(cues, 500)) and all(len(c.text) <= 500 for c in made)
+
+
 def test_listing(spark):
     listing = "junk  x  vtt\n[info] Available automatic captions for x:\nLanguage Name  Formats\nen-orig  English (Original)  vtt, srt\npl  Polish  vtt\n\n[info] Available subtitles for x:\npl  Polish  srt, vtt, json3\nde  ttml\n"
     df = spark.createDataFrame([("v", listing), ("w", "nothing here")], "video_id string, listing string")

@@ -292,3 +292,34 @@ def test_message_files(spark, tmp_path):
     df = spark.createDataFrame([("żółć", 1), ("b", 2)], "text string, n int")
     assert messages.write_chunk_messages(df, str(tmp_path / "m")) == 2
     assert {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {'{"text":"żółć","n":1}', '{"text":"b","n":2}'}
+
+
+def test_bucket_number_stays_with_the_table(spark, tmp_path):
+    path = str(tmp_path / "points")
+    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"), F.lit(1).alias("order"))
+    points.upsert_points(rows, path, buckets=8)
+    points.upsert_points(rows.limit(5).withColumn("v", F.lit(1)), path)
+    with pytest.raises(ValueError):
+        points.upsert_points(rows, path, buckets=16)
+    assert points.read_points(spark, path).count() == 100 and points.read_points(spark, path).where("v = 1").count() == 5
+
+
+def test_written_subtitles(spark, tmp_path):
+    cues = spark.createDataFrame([("a", 0, 1.0, 2.0, "x"), ("a", 1, 3.0, 4.5, "y"), ("b", 0, 0.0, 1.0, "z")], "job_id string, cue_no int, start double, end double, text string")
+    transcripts.write_subtitles(transcripts.render_srt(cues), str(tmp_path / "s"))
+    held = {p.parent.name: p.read_text() for p in (tmp_path / "s").glob("*/*.txt")}
+    assert held == {"job_id=a": "1\n00:00:01,000 --> 00:00:02,000\nx\n\n2\n00:00:03,000 --> 00:00:04,500\ny\n\n", "job_id=b": "1\n00:00:00,000 --> 00:00:01,000\nz\n\n"}
+
+
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "k", "v"), (2, "a b", "k", "w")], "n int, text string, _prepared string, `_before.x` string")
+    assert vectors.embed(df, dim=8).columns == [*df.columns, "vector", "embed_error"] and {r["_prepared"] for r in vectors.embed(df, dim=8).collect()} == {"k"}
+    kept = chunks.drop_adjacent_duplicates(df, ["_prepared"], "n")
+    assert kept.columns == df.columns and [r.n for r in kept.collect()] == [1]
+
+
+def test_nearest_of_many_targets_of_one_job(spark):
+    targets = spark.range(100_000).select(F.lit("j").alias("job_id"), F.col("id").cast("double").alias("target"))
+    silences = spark.range(0, 100_000, 10).select(F.lit("j").alias("job_id"), (F.col("id") + 4.0).alias("mid"))
+    got = audio.nearest(targets, silences, 4.5).where("point IS NOT NULL").agg(F.count("*").alias("n"), F.max(F.abs(F.col("point") - F.col("target"))).alias("d")).first()
+    assert (got.n, got.d) == (90_000, 4.0)
