@@ -87,9 +87,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_text(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(ORACLES["page_text"])
 def page_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_text without its SQL, which knows four entities; tested with others."""
+    """page_text by its former name; its SQL knows the four entities that pages have, tests hold others."""
     return _page_text(table(spark, sf_dir, "pages"))
 
 
@@ -118,7 +118,7 @@ def overlap_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(_line_pairs(spark, sf_dir))
 
 
-@query()
+@query(ORACLES["overlap_of_lines"])
 def overlap_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """overlap_of_lines by its former name."""
     return _overlaps(_line_pairs(spark, sf_dir))
