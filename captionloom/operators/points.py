@@ -33,17 +33,21 @@ def _replace(spark: SparkSession, staged: str, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of a first batch that a bucket of a new table holds on average, and how few buckets a table has.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 64
+
+
 def upsert_points(batch: DataFrame, path: str, order_col: str = "order", buckets: int | None = None) -> None:
     """Insert or replace the batch's points (id, ..., order_col) in the table at path; applying a batch twice changes nothing.
 
     Only touched buckets are read and rewritten: the batch's bucket numbers prune the scan. How many buckets there are is
-    stored with the table, in its folders' names: a new table has 64 unless given, and another number than the table's is
-    an error. The result is staged beside the table first, since a path can't be read and overwritten at once; after a
+    stored with the table, in its folders' names: a new table has as many as its first batch needs unless given, and another
+    number than the table's is an error. The result is staged beside the table first, since a path can't be read and overwritten at once; after a
     crash, run it again. Readers may see some buckets of a batch before others.
     """
     spark = batch.sparkSession
     table = spark.read.parquet(path) if _exists(spark, path) else None
-    held = table.select("buckets").first()[0] if table is not None else buckets or 64
+    held = table.select("buckets").first()[0] if table is not None else buckets or max(LEAST_BUCKETS, -(-batch.count() // BUCKET_ROWS))
     if buckets and buckets != held:
         raise ValueError(f"the table has {held} buckets, not {buckets}")
     bucket = F.pmod(F.xxhash64("id"), F.lit(held)).cast("int")

@@ -24,9 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer splits than there are cores, for work that costs far more than the scan.
+    A table of more splits passes as it is, so large ones are never shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues: every sentence or line of a document, a second each."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("string").alias("job_id"), F.posexplode(F.split("text", r"\. |\n")).alias("cue_no", "text"))
     return rows.select("job_id", "cue_no", F.col("cue_no").cast("double").alias("start"), (F.col("cue_no") + 1).cast("double").alias("end"), "text")
 

@@ -125,7 +125,7 @@ def overlap_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("p"))
+    d = derived.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("p"))
     return d.select("doc_id", F.posexplode(F.slice(F.arrays_zip(F.col("p").alias("prev"), F.slice("p", F.lit(2), F.size("p")).alias("cur")), F.lit(1), F.size("p") - 1)).alias("at", "x"))
 
 
@@ -289,7 +289,7 @@ def upserted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, 64 AS dim, true AS unit, CAST(NULL AS VARCHAR) AS embed_error FROM documents")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document has a vector of the wanted size and of length 1, or 0 where nothing is in it."""
-    out = vectors.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), dim=64)
+    out = vectors.embed(derived.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), dim=64)
     norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return out.select("doc_id", F.size("vector").alias("dim"), ((norm == 0) | (F.abs(norm - 1) < 1e-5)).alias("unit"), "embed_error")
 
@@ -465,7 +465,7 @@ def _caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("conv_id").cast("string").alias("job_id"), F.concat(F.lit("/c/"), "conv_id", F.lit("/en."), "ext").alias("path"), "ext", whole.alias("content"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS job_id, count(*) AS cues, sum(turn * 2.0) AS starts, sum(turn * 2.0 + 1.5) AS ends, CASE WHEN conv_id % 6 <> 0 THEN md5(string_agg(t, '|' ORDER BY turn)) END AS digest FROM (SELECT *, trim(regexp_replace(text, '[\\s<>&\"{}]+', ' ', 'g')) AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS job_id, count(*) AS cues, CAST(sum(turn * 2.0) AS DOUBLE) AS starts, CAST(sum(turn * 2.0 + 1.5) AS DOUBLE) AS ends, CASE WHEN conv_id % 6 <> 0 THEN md5(string_agg(t, '|' ORDER BY turn)) END AS digest FROM (SELECT *, trim(regexp_replace(text, '[\\s<>&\"{}]+', ' ', 'g')) AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
 def parsed_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, written as a cue of one of six formats, and parsed again. Texts are compared by
     digest but for WebVTT, whose clean-up the oracle can't do."""

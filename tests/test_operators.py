@@ -304,6 +304,26 @@ def test_bucket_number_stays_with_the_table(spark, tmp_path):
     assert points.read_points(spark, path).count() == 100 and points.read_points(spark, path).where("v = 1").count() == 5
 
 
+def test_buckets_of_a_new_table_follow_its_first_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(points, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(points, "LEAST_BUCKETS", 2)
+    rows = spark.range(75).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("order"))
+    points.upsert_points(rows, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).select("buckets").distinct().collect()[0][0] == 8
+    assert points.read_points(spark, str(tmp_path / "p")).count() == 75
+
+
+def test_few_splits_are_spread(spark, tmp_path):
+    from captionloom.plans import derived
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert derived.spread(one).rdd.getNumPartitions() == cores and sorted(r.id for r in derived.spread(one).collect()) == list(range(100))
+    many = one.repartition(cores + 3)
+    assert derived.spread(many) is many
+
+
 def test_written_subtitles(spark, tmp_path):
     cues = spark.createDataFrame([("a", 0, 1.0, 2.0, "x"), ("a", 1, 3.0, 4.5, "y"), ("b", 0, 0.0, 1.0, "z")], "job_id string, cue_no int, start double, end double, text string")
     transcripts.write_subtitles(transcripts.render_srt(cues), str(tmp_path / "s"))
