@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from captionloom.functions.text import prepare_text
+from captionloom.operators import grid
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -96,43 +97,58 @@ def payload_filter(user_id: str | None = None, source: str | None = None, lang:
     return out
 
 
-#: Queries scored at a time; they are shipped to every task, so searches of more come in blocks.
-QUERY_BLOCK = 4096
+#: Rows of a block of points and of queries: what a task holds of each (64 floats a vector: 34 and 8 MB).
+POINT_BLOCK, QUERY_BLOCK = 1 << 17, 1 << 15
 #: Scores held at a time in a task.
 SCORES = 1 << 20
 
 
-def _local_best(names: list, shared, limit: int, score_threshold: float | None, metric: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Points (id, vector) in; (query_id, id, score) of the partition's `limit` best for each query of a block out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q, best = shared.value, None
-        floor = np.full(len(q), -np.inf)
-        step = max(8 * limit, SCORES // max(1, len(q)))
-        for pdf in batches:
-            for first in range(0, len(pdf) if len(q) else 0, step):
-                held = pdf.iloc[first : first + step]
-                x = np.stack(held["vector"].to_numpy()).astype(float)
-                x = unit_rows(x) if metric == "cosine" else x
-                scores = x @ q.T
-                bar = floor
-                if len(x) > 4 * limit:  # all that tie with the last kept one stay, so that ids decide
-                    bar = np.maximum(bar, np.partition(scores, len(x) - limit, axis=0)[len(x) - limit])
-                near = 1e-9 * max(1.0, np.fmax.reduce(np.abs(scores), axis=None))
-                row, col = np.nonzero(scores >= bar - near)
-                # Each pair is summed in the same order and rounded, so that equal scores tie wherever they were computed.
-                score = np.concatenate([np.zeros(0), *((x[row[a : a + 65536]] * q[col[a : a + 65536]]).sum(axis=1) for a in range(0, len(row), 65536))]).round(12)
-                part = pd.DataFrame({"q": col, "id": held["id"].to_numpy()[row], "score": score})
-                if score_threshold is not None:
-                    part = part[part["score"] >= score_threshold]
-                if not len(part):
-                    continue
-                best = part if best is None else pd.concat([best, part])
-                best = best.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable").groupby("q").head(limit)
-                full = best.groupby("q")["score"].agg(["size", "min"]).query(f"size >= {limit}")
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if best is not None:
-            yield pd.DataFrame({"query_id": [names[k] for k in best["q"]], "id": best["id"], "score": best["score"]})
+def _matrix(rows: pa.Table, metric: str) -> np.ndarray:
+    """The rows' vectors, one size each, as doubles; of length 1 where directions are compared."""
+    held = rows["vector"].combine_chunks()
+    x = held.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(held), -1)
+    return unit_rows(x) if metric == "cosine" else x
+
+
+def _best(q: np.ndarray, x: np.ndarray, limit: int, score_threshold: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, score) of each query's `limit` best points, equal scores by the point's place."""
+    step = max(8 * limit, SCORES // max(1, len(q)))
+    floor = np.full(len(q), -np.inf if score_threshold is None else score_threshold)
+    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for first in range(0, len(x), step):
+        part = x[first : first + step]
+        scores = q @ part.T
+        bar = floor
+        if len(part) > 4 * limit:  # all that tie with the last kept one stay, so that places decide
+            bar = np.maximum(bar, np.partition(scores, len(part) - limit, axis=1)[:, len(part) - limit])
+        near = 1e-9 * max(1.0, np.fmax.reduce(np.abs(scores), axis=None))
+        row, col = np.nonzero(scores >= bar[:, None] - near)
+        # Each pair is summed in the same order and rounded, so that equal scores tie wherever they were computed.
+        score = np.concatenate([np.zeros(0), *((part[col[a : a + 65536]] * q[row[a : a + 65536]]).sum(axis=1) for a in range(0, len(row), 65536))]).round(12)
+        fits = score >= floor[row]
+        best = tuple(np.concatenate(both) for both in zip(best, (row[fits], col[fits] + first, score[fits]), strict=True))
+        order = np.lexsort((best[1], -best[2], best[0]))
+        r = best[0][order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        best = tuple(part[order[nth < limit]] for part in best)
+        full = nth == limit - 1
+        floor[r[full]] = np.maximum(floor[r[full]], best[2][np.searchsorted(best[0], r[full], side="right") - 1])
+    return best
+
+
+def _cell(limit: int, score_threshold: float | None, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of points (id, vector) and one of queries (query_id, vector) to (query_id, id, score) of its best."""
+
+    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
+        points = points.sort_by("id")
+        found: list[tuple[np.ndarray, ...]] = []
+        if len(points) and len(queries):
+            x = _matrix(points, metric)
+            for at in range(0, len(queries), 1024):
+                row, col, score = _best(_matrix(queries.slice(at, 1024), metric), x, limit, score_threshold)
+                found.append((row + at, col, score))
+        row, col, score = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        return pa.table({"query_id": queries["query_id"].take(pa.array(row)), "id": points["id"].take(pa.array(col)), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -140,28 +156,21 @@ def _local_best(names: list, shared, limit: int, score_threshold: float | None,
 def search_topk(points: DataFrame, queries: DataFrame, limit: int = 10, score_threshold: float | None = None, metric: str = "cosine", where: Column | None = None) -> DataFrame:
     """(query_id, rank, id, score): the `limit` best points of each query, exactly; ties, to 12 decimals, go to the smaller id.
 
-    Points (id, vector) stay where they are: each partition multiplies them with a block of the queries (query_id,
-    vector) and keeps its own best, so limit rows a query and partition are all that is shuffled. `where` filters
-    points before the search and reaches the scan. The query side passes through the driver once, a partition of the
-    queries at a time, and goes to every task in blocks of QUERY_BLOCK; points are scanned once a block.
+    Points (id, vector) and queries (query_id, vector) meet as a grid of blocks: no row passes the driver, which learns two
+    counts only (of unfiltered points, so that a plain scan answers from file footers); the plan is the same for any number
+    of queries. Points are scanned once, `where` reaches that scan. A cell returns its own best, and the best of all cells
+    are merged by rank, cut per task before the shuffle. Rows with null vectors take no part; vectors have one size.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be cosine or dot")
     if limit < 1:
         raise ValueError("limit must be 1 or more")
-    kind = queries.schema["query_id"].dataType
-    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", points.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", points.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    n_points, n_queries = (grid.blocks(df, df.count(), most) for df, most in ((points, POINT_BLOCK), (queries, QUERY_BLOCK)))
     kept = points.where("vector IS NOT NULL")
     kept = (kept.where(where) if where is not None else kept).select("id", "vector")
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()
-    local = None
-    while (block := list(itertools.islice(asked, QUERY_BLOCK))) or local is None:
-        q = np.array([r["vector"] for r in block], float) if block else np.zeros((0, 1))
-        shared = points.sparkSession.sparkContext.broadcast(unit_rows(q) if metric == "cosine" and block else q)
-        found = kept.mapInPandas(_local_best([r["query_id"] for r in block], shared, limit, score_threshold, metric), schema)
-        local = found if local is None else local.unionByName(found)
-        if len(block) < QUERY_BLOCK:
-            break
+    asked = queries.where("vector IS NOT NULL").select("query_id", "vector")
+    local = grid.meet(grid.dealt(kept, ["id", "vector"], n_points, "l"), grid.dealt(asked, ["query_id"], n_queries, "r"), n_points, n_queries, _cell(limit, score_threshold, metric), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 

@@ -1,6 +1,9 @@
+import re
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +211,7 @@ def test_search(spark):
 def test_search_in_blocks(spark, monkeypatch):
     """More queries than a block holds, more points than are scored at a time, and many equal vectors."""
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(vectors, "POINT_BLOCK", 70)
     monkeypatch.setattr(vectors, "SCORES", 500)
     r = np.random.default_rng(4)
     x = r.normal(size=(300, 9))
@@ -223,6 +227,27 @@ def test_search_in_blocks(spark, monkeypatch):
     assert vectors.search_topk(pts, q.limit(40), 5).count() == 200 and vectors.search_topk(pts, q.where("false"), 5).count() == 0
 
 
+def test_search_of_many_queries(spark, tmp_path):
+    """The plan holds one scan of the points, however many queries there are, and nothing passes the driver."""
+    r = np.random.default_rng(9)
+    x, q = r.normal(size=(3000, 8)).astype(np.float32), r.normal(size=(100_000, 8)).astype(np.float32)
+    for name, a in (("points", x), ("queries", q)):
+        pa.parquet.write_table(pa.table({"id": np.arange(len(a)), "vector": list(a)}), str(tmp_path / f"{name}.parquet"))
+    pts, asked = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("points", "queries"))
+    asked = asked.withColumnRenamed("id", "query_id")
+    hits = vectors.search_topk(pts, asked, 3, metric="dot", where=F.col("id") >= 10)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = vectors.search_topk(pts, asked.where("query_id < 5"), 3, metric="dot", where=F.col("id") >= 10)
+    assert plan(hits).count("FileScan") == plan(few).count("FileScan") == 2 and plan(hits).count("Exchange") == plan(few).count("Exchange") and "Broadcast" not in plan(hits)
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThanOrEqual\(id,10\)", plan(hits))
+    got = hits.toPandas().sort_values(["query_id", "rank"])
+    assert len(got) == 300_000 and got["query_id"].nunique() == 100_000
+    scores = q.astype(float) @ x[10:].astype(float).T
+    best = np.argpartition(-scores, 3, axis=1)[:, :3]
+    order = np.take_along_axis(best, np.argsort(-np.take_along_axis(scores, best, 1), axis=1), 1)
+    assert np.array_equal(got["id"].to_numpy().reshape(-1, 3), order + 10)
+
+
 def test_payload_filter(spark):
     df = spark.createDataFrame([("Big Title, here", "2025-01-02 00:00:00")], "title string, at string").select(F.struct("title", F.col("at").cast("timestamp").alias("created_at")).alias("payload"))
     import datetime
