@@ -43,4 +43,5 @@ def cogrouped(a: DataFrame, b: DataFrame, key: list[str], run: Callable[[pa.Tabl
     spark = a.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     n = min(n, cells) if cells else n
+    a, b = (df.toDF(*df.columns) for df in (a, b))  # columns of their own, where one side comes from the other
     return a.repartition(n, *key).groupBy(*key).cogroup(b.repartition(n, *key).groupBy(*key)).applyInArrow(run, schema)
