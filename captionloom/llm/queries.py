@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import flac, html_extract, importance, line_dedup, mixing, ngram_join, pieces, quality_rules, suffix_dedup, url_filter
+from captionloom.llm import flac, html_extract, importance, line_dedup, mixing, ngram_join, pieces, pivot_search, quality_rules, suffix_dedup, url_filter
 from captionloom.plans.derived import spread
 
 
@@ -56,5 +56,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece)}
-ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.search_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece, op13_pivot_search)}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
