@@ -23,8 +23,11 @@ def oracle():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query(spark, oracle, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
-    table = "pages" if name.startswith(("op3", "op4")) else "documents"
-    assert len(got) == oracle.sql(f"select count(*) from {table}").fetchall()[0][0]
+    table = "pages" if name.startswith(("op3_", "op4_")) else "documents"
+    if name.startswith(("op11_", "op12_", "op13_")):  # ranked results of a query set
+        assert len(got)
+    else:
+        assert len(got) == oracle.sql(f"select count(*) from {table}").fetchall()[0][0]
     if name in queries.ORACLES:
         want = oracle.sql(queries.ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
