@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captionloom.llm import flac, hard_negatives, html_extract, importance, line_dedup, mixing, ngram_join, pieces, pivot_search, quality_rules, suffix_dedup, url_filter
+from captionloom.llm import flac, hard_negatives, html_extract, importance, lexical_search, line_dedup, mixing, ngram_join, pieces, pivot_search, quality_rules, suffix_dedup, url_filter
 from captionloom.plans.derived import spread
 
 
@@ -60,9 +60,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.negatives_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_report(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.search_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece, op11_hard_negatives, op13_pivot_search)}
-ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_importance_resampling, op3_html_extract, op4_url_filter, op5_suffix_dedup, op6_flac_media, op7_quality_rules, op8_line_dedup, op9_mixing, op10_sentencepiece, op11_hard_negatives, op12_lexical_search, op13_pivot_search)}
+ORACLES = {"op1_ngram_join": ngram_join.ORACLE, "op4_url_filter": url_filter.ORACLE, "op5_suffix_dedup": suffix_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_lexical_search": lexical_search.ORACLE, "op13_pivot_search": pivot_search.ORACLE}
