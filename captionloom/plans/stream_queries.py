@@ -67,7 +67,8 @@ def stream_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLES["upserted_points"])
 def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two loads of the point table through the upserting stream: all points, then those whose ids repeat."""
+    """Two loads of the point table through the upserting stream: all points, then those whose ids repeat. Buckets are kept
+    small, so that they split on the way."""
     at = folder(spark)
     e = derived.table(spark, sf_dir, "embeddings")
 
@@ -77,7 +78,7 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, part in enumerate((items(e, F.col("vec_id")), items(e.where("vec_id % 3 = 0"), F.col("vec_id") % 100))):
         part.repartition("id").write.parquet(f"{at}/in{k}")
         stream = spark.readStream.schema(part.schema).parquet(f"{at}/in{k}")
-        streams.stream_upsert(stream, f"{at}/points", f"{at}/log{k}", "order", dim=64, buckets=8).awaitTermination()
+        streams.stream_upsert(stream, f"{at}/points", f"{at}/log{k}", "order", dim=64, bucket_rows=100).awaitTermination()
     return points.read_points(spark, f"{at}/points").select(F.col("id").cast("long").alias("id"), F.col("payload.version").alias("version"))
 
 

@@ -42,13 +42,14 @@ def stream_embed(messages: DataFrame, out: str, dlq: str, checkpoint: str, model
     return _start(encoded, each, checkpoint, trigger)
 
 
-def stream_upsert(items: DataFrame, table: str, checkpoint: str, order_col: str, dim: int | None = None, named: str | None = None, buckets: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Embedded items to the point table; the greatest order_col of an id in a batch wins, later batches over earlier ones."""
+def stream_upsert(items: DataFrame, table: str, checkpoint: str, order_col: str, dim: int | None = None, named: str | None = None, bucket_rows: int = points.BUCKET_ROWS, trigger: dict | None = None) -> StreamingQuery:
+    """Embedded items to the point table; the greatest order_col of an id in a batch wins, later batches over earlier ones.
+    A batch is evaluated once; one that is replayed after a crash changes nothing."""
 
     def each(batch: DataFrame, _: int) -> None:
         good = validate.check_items(batch, dim).where("reason IS NULL")
         vector = F.create_map(F.lit(named), F.col("vector")) if named else F.col("vector")
-        points.upsert_points(good.select(F.col("point_id").alias("id"), vector.alias("vector"), "payload", F.col(order_col).alias("order")), table, "order", buckets)
+        points.upsert_points(good.select(F.col("point_id").alias("id"), vector.alias("vector"), "payload", F.col(order_col).alias("order")), table, "order", bucket_rows)
 
     return _start(items, each, checkpoint, trigger)
 

@@ -260,12 +260,12 @@ def test_upsert(spark, tmp_path):
     path = str(tmp_path / "points")
     batch = lambda *rows: spark.createDataFrame(rows, "id string, v int, order int")
     table = lambda: {r.id: r.v for r in points.read_points(spark, path).collect()}
-    points.upsert_points(batch(("a", 1, 1), ("a", 2, 2), ("b", 1, 1)), path, buckets=4)
+    points.upsert_points(batch(("a", 1, 1), ("a", 2, 2), ("b", 1, 1)), path)
     assert table() == {"a": 2, "b": 1}
     for _ in range(2):
-        points.upsert_points(batch(("b", 5, 9), ("b", 4, 8), ("c", 7, 1)), path, buckets=4)
+        points.upsert_points(batch(("b", 5, 9), ("b", 4, 8), ("c", 7, 1)), path)
         assert table() == {"a": 2, "b": 5, "c": 7}
-    points.upsert_points(batch().where("false") if False else spark.createDataFrame([], "id string, v int, order int"), path, buckets=4)
+    points.upsert_points(batch().where("false") if False else spark.createDataFrame([], "id string, v int, order int"), path)
     assert table() == {"a": 2, "b": 5, "c": 7}
 
 
@@ -319,23 +319,55 @@ def test_message_files(spark, tmp_path):
     assert {r.value for r in spark.read.text(str(tmp_path / "m")).collect()} == {'{"text":"żółć","n":1}', '{"text":"b","n":2}'}
 
 
-def test_bucket_number_stays_with_the_table(spark, tmp_path):
+def test_buckets_split_as_the_table_grows(spark, tmp_path):
+    """From ten rows to many: even buckets, plain last-write-wins, one evaluation a batch, untouched buckets left alone."""
     path = str(tmp_path / "points")
-    rows = spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"), F.lit(1).alias("order"))
-    points.upsert_points(rows, path, buckets=8)
-    points.upsert_points(rows.limit(5).withColumn("v", F.lit(1)), path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    want = {}
+    for k, (first, n) in enumerate(((0, 10), (5, 200_000), (150_000, 300_000), (499_000, 2_000))):
+        seen.value = 0
+        rows = spark.range(first, first + n).select(F.concat(F.lit("p"), "id").alias("id"), F.lit(k).alias("v"), F.lit(1).alias("order"))
+        points.upsert_points(rows.mapInPandas(counted, rows.schema), path, bucket_rows=10_000)
+        assert seen.value == n
+        want |= dict.fromkeys(range(first, first + n), k)
+        live = points.live_buckets(spark, path)
+        sizes = [b[3] for b in live]
+        assert sum(sizes) == len(want) and max(sizes) <= 10_000 and (k == 0 or min(sizes) > 2_500)
+    got = points.read_points(spark, path).select(F.substring("id", 2, 9).cast("long").alias("id"), "v").toPandas()
+    assert dict(zip(got["id"], got["v"])) == want and len(got) == len(want)
+    points.upsert_points(spark.createDataFrame([("p7", 9, 1)], "id string, v int, order int"), path, bucket_rows=10_000)
+    after = points.live_buckets(spark, path)
+    assert len(set(after) - set(live)) == 1 and len(set(live) & set(after)) == len(live) - 1
+    assert points.heads(spark, path) == [3, 4]
+    folders = {(int(p.parent.parent.name[6:]), int(p.parent.name[6:]), int(p.name[7:])) for p in (tmp_path / "points" / "points").glob("batch=*/depth=*/bucket=*")}
+    assert folders == {b[:3] for b in live + after}  # what only older heads held is gone
+
+
+def test_replays_split_nothing_and_a_crash_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "points")
+    rows = spark.range(900).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v"), F.lit(1).alias("order"))
+    for _ in range(4):  # full buckets whose rows are all replaced stay as many
+        points.upsert_points(rows, path, bucket_rows=250)
+    live = points.live_buckets(spark, path)
+    assert sum(b[3] for b in live) == 900 and len(live) <= 8
+    newer = rows.withColumn("v", F.lit(5))
+    real = points._read
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(points, "_read", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        points.upsert_points(newer, path, bucket_rows=250)
+    assert points._read is real and points.read_points(spark, path).where("v = 5").count() == 0
+    points.upsert_points(newer.limit(10), path, bucket_rows=250)
+    assert points.read_points(spark, path).where("v = 5").count() == 10 and points.read_points(spark, path).count() == 900
     with pytest.raises(ValueError):
-        points.upsert_points(rows, path, buckets=16)
-    assert points.read_points(spark, path).count() == 100 and points.read_points(spark, path).where("v = 1").count() == 5
-
-
-def test_buckets_of_a_new_table_follow_its_first_batch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(points, "BUCKET_ROWS", 10)
-    monkeypatch.setattr(points, "LEAST_BUCKETS", 2)
-    rows = spark.range(75).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("order"))
-    points.upsert_points(rows, str(tmp_path / "p"))
-    assert spark.read.parquet(str(tmp_path / "p")).select("buckets").distinct().collect()[0][0] == 8
-    assert points.read_points(spark, str(tmp_path / "p")).count() == 75
+        points.upsert_points(rows, path, bucket_rows=0)
+    with pytest.raises(ValueError):
+        points.read_points(spark, str(tmp_path / "none"))
 
 
 def test_few_splits_are_spread(spark, tmp_path):

@@ -37,7 +37,7 @@ def test_validate_embed_upsert(spark, tmp_path):
 
     schema = spark.read.parquet(at("items")).schema
     stream = spark.readStream.schema(schema).parquet(at("items")).withColumn("order", F.col("payload.created_at").cast("long"))
-    streams.stream_upsert(stream, at("points"), at("c3"), "order", dim=16, buckets=4).awaitTermination()
+    streams.stream_upsert(stream, at("points"), at("c3"), "order", dim=16).awaitTermination()
     assert {r.id for r in points.read_points(spark, at("points")).collect()} == set(ids[:2])
     assert EMBEDDED.startswith("id string")
 
