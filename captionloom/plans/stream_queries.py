@@ -11,8 +11,8 @@ from captionloom.functions.text import to_jsonable
 from captionloom.operators import jobs, points, validate
 from captionloom.plans import derived
 from captionloom.plans.derived import folder
-from captionloom.plans.queries import ORACLES, REASON_SQL, query
-from captionloom.streaming import streams
+from captionloom.plans.queries import EVENTS_SQL, ORACLES, REASON_SQL, query
+from captionloom.streaming import job_streams, streams
 
 
 def stream_of(spark: SparkSession, df: DataFrame, at: str, triggers: int = 4) -> DataFrame:
@@ -89,3 +89,62 @@ def stream_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = validate.accepted(validate.validate_messages(derived.faulty_messages(spark, sf_dir)))
     streams.stream_embed(stream_of(spark, good, f"{at}/in"), f"{at}/items", f"{at}/dlq", f"{at}/log", "hashed").awaitTermination()
     return spark.read.parquet(f"{at}/items").groupBy("payload.lang").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim"))
+
+
+def _arriving(spark: SparkSession, events: DataFrame, at: str, when, thirds: int = 3) -> DataFrame:
+    """Events as a stream of a file a trigger, in the order of `when` (seconds), and behind them a tick far ahead, of a job
+    of its own, which moves the watermark over all of them."""
+    timed = events.withColumns({"ts": F.col("ts").cast("timestamp"), "_when": when.cast("double")})
+    low, high = timed.agg(F.min("_when"), F.max("_when")).first()
+    part = F.least(F.lit(thirds - 1), F.floor((F.col("_when") - F.lit(low)) * thirds / F.lit(max(1.0, (high or 0) - (low or 0))))).cast("int")
+    tick = timed.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).withColumns({"_part": F.lit(thirds), "event_id": F.lit(-1).cast("long"), **({"job_id": F.lit("tick")} if "job_id" in events.columns else {})})
+    dealt = timed.withColumn("_part", part).drop("_when").unionByName(tick, allowMissingColumns=True)
+    for k in range(thirds + 1):  # one after the other: files are read by their age
+        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(dealt.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+#: Seconds by which an event arrives behind its time: less than the day that the watermark waits.
+LATENESS = F.pmod(F.xxhash64("event_id"), F.lit(43_200))
+
+
+@query(f"SELECT * FROM ({ORACLES['job_states']}) WHERE CAST(job_id AS BIGINT) % 5 <> 0")
+def stream_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of known jobs, told in update mode out of state; events arrive up to twelve hours late, others' are ignored."""
+    at = folder(spark)
+    events = derived.job_event_table(spark, sf_dir)
+    known = events.where("CAST(job_id AS LONG) % 5 <> 0").select("job_id").distinct()
+    s = _arriving(spark, events, f"{at}/in", F.unix_seconds(F.col("ts").cast("timestamp")) + LATENESS)
+    job_streams.job_status_stream(s, f"{at}/out", f"{at}/log", known, "1 day", 400 * 86_400).awaitTermination()
+    return job_streams.live_status(spark, f"{at}/out")
+
+
+@query(f"""
+SELECT f.job_id, f.type, md5(f.data) AS digest, f.seq, row_number() OVER (PARTITION BY f.job_id ORDER BY e.ts, f.seq) AS pos FROM ({EVENTS_SQL}) f JOIN events e ON e.event_id = f.seq UNION ALL
+SELECT job_id, 'state', md5('{{' || concat_ws(',', '"state":"' || state || '"', '"detail":"' || detail || '"', '"error":"' || error || '"') || '}}'), 0, 0 FROM ({ORACLES["job_states"]})
+""")
+def stream_job_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every job's feed out of a stream whose events arrive up to twelve hours late: its status, then its events in order."""
+    at = folder(spark)
+    events = derived.job_event_table(spark, sf_dir)
+    s = _arriving(spark, events, f"{at}/in", F.unix_seconds(F.col("ts").cast("timestamp")) + LATENESS)
+    job_streams.job_events_stream(s, jobs.job_status(events), f"{at}/out", f"{at}/log", "1 day").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("job_id", "type", F.md5("data").alias("digest"), "seq", "pos")
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS processed, count(*) FILTER (event_type = 'error') AS failed, count(*) / 3600.0 AS per_second
+FROM (SELECT *, (epoch(ts) - min(epoch(ts)) OVER ()) * 5 / greatest(1.0, max(epoch(ts)) OVER () - min(epoch(ts)) OVER ()) AS fifth FROM events) WHERE NOT (event_id % 97 = 0 AND fifth < 1) GROUP BY 1
+""")
+def stream_closed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rates in append mode. Every seventh event comes twice in a trigger; some of the first fifth come at the end,
+    too late for the watermark, and change nothing."""
+    at = folder(spark)
+    e = derived.table(spark, sf_dir, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    low, high = e.agg(F.min(seconds), F.max(seconds)).first()
+    late = (F.col("event_id") % 97 == 0) & ((seconds - F.lit(low)) * 5 / F.lit(max(1.0, high - low)) < 1)
+    doubled = e.unionByName(e.where("event_id % 7 = 3"))
+    s = _arriving(spark, doubled, f"{at}/in", F.when(late, F.lit(high)).otherwise(seconds))
+    job_streams.throughput_stream(s, f"{at}/out", f"{at}/log", 3600, F.col("event_type") == "error", "1 day").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "processed", "failed", "per_second")
