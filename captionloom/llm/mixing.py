@@ -93,11 +93,12 @@ def solved_tilts(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> Dat
 
 
 def copies_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2) -> DataFrame:
-    """(source, k_id, k_text, size, n_rows, source_size, target, copies): how often the mix takes each document.
+    """(source, k_id, k_text, size, n_rows, source_size, target, copies, extra): how often the mix takes each document.
 
-    Rows that repeat source, id and text are one unit of n_rows rows with the same copies. Units are dealt by hash
-    into groups of about GROUP; a group goes from its largest unit to its smallest and rounds each so that the words
-    taken follow the sum of rates, so a group's error is about half its smallest document. No sampling: reruns agree.
+    Rows that repeat source, id and text are one unit of n_rows rows, each taken `copies` times, and `extra` of them once
+    more. Units are dealt by hash into groups of about GROUP; a group goes from its largest document to its smallest and
+    gives each unit as many copies in all as make the words taken follow the sum of rates, so a group's error is about half
+    its smallest document, however often rows repeat. No sampling: reruns agree.
     Null ids and sources are values; null texts and texts without words have size 0 and are taken once.
     """
     sized = docs.select(F.col(source_col).alias("source"), *row_key(id_col, text_col), word_count(F.col(text_col)).alias("size"))
@@ -111,38 +112,65 @@ def copies_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = units.withColumn("u_salt", salt("k_id", "k_text"))
     rated = dealt.join(known, dealt["source"].eqNullSafe(known["t_source"]) & (dealt["u_salt"] == known["salt"]))
     rate = tilted_rate(F.col("size"), F.col("tilt"), F.col("mean"), float(most))
-    unit = F.struct((-F.col("size") * F.col("n_rows")).alias("order"), "k_id", "k_text", "size", "n_rows", rate.alias("rate"))
+    unit = F.struct((-F.col("size")).alias("order"), "k_id", "k_text", "size", "n_rows", rate.alias("rate"))
     rated = rated.select("source", "source_size", "target", F.pmod(F.xxhash64("k_id", "k_text"), "groups").alias("part"), unit.alias("unit"))
     held = rated.groupBy("source", "source_size", "target", "part").agg(F.array_sort(F.collect_list("unit")).alias("units"))
 
     def rounded(acc: Column, u: Column) -> Column:
-        words = (u["size"] * u["n_rows"]).cast("double")
-        want = acc["want"] + u["rate"] * words
-        copies = F.when(words == 0, 1).otherwise(F.least(F.lit(most), F.greatest(F.lit(0), F.round((want - acc["taken"]) / words)))).cast("int")
-        return F.struct(want.alias("want"), (acc["taken"] + copies * words).alias("taken"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
+        want = acc["want"] + u["rate"] * (u["size"] * u["n_rows"]).cast("double")
+        wished = F.round((want - acc["taken"]) / u["size"].cast("double"))
+        copies = F.when(u["size"] == 0, u["n_rows"]).otherwise(F.least((most * u["n_rows"]).cast("double"), F.greatest(F.lit(0.0), wished)).cast("long"))
+        return F.struct(want.alias("want"), (acc["taken"] + (copies * u["size"]).cast("double")).alias("taken"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
 
-    start = F.struct(F.lit(0.0).alias("want"), F.lit(0.0).alias("taken"), F.array().cast("array<int>").alias("copies"))
+    start = F.struct(F.lit(0.0).alias("want"), F.lit(0.0).alias("taken"), F.array().cast("array<long>").alias("copies"))
     folded = held.withColumn("copies", F.aggregate("units", start, rounded)["copies"])
     flat = folded.select("source", "source_size", "target", F.explode(F.arrays_zip("units", "copies")).alias("u"))
-    return flat.select("source", "u.units.k_id", "u.units.k_text", "u.units.size", "u.units.n_rows", "source_size", "target", "u.copies")
+    each = F.expr("u.copies div u.units.n_rows").cast("int")
+    return flat.select("source", "u.units.k_id", "u.units.k_text", "u.units.size", "u.units.n_rows", "source_size", "target", each.alias("copies"), (F.col("u.copies") % F.col("u.units.n_rows")).alias("extra"))
 
 
-def repeated(rows: DataFrame, n: str) -> DataFrame:
-    """Each row n times, however large n is: no array of more than 4,096 numbers or n / 4,096 is built."""
+def repeated(rows: DataFrame, n: str, nth: str = "nth") -> DataFrame:
+    """Each row n times, numbered from 0, however large n is: no array of more than 4,096 numbers or n / 4,096 is built."""
     most = 4096
     outer = rows.withColumn("_outer", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {most}"))))
-    return outer.withColumn("_inner", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(most), F.col(n) - most * F.col("_outer"))))).drop("_outer", "_inner")
+    inner = outer.withColumn("_inner", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), F.col(n) - most * F.col("_outer")) - 1)))
+    return inner.withColumn(nth, most * F.col("_outer") + F.col("_inner")).drop("_outer", "_inner")
+
+
+KEY = ["k_source", "k_id", "k_text"]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (KEY, at, ...) with `nth`, their number from 0 among the rows of their key. at says where a row was read: its
+    upper bits are the partition, so a key's rows are numbered in parts, and the parts by the counts before them."""
+    dealt = cut(rows.withColumn("part", F.shiftright("at", 33)))
+    counts = dealt.groupBy(*KEY, "part").agg(F.count("*").alias("n"))  # a row a key and partition
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*KEY, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    here = F.row_number().over(Window.partitionBy(*KEY, "part").orderBy("at")) - 1
+    placed = dealt.withColumn("here", here)
+    return placed.join(counts, same_key(placed, counts, (*KEY, "part"))).select(*[placed[c] for c in rows.columns], (F.col("here") + F.col("ahead")).alias("nth"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 2) -> DataFrame:
-    """docs as the mix takes them: each row as often as copies_plan() says, zero times included; columns stay."""
-    plan = copies_plan(docs, id_col, text_col, source_col, most).select(F.col("source").alias("k_source"), "k_id", "k_text", "copies")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("k_source"), *row_key(id_col, text_col))
-    both = keyed.join(plan, same_key(keyed, plan, ("k_source", "k_id", "k_text"))).where(F.col("copies") > 0)
-    return both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    """docs as the mix takes them: each row as often as copies_plan() says, zero times included; columns stay.
+
+    Null ids, texts and sources are values, texts without words are taken once, an empty table gives no rows. Of rows that
+    repeat, those read first are the ones taken once more; they are numbered only where a plan has such.
+    """
+    plan = copies_plan(docs, id_col, text_col, source_col, most).select(F.col("source").alias("k_source"), "k_id", "k_text", "copies", "extra")
+    plan = cut(plan)
+    keyed = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("k_source"), *row_key(id_col, text_col), F.monotonically_increasing_id().alias("at"))
+    even, odd = plan.where("extra = 0 AND copies > 0"), plan.where("extra > 0")
+    taken = keyed.join(even, same_key(keyed, even, KEY)).select("row", "copies")
+    if odd.limit(1).count():
+        both = keyed.join(odd, same_key(keyed, odd, KEY)).select("row", *[keyed[k] for k in KEY], "at", "copies", "extra")
+        taken = taken.unionByName(numbered(both).select("row", (F.col("copies") + (F.col("nth") < F.col("extra")).cast("int")).alias("copies")).where("copies > 0"))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row; repeated rows have a row each."""
     rows = repeated(copies_plan(docs), "n_rows")
-    return rows.select(F.col("k_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    copies = F.col("copies") + (F.col("nth") < F.col("extra")).cast("int")
+    return rows.select(F.col("k_id").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"))

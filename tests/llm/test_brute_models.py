@@ -142,15 +142,28 @@ def test_tilts_and_copies(docs):  # noqa: F811
             tilt = (low + high) / 2
             low, high = (tilt, high) if sum(u.n_rows * u["size"] * rate(u["size"], tilt) for u in units) < target else (low, tilt)
         want = taken = 0.0
-        for u in sorted(units, key=lambda u: (-u["size"] * u.n_rows, u.k_id is not None, u.k_id or 0, u.k_text)):
-            words = u["size"] * u.n_rows
-            want += rate(u["size"], tilt) * words
-            copies = 1 if not words else min(2, max(0, math.floor((want - taken) / words + 0.5)))
-            taken += copies * words
-            assert u.copies == copies
+        for u in sorted(units, key=lambda u: (-u["size"], u.k_id is not None, u.k_id or 0, u.k_text)):
+            want += rate(u["size"], tilt) * u["size"] * u.n_rows
+            copies = u.n_rows if not u["size"] else min(2 * u.n_rows, max(0, math.floor((want - taken) / u["size"] + 0.5)))
+            taken += copies * u["size"]
+            assert divmod(copies, u.n_rows) == (u.copies, u.extra)
         assert abs(taken - target) <= max(1.0, 0.01 * target)
 
 
+@pytest.mark.parametrize("kinds, times", [(1, 9000), (3, 1000), (40, 7)])
+def test_repeated_rows_meet_the_target(spark, kinds, times):
+    """Copies are spread over rows that repeat: the words taken come within a percent of the target, and reruns agree."""
+    rows = spark.range(kinds).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") * 7 + 50).cast("int")).alias("text"), F.lit("a").alias("source"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("n")).drop("n")
+    rows = rows.unionByName(spark.range(300).select((F.col("id") + 100).alias("doc_id"), F.repeat(F.lit("x "), (F.col("id") % 40 + 1).cast("int")).alias("text"), F.lit("b").alias("source"))).repartition(5)
+    got = mixing.mix_report(rows).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.col("taken") / F.col("size")).alias("most")).collect()
+    assert all(abs(r.taken / r.target - 1) < 0.01 and r.most <= 2 for r in got)
+    mixed = lambda: sorted(map(tuple, mixing.mix_sources(rows).groupBy("doc_id", "source").count().collect()))
+    again = mixed()
+    assert again == mixed() and sum(c for i, s, c in again if s == "a") > 0
+    told = mixing.mix_report(rows).where("doc_id < 100").groupBy("doc_id").agg(F.sum(F.expr("taken div size")).alias("n")).where("n > 0")
+    assert sorted((r.doc_id, r.n) for r in told.collect()) == sorted((i, c) for i, s, c in again if s == "a")
+
+
 # --- pages
 
 def test_every_page_of_the_table(spark):
