@@ -64,6 +64,10 @@ def measures(text: Column) -> Column:
     return F.arrow_udf(_measures, MEASURES)(text)
 
 
+#: The rules, in the order of their votes.
+RULES = ("length", "symbols", "lines", "repeats", "word_length", "letters", "variety")
+
+
 def rules(m: Column) -> dict[str, tuple[Column, ...]]:
     """Each rule's (votes bad, votes good[, votes bad for two reasons or more]); it abstains where neither holds.
 
@@ -97,39 +101,55 @@ def vote_pattern(m: Column) -> Column:
     return F.concat(*[F.when(strong[0] if strong else F.lit(False), "=").when(bad, "-").when(good, "+").otherwise("0") for bad, good, *strong in rules(m).values()])
 
 
-#: Where a rule's rates of strongly bad and of bad votes start, and between what they stay, for bad and for good texts.
-STARTS = ((0.4, 0.5), (0.0002, 0.02))
-BOUNDS = (((0.2, 0.9), (0.2, 0.999)), ((0.0001, 0.0005), (0.001, 0.05)))
+#: A rule's rates of strongly bad and of bad votes before any text is seen, for bad and for good texts; and how heavy that
+#: prior is for either class, as a share of all votes. A false alarm on good texts is what the prior says as much as what
+#: the votes say; how often a rule catches a bad text is left to the votes.
+STARTS = ((0.4, 0.5), (0.0002, 0.03))
+PRIOR_WEIGHTS = (0.01, 1.0)
 
 
-def fit_label_model(counts: dict[str, int], tolerance: float = 1e-9) -> dict[str, float]:
-    """Posterior probability of good quality for each vote pattern, by expectation-maximisation until nothing moves.
+def fitted(counts: dict[str, int], tolerance: float = 1e-9) -> tuple[dict[str, float], list[list[np.ndarray]], float]:
+    """(posterior probability of good quality for each vote pattern, rates [bad, good] x [strong, bad] x rule, share of good
+    texts), by expectation-maximisation until nothing moves.
 
     A rule that votes calls a bad text bad, and a good text bad, with probabilities of its own; abstaining says nothing.
-    A bad text may look good to most rules (0.5 at the start, 0.2 at least to be caught), while a good one is seldom
-    called bad (0.02 at the start, 0.05 at most): this keeps the two classes from changing places. A pattern in which
-    all rules abstain gets the share of good texts. RuntimeError if 100,000 steps are not enough.
+    Rates are the most probable ones under a beta prior; none is cut off. The prior keeps the classes from changing places:
+    bad texts may look good to most rules, good ones are seldom called bad. A pattern in which all rules abstain gets the
+    share of good texts. RuntimeError if 100,000 steps are not enough.
     """
     if not counts:
-        return {}
+        return {}, [], 0.8
     votes = np.array([list(p) for p in counts])
     n = np.array(list(counts.values()), float)
     strong, bad, fine = ((votes == v).astype(float) for v in "=-+")
-    rates = [[np.full(votes.shape[1], r) for r in pair] for pair in STARTS]  # [bad, good] x [strong, bad] x rule
+    graded = strong.any(axis=0)
+    rates = [[np.where(graded, s, 0.0), np.full(votes.shape[1], b)] for s, b in STARTS]
     prior, before = 0.8, None
+    least = 1e-12
     for _ in range(100_000):
-        log = [strong @ np.log(s) + bad @ np.log(b) + fine @ np.log(np.maximum(1 - b - s * strong.any(axis=0), 1e-3)) for s, b in rates]
+        log = [strong @ np.log(np.maximum(s, least)) + bad @ np.log(b) + fine @ np.log(np.maximum(1 - b - s, least)) for s, b in rates]
         good = 1 / (1 + np.exp(np.clip(log[0] + np.log(1 - prior) - log[1] - np.log(prior), -700, 700)))
         if before is not None and np.abs(good - before).max() < tolerance:
-            return dict(zip(counts, map(float, good), strict=True))
+            return dict(zip(counts, map(float, good), strict=True)), rates, prior
         before = good
-        prior = float(np.clip((n @ good + 4) / (n.sum() + 5), 0.05, 0.95))
-        for c, weight in enumerate((n * (1 - good), n * good)):
-            given = weight @ (strong + bad + fine) + 10
-            rates[c] = [np.clip((weight @ v + 10 * start) / given, *bound) for v, start, bound in zip((strong, bad), STARTS[c], BOUNDS[c], strict=True)]
+        prior = float((n @ good + 4) / (n.sum() + 5))
+        for c, (weight, share) in enumerate(zip((n * (1 - good), n * good), PRIOR_WEIGHTS, strict=True)):
+            given = weight @ (strong + bad + fine) + share * n.sum()
+            rates[c] = [np.where(graded | (k == 1), (weight @ v + share * n.sum() * start) / given, 0.0) for k, (v, start) in enumerate(zip((strong, bad), STARTS[c], strict=True))]
     raise RuntimeError("the rules' accuracies don't settle")
 
 
+def fit_label_model(counts: dict[str, int], tolerance: float = 1e-9) -> dict[str, float]:
+    """The posteriors of fitted()."""
+    return fitted(counts, tolerance)[0]
+
+
+def rule_rates(counts: dict[str, int]) -> list[dict]:
+    """What fitted() says of each rule: the shares of bad and of good texts it calls bad, strongly and in all."""
+    _, rates, _ = fitted(counts)
+    return [{"rule": r, "caught": float(rates[0][0][k] + rates[0][1][k]), "strongly": float(rates[0][0][k]), "false_alarms": float(rates[1][0][k] + rates[1][1][k])} for k, r in enumerate(RULES)] if rates else []
+
+
 def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, carried: list[str] | None = None) -> DataFrame:
     """(row, m, base_failed, posterior, kept) for every row of docs; row holds all its columns, or those that are carried.
 

@@ -92,25 +92,25 @@ def plain_posteriors(votes):
     strong = [any(v[j] == "=" for v in votes) for j in rules]
     rates = [[{"=": s, "-": b} for _ in rules] for s, b in quality_rules.STARTS]
     prior = 0.8
-    clip = lambda x, low, high: min(max(x, low), high)
 
     def chance(c, j, vote):
         if vote == "0":
             return 1.0
         r = rates[c][j]
-        return r[vote] if vote in r else max(1 - r["-"] - (r["="] if strong[j] else 0.0), 1e-3)
+        return r[vote] if vote in r else 1 - r["-"] - (r["="] if strong[j] else 0.0)
 
     for _ in range(400):
         good = []
         for v in votes:
             p = [w * math.prod(chance(c, j, v[j]) for j in rules) for c, w in enumerate((1 - prior, prior))]
             good.append(p[1] / sum(p))
-        prior = clip((sum(good) + 4) / (len(votes) + 5), 0.05, 0.95)
+        prior = (sum(good) + 4) / (len(votes) + 5)
         for c in (0, 1):
             for j in rules:
                 weight = {x: sum(g if c else 1 - g for g, v in zip(good, votes, strict=True) if v[j] == x) for x in "=-+"}
-                given = sum(weight.values()) + 10
-                rates[c][j] = {x: clip((weight[x] + 10 * quality_rules.STARTS[c][k]) / given, *quality_rules.BOUNDS[c][k]) for k, x in enumerate("=-")}
+                held = quality_rules.PRIOR_WEIGHTS[c] * len(votes)
+                given = sum(weight.values()) + held
+                rates[c][j] = {x: (weight[x] + held * quality_rules.STARTS[c][k]) / given for k, x in enumerate("=-")}
     return good
 
 
