@@ -327,7 +327,7 @@ def without_spans(text: str | None, spans: list | None) -> tuple[bytes, int, int
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k_id, text, spans) for every row of docs: spans is null where nothing repeats."""
     source = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
-    found = repeated_spans(docs, id_col, text_col).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    found = repeated_spans(docs, id_col, text_col).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # sets are combined before the shuffle: repeats of a row add nothing
     return source.join(found, same_key(source, found), "left").select(source["k_id"], "text", "spans")
 
 

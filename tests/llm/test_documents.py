@@ -174,6 +174,40 @@ def test_label_model_finds_the_careless_rule():
     assert quality_rules.fit_label_model({}) == {}
 
 
+def test_label_model_recovers_planted_accuracies():
+    """For every rule: what it catches of bad texts is what was planted, and its false alarms lie between that and the prior."""
+    r = random.Random(3)
+    planted = [(0.9, 0.03), (0.75, 0.02), (0.6, 0.04), (0.45, 0.03), (0.8, 0.03), (0.3, 0.02), (0.55, 0.03)]
+    counts = {}
+    for _ in range(30_000):
+        good = r.random() < 0.8
+        votes = "".join("0" if r.random() < 0.25 else ("-" if r.random() < (q if good else p) else "+") for p, q in planted)
+        counts[votes] = counts.get(votes, 0) + 1
+    _, rates, prior = quality_rules.fitted(counts)
+    assert abs(prior - 0.8) < 0.02
+    for k, (p, q) in enumerate(planted):
+        assert abs(rates[0][1][k] - p) < 0.04 and abs(rates[1][1][k] - (q + 0.03) / 2) < 0.01
+    told = quality_rules.rule_rates(counts)
+    assert [t["rule"] for t in told] == list(quality_rules.RULES) and all(t["caught"] > t["false_alarms"] for t in told)
+
+
+def test_repeats_of_a_row_share_their_spans(spark):
+    """Twenty thousand rows of one id and text: each span once, not once a row."""
+    from pyspark.sql import functions as F
+
+    text = "".join(f"{k} and {k * k}, " for k in range(60))
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    cut = suffix_dedup.cut_documents(rows)
+    assert cut.count() == 20_000 and cut.agg(F.max(F.size("spans"))).first()[0] <= 24
+    assert {tuple(r) for r in suffix_dedup.suffix_report(rows.limit(3)).select("n_bytes", "n_removed", "n_spans").collect()} == {(len(text), len(text), 1)}
+
+
+def test_rules_are_named_in_order(spark):
+    from pyspark.sql import functions as F
+
+    assert tuple(quality_rules.rules(F.lit(None).cast(quality_rules.MEASURES))) == quality_rules.RULES
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix_report(docs).collect()
     sizes = {}
