@@ -20,16 +20,16 @@ def _parts(c: Column, pattern: str) -> Column:
 
 
 def timecode_to_seconds(c: Column) -> Column:
-    """HH:MM:SS.mmm or HH:MM:SS,mmm as seconds; anything else, null included, is 0."""
-    seconds = _parts(c, CLOCK) + F.regexp_extract(c, CLOCK, 4).cast("double") / 1000
-    return F.when(c.rlike(CLOCK), seconds).otherwise(F.lit(0.0))
+    """HH:MM:SS.mmm or HH:MM:SS,mmm as seconds, white space around it allowed; anything else, null included, is 0."""
+    t = strip(c)
+    seconds = _parts(t, CLOCK) + F.regexp_extract(t, CLOCK, 4).cast("double") / 1000
+    return F.when(t.rlike(CLOCK), seconds).otherwise(F.lit(0.0))
 
 
 def any_time_to_seconds(c: Column) -> Column:
-    """'12.3s' or '12.3' as seconds, else timecode_to_seconds(); empty and null are 0."""
+    """'12.3s', '12.3' or '12' as seconds, without sign or exponent, else timecode_to_seconds(); empty and null are 0."""
     t = strip(c)
-    bare = F.regexp_replace(t, "s$", "")
-    return F.when(bare.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), bare.cast("double")).otherwise(timecode_to_seconds(t))
+    return F.when(t.rlike(r"^[0-9]+(\.[0-9]+)?s?$"), F.regexp_replace(t, "s$", "").cast("double")).otherwise(timecode_to_seconds(t))
 
 
 def format_timecode(seconds: Column, comma: bool = False) -> Column:
@@ -83,10 +83,15 @@ def collapse_repeats(c: Column) -> Column:
     return F.when(c.rlike(_gram(r"(?:\s++\S++){0,2}")), out).otherwise(c)
 
 
+def cleaned(c: Column) -> Column:
+    """normalize_text() behind its first two steps: tags, white space and repeats of text whose entities are decoded."""
+    return collapse_repeats(collapse_ws(strip_tags(c)))
+
+
 def normalize_text(c: Column, entities: bool = True) -> Column:
     """The whole clean-up of a caption line, in its fixed order. entities=False skips decoding, for text without '&'."""
     spaced = F.replace(c, F.lit("\\N"), F.lit(" "))
-    return collapse_repeats(collapse_ws(strip_tags(unescape_html(spaced) if entities else spaced)))
+    return cleaned(unescape_html(spaced) if entities else spaced)
 
 
 def tokens(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions import ids, text
@@ -446,15 +446,26 @@ def changed_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.drop_adjacent_duplicates(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role").select("conv_id", "turn")
 
 
+#: White space that caption lines can't hold, which ends lines in some formats.
+BREAKS = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{2028}\x{2029}]+"
+#: What every cue ends with: tags, entities, quotes, braces and a lone bracket.
+TAIL = ' <b>R&D</b> {x} "q" 3<4'
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def _caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Caption files written out of conversations: a cue a turn, the format by conversation."""
-    c = table(spark, sf_dir, "conversations").withColumn("line", F.regexp_replace("text", r"[\s<>&\"{}]+", " "))
+    """Caption files written out of conversations: a cue a turn, the format by conversation, each with its own escapes."""
+    c = table(spark, sf_dir, "conversations").withColumn("line", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), BREAKS, " "), F.lit(TAIL)))
     s, e = text.format_timecode(F.col("turn") * 2.0), text.format_timecode(F.col("turn") * 2.0 + 1.5)
-    vtt = F.concat(s, F.lit(" --> "), e, F.lit(" align:start\n"), "line", F.lit("\n"))
+    vtt = F.concat(s, F.lit(" --> "), e, F.lit(" align:start\n"), _escaped(F.col("line")), F.lit("\n"))
     srt = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), text.format_timecode(F.col("turn") * 2.0, True), F.lit(" --> "), text.format_timecode(F.col("turn") * 2.0 + 1.5, True), F.lit("\n"), "line", F.lit("\n"))
-    ttml = F.concat(F.lit('<p begin="'), s, F.lit('" end="'), e, F.lit('">'), "line", F.lit("</p>"))
-    timed = F.concat(F.lit('<text start="'), (F.col("turn") * 2.0).cast("string"), F.lit('" dur="1.5">'), "line", F.lit("</text>"))
-    json3 = F.to_json(F.struct((F.col("turn") * 2000).alias("tStartMs"), F.lit(1500).alias("dDurationMs"), F.array(F.struct(F.col("line").alias("utf8"))).alias("segs")))
+    ttml = F.concat(F.lit('<p begin="'), s, F.lit('" end="'), e, F.lit('">'), _escaped(F.col("line")), F.lit("</p>"))
+    timed = F.concat(F.lit('<text start="'), (F.col("turn") * 2.0).cast("string"), F.lit('" dur="1.5">'), _escaped(_escaped(F.col("line"))), F.lit("</text>"))
+    broken = F.replace("line", F.lit(" {x} "), F.lit("\n{x} "))
+    json3 = F.to_json(F.struct((F.col("turn") * 2000).alias("tStartMs"), F.lit(1500).alias("dDurationMs"), F.array(F.struct(broken.alias("utf8"))).alias("segs")))
     ass = F.concat(F.lit("Dialogue: 0,"), F.expr("substring({0}, 2, 10)".replace("{0}", "clock_s")), F.lit(","), F.expr("substring(clock_e, 2, 10)"), F.lit(",Default,,0,0,0,,{\\an8}"), "line")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("vtt", "srt", "ttml", "srv1", "json3", "ass")]), (F.col("conv_id") % 6 + 1).cast("int"))
     c = c.withColumns({"clock_s": s, "clock_e": e, "ext": kind})
@@ -465,15 +476,23 @@ def _caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("conv_id").cast("string").alias("job_id"), F.concat(F.lit("/c/"), "conv_id", F.lit("/en."), "ext").alias("path"), "ext", whole.alias("content"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS job_id, count(*) AS cues, CAST(sum(turn * 2.0) AS DOUBLE) AS starts, CAST(sum(turn * 2.0 + 1.5) AS DOUBLE) AS ends, CASE WHEN conv_id % 6 <> 0 THEN md5(string_agg(t, '|' ORDER BY turn)) END AS digest FROM (SELECT *, trim(regexp_replace(text, '[\\s<>&\"{}]+', ' ', 'g')) AS t FROM conversations) WHERE t <> '' GROUP BY conv_id")
+@query(f"""
+WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(coalesce(text, ''), '{BREAKS}', ' ', 'g') || '{TAIL}', '^{SPACES}+|{SPACES}+$', '', 'g') AS t FROM conversations),
+k AS (SELECT *, CASE conv_id % 6 WHEN 0 THEN array_to_string(list_sort(list_distinct(list_filter(string_split_regex(translate(regexp_replace(t, '<[^>]+>', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))), ' ')
+  WHEN 5 THEN regexp_replace(t, '[{{][^}}]*[}}]', '', 'g') ELSE t END AS said FROM t)
+SELECT CAST(conv_id AS VARCHAR) AS job_id, count(*) AS cues, CAST(sum(turn * 2.0) AS DOUBLE) AS starts, CAST(sum(turn * 2.0 + 1.5) AS DOUBLE) AS ends, md5(string_agg(said, '|' ORDER BY turn)) AS digest FROM k GROUP BY conv_id
+""")
 def parsed_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, written as a cue of one of six formats, and parsed again. Texts are compared by
-    digest but for WebVTT, whose clean-up the oracle can't do."""
+    digest; those of WebVTT, whose repeats collapse, by the distinct words of each cue."""
     from captionloom.sources.captions import parse_captions
 
     cues = parse_captions(_caption_files(spark, sf_dir))
-    told = cues.groupBy("job_id").agg(F.count("*").alias("cues"), F.round(F.sum("start"), 3).alias("starts"), F.round(F.sum("end"), 3).alias("ends"), F.array_sort(F.collect_list(F.struct("cue_no", "text"))).alias("held"))
-    return told.select("job_id", "cues", "starts", "ends", F.when(F.col("job_id").cast("long") % 6 != 0, F.md5(F.array_join("held.text", "|"))).alias("digest"))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.array_join(F.array_sort(F.array_distinct(F.array_remove(F.split(F.translate("text", upper, lower), r"[^\p{L}\p{N}]+"), ""))), " ")
+    said = F.when(F.col("job_id").cast("long") % 6 == 0, words).otherwise(F.col("text"))
+    told = cues.groupBy("job_id").agg(F.count("*").alias("cues"), F.round(F.sum("start"), 3).alias("starts"), F.round(F.sum("end"), 3).alias("ends"), F.array_sort(F.collect_list(F.struct("cue_no", said.alias("said")))).alias("held"))
+    return told.select("job_id", "cues", "starts", "ends", F.md5(F.array_join("held.said", "|")).alias("digest"))
 
 
 @query("""
@@ -501,7 +520,7 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from captionloom.sources.captions import parse_captions, read_caption_files
 
     at = derived.folder(spark)
-    lines = _merged(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"[\s<>&]+", " "))
+    lines = _merged(spark, sf_dir).withColumn("text", _escaped(F.regexp_replace("text", BREAKS, " ")))
     transcripts.write_subtitles(transcripts.render_vtt(lines), at)
     cues = parse_captions(read_caption_files(spark, at, ["txt"]))
     told = cues.groupBy(F.regexp_replace("job_id", "^job_id=", "").alias("job_id"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionloom.functions.schemas import CUE_ARRAY
-from captionloom.functions.text import any_time_to_seconds, normalize_text, strip, timecode_to_seconds
+from captionloom.functions.text import cleaned, strip, timecode_to_seconds
 
 EXTENSIONS = ("vtt", "srt", "ttml", "dfxp", "xml", "srv1", "srv2", "srv3", "json3", "ass", "ssa")
 STAMP = r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
@@ -35,8 +36,12 @@ def read_caption_files(spark: SparkSession, path: str, exts: Iterable[str] = EXT
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"), "path", ext.alias("ext"), F.regexp_replace(decoded, r"^\x{FEFF}", "").alias("content"))
 
 
+#: What ends a line: all that Python's splitlines() takes for one.
+LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+
+
 def _lines(content: Column) -> Column:
-    return F.split(F.regexp_replace(content, r"\r\n?", "\n"), "\n", -1)
+    return F.split(content, LINE_END, -1)
 
 
 def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -44,157 +49,168 @@ def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _timed_cues(content: Column, mark: str, blank: str, each: Callable[[Column], Column] | None, repeats: bool) -> Column:
-    """Cues of timing lines, in the row: each line is looked at once; a cue is the slice from its timing line to the next
-    timing line or blank one."""
-    timing = rf"({STAMP}[{mark}][0-9]{{3}})\s*-->\s*({STAMP}[{mark}][0-9]{{3}})"
+def _timed_cues(content: Column, mark: str, blank: str, plain: Column | None, each: Callable[[Column], Column], repeats: bool) -> Column:
+    """Cues of blocks of lines, in the row. A cue begins at a block's first timing line, which begins with its times and has
+    spaces around its arrow, and goes to the next blank line; other lines that look like a timing line are its text.
+
+    plain, if given, holds for each line what its text is read from. Only lines of cues are cleaned, each once.
+    """
+    timing = rf"^({STAMP}[{mark}][0-9]{{3}})\s+-->\s+({STAMP}[{mark}][0-9]{{3}})"
 
     def seen(line: Column, i: Column) -> Column:
         blank_line = strip(line) == "" if blank == "whitespace" else line == ""
-        stamped = line.rlike(timing)
-        text = F.when(stamped | blank_line, F.lit("")).otherwise(each(line) if each else strip(line))
-        return F.struct(i.alias("i"), stamped.alias("stamped"), (stamped | blank_line).alias("stops"), text.alias("text"), F.when(stamped, line).alias("line"))
+        return F.struct(i.alias("i"), blank_line.alias("blank"), line.rlike(timing).alias("stamped"), line.alias("line"))
 
-    def lines_of(lines: Column, begin: Column, stop: Column) -> Column:
-        texts = F.filter(F.transform(F.slice(lines, begin + 2, stop - begin - 1), lambda x: x["text"]), lambda t: t != "")
-        return _bound(texts, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))) if repeats else texts
+    def text_of(texts: Column, begin: Column, stop: Column) -> Column:
+        kept = F.filter(F.transform(F.slice(texts, begin + 2, stop - begin - 1), each), lambda t: t != "")
+        return F.array_join(_bound(kept, lambda t: F.filter(t, lambda x, i: (i == 0) | (x != F.get(t, i - 1)))) if repeats else kept, " ")
 
     def cues(lines: Column) -> Column:
-        stops = F.filter(lines, lambda x: x["stops"])
+        marks = _bound(F.filter(lines, lambda x: x["blank"] | x["stamped"]), lambda m: F.filter(m, lambda x, k: x["blank"] | (k == 0) | F.get(m, k - 1)["blank"]))
+        texts = F.transform(lines, lambda x: x["line"])
+        texts = F.coalesce(plain, texts) if plain is not None else texts
 
-        def told(x: Column, place: Column, all_stops: Column) -> Column:
-            stop = F.coalesce(F.get(all_stops, place + 1)["i"], F.size(lines))
-            text = F.array_join(lines_of(lines, x["i"], stop), " ")
+        def told(x: Column, place: Column, all_marks: Column) -> Column:
+            stop = F.coalesce(F.get(all_marks, place + 1)["i"], F.size(lines))
             when = [timecode_to_seconds(F.regexp_extract(x["line"], timing, k)) for k in (1, 2)]
-            return F.when(x["stamped"], F.struct(when[0].alias("start"), when[1].alias("end"), text.alias("text")))
+            return F.when(x["stamped"], F.struct(when[0].alias("start"), when[1].alias("end"), text_of(texts, x["i"], stop).alias("text")))
 
-        return _bound(stops, lambda all_stops: F.filter(F.transform(all_stops, lambda x, place: told(x, place, all_stops)), lambda c: c.isNotNull() & (c["text"] != "")))
+        return _bound(marks, lambda m: F.filter(F.transform(m, lambda x, place: told(x, place, m)), lambda c: c.isNotNull() & (c["text"] != "")))
 
     return _bound(F.transform(_lines(content), seen), cues)
 
 
-def vtt_cues(content: Column, normalize: str = "line", blank: str = "whitespace") -> Column:
+def vtt_cues(content: Column, normalize: str = "line", blank: str = "whitespace", plain: Column | None = None) -> Column:
     """WebVTT cues. normalize: clean each line (equal neighbours in a cue become one) or the whole cue. blank: what ends a cue.
 
-    Cleaning in the row covers all but entities, which need a Python round trip: parse_captions() decodes them first.
+    plain: the lines with '\\N' as a space and entities decoded, null where a file has none (see plain_lines()).
     """
-    each = (lambda line: normalize_text(line, entities=False)) if normalize == "line" else None
-    cues = _timed_cues(content, ".,", blank, each, normalize == "line")
-    if normalize == "cue":
-        cues = F.filter(F.transform(cues, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), normalize_text(c["text"], entities=False).alias("text"))), lambda c: c["text"] != "")
-    return cues
+    spaced = lambda x: F.replace(x, F.lit("\\N"), F.lit(" ")) if plain is None else F.when(plain.isNull(), F.replace(x, F.lit("\\N"), F.lit(" "))).otherwise(x)
+    if normalize == "line":
+        return _timed_cues(content, ".,", blank, plain, lambda x: cleaned(spaced(x)), True)
+    cues = _timed_cues(content, ".,", blank, plain, strip, False)
+    return F.filter(F.transform(cues, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), cleaned(spaced(c["text"])).alias("text"))), lambda c: c["text"] != "")
 
 
 def srt_cues(content: Column) -> Column:
     """SRT cues: comma milliseconds only, lines trimmed and joined, text as it is."""
-    return _timed_cues(content, ",", "whitespace", None, False)
+    return _timed_cues(content, ",", "whitespace", None, strip, False)
 
 
 def json3_cues(content: Column) -> Column:
-    """Cues of json3 events: an object with `events` or a bare list. Events without text or start are skipped."""
-    event = "struct<tStartMs:double,dDurationMs:double,dDuration:double,segs:array<struct<utf8:string>>>"
+    """Cues of json3 events: an object with `events` or a bare list. Events without text or start are skipped; line breaks
+    in a segment are spaces; a duration of 0 or none is that of dDuration, if there is one."""
+    event = "struct<tStartMs:string,dDurationMs:string,dDuration:string,segs:array<struct<utf8:string>>>"
     listed = F.from_json(content, f"array<{event}>")
     events = F.when(strip(content).startswith("["), listed).otherwise(F.from_json(content, f"struct<events:array<{event}>>")["events"])
+    number = lambda c: c.try_cast("double")
 
     def told(e: Column) -> Column:
-        text = F.array_join(F.filter(F.transform(e["segs"], lambda s: strip(F.coalesce(s["utf8"], F.lit("")))), lambda t: t != ""), " ")
-        begin = e["tStartMs"] / 1000
-        return F.struct(begin.alias("start"), (begin + F.coalesce(e["dDurationMs"], e["dDuration"], F.lit(0.0)) / 1000).alias("end"), F.coalesce(text, F.lit("")).alias("text"))
+        text = F.array_join(F.filter(F.transform(e["segs"], lambda s: strip(F.translate(F.coalesce(s["utf8"], F.lit("")), "\n", " "))), lambda t: t != ""), " ")
+        begin = number(e["tStartMs"]) / 1000
+        length = F.coalesce(F.nullif(number(e["dDurationMs"]), F.lit(0.0)), number(e["dDuration"]), F.lit(0.0))
+        return F.struct(begin.alias("start"), (begin + length / 1000).alias("end"), F.coalesce(text, F.lit("")).alias("text"))
 
     return F.coalesce(F.filter(F.transform(events, told), lambda c: c["start"].isNotNull() & (c["text"] != "")), F.array().cast(CUE_ARRAY))
 
 
 def ass_cues(content: Column) -> Column:
-    """Cues of Dialogue lines: ten comma fields, the last keeps its commas; override blocks go, \\N is a space."""
+    """Cues of Dialogue lines: ten comma fields, the last keeps its commas; override blocks go, \\N is a space. A line
+    whose times are no clock is skipped."""
     dialogue = F.filter(_lines(content), lambda x: strip(x).startswith("Dialogue:"))
     fields = F.transform(dialogue, lambda x: F.split(F.regexp_replace(strip(x), r"^Dialogue:\s*", ""), ",", 10))
-    clock = r"^\s*([0-9]+):([0-9]{2}):([0-9]{2})\.([0-9]{2})\s*$"
+    clock = r"^([0-9]+):([0-9]{2}):([0-9]{2})\.([0-9]{2})$"
 
     def seconds(t: Column) -> Column:
-        g = [F.regexp_extract(t, clock, k).cast("double") for k in range(1, 5)]
-        return F.when(t.rlike(clock), g[0] * 3600 + g[1] * 60 + g[2] + g[3] / 100).otherwise(F.lit(0.0))
+        g = [F.regexp_extract(strip(t), clock, k).cast("double") for k in range(1, 5)]
+        return g[0] * 3600 + g[1] * 60 + g[2] + g[3] / 100
 
     def told(f: Column) -> Column:
-        text = strip(F.replace(F.regexp_replace(f[9], r"\{[^}]*\}", ""), F.lit("\\N"), F.lit(" ")))
+        text = strip(F.replace(F.regexp_replace(strip(f[9]), r"\{[^}]*\}", ""), F.lit("\\N"), F.lit(" ")))
         return F.struct(seconds(f[1]).alias("start"), seconds(f[2]).alias("end"), text.alias("text"))
 
-    return F.filter(F.transform(F.filter(fields, lambda f: F.size(f) == 10), told), lambda c: c["text"] != "")
+    whole = F.filter(fields, lambda f: (F.size(f) == 10) & strip(F.get(f, F.lit(1))).rlike(clock) & strip(F.get(f, F.lit(2))).rlike(clock))
+    return F.filter(F.transform(whole, told), lambda c: c["text"] != "")
 
 
-def _number(text: str | None) -> float | None:
-    """Seconds of a time attribute: '1.5s', '1.5' or a clock; 0 for anything else, None for none."""
-    if text is None:
-        return None
-    t = text.strip().removesuffix("s")
-    try:
-        return float(t)
-    except ValueError:
-        m = re.fullmatch(r"(\d\d):(\d\d):(\d\d)[.,](\d\d\d)", t)
-        return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int(m[4]) / 1000 if m else 0.0
+def _seconds(text: str) -> float:
+    """any_time_to_seconds() of a time attribute."""
+    t = text.strip()
+    if re.fullmatch(r"[0-9]+(\.[0-9]+)?s?", t):
+        return float(t.removesuffix("s"))
+    m = re.fullmatch(r"(\d\d):(\d\d):(\d\d)[.,](\d\d\d)", t)
+    return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int(m[4]) / 1000 if m else 0.0
+
+
+#: Fixed value: the namespace that time attributes may have.
+TIME_SPACE = "{http://www.w3.org/ns/ttml#parameter}"
 
 
 def xml_cues(content: str, kind: str) -> list[dict]:
-    """Cues of one TTML ('ttml': elements ending in p) or timed-text ('timed': elements ending in text) document; bad XML has none."""
+    """Cues of one TTML ('ttml': elements whose name ends in p) or timed-text ('timed': in text) document; bad XML has none.
+
+    Text keeps its inner white space, but for line breaks of timed text, whose entities are decoded once more.
+    """
     try:
         root = ElementTree.fromstring(content.encode("utf-8", "replace"))
     except (ElementTree.ParseError, ValueError):
         return []
     out = []
     for node in root.iter():
-        if not str(node.tag).lower().endswith("p" if kind == "ttml" else "text"):
+        if not str(node.tag).endswith("p" if kind == "ttml" else "text"):
             continue
-        text = " ".join("".join(node.itertext()).split())
-        begin = _number(node.get("begin") if kind == "ttml" else node.get("start", node.get("t")))
-        if kind == "timed" and begin is None:
-            continue
-        begin, length = begin or 0.0, _number(node.get("dur", node.get("d") if kind == "timed" else None))
-        end = _number(node.get("end")) if kind == "ttml" else None
+        text = "".join(node.itertext())
+        if kind == "ttml":
+            begin, end, length = (node.get(n) or node.get(TIME_SPACE + n) for n in ("begin", "end", "dur"))
+            text, start = text.strip(), _seconds(begin or "0")
+            stop = _seconds(end) if end else start + _seconds(length or "0")
+        else:
+            begin = node.get("start") or node.get("t")
+            if begin is None:
+                continue
+            text, start = html.unescape(text.replace("\n", " ").strip()), _seconds(begin)
+            stop = start + _seconds(node.get("dur") or node.get("d") or "0")
         if text:
-            out.append({"start": begin, "end": end if end is not None else begin + (length or 0.0), "text": text})
+            out.append({"start": start, "end": stop, "text": text})
     return out
 
 
-def _xml(content: Column, kind: str) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([xml_cues(t or "", kind) for t in texts])
+def _xml_of(contents: pd.Series, kinds: pd.Series) -> pd.Series:
+    return pd.Series([xml_cues(t, k) if isinstance(t, str) else None for t, k in zip(contents, kinds, strict=True)], dtype=object)
+
+
+def _plain_of(contents: pd.Series) -> pd.Series:
+    spaced = lambda x: html.unescape(x.replace("\\N", " ")) if "&" in x else x.replace("\\N", " ")
+    return pd.Series([[spaced(x) for x in re.split(LINE_END, t)] if isinstance(t, str) else None for t in contents], dtype=object)
 
-    return F.pandas_udf(run, CUE_ARRAY)(content)
 
+def plain_lines(content: Column) -> Column:
+    """A file's lines with '\\N' as a space and entities decoded, line by line, so that what decodes to a line break or an
+    arrow stays text. Null of null: files without entities need no Python."""
+    return F.pandas_udf(_plain_of, "array<string>")(content)
 
-def unescape_lines(content: Column) -> Column:
-    from captionloom.functions.text import unescape_html
 
-    return unescape_html(content)
+KINDS = {"vtt": "vtt", "srt": "srt", "json3": "json3", "ass": "ass", "ssa": "ass", "ttml": "ttml", "dfxp": "ttml", "xml": "ttml", "srv1": "timed", "srv2": "timed", "srv3": "timed"}
 
 
 def parse_captions(files: DataFrame, normalize: str = "line", blank: str = "whitespace") -> DataFrame:
     """(job_id, path, cue_no, start, end, text) of a table of caption files (job_id, path, ext, content).
 
-    The parser goes by extension; an unknown one is read as WebVTT, and as SRT if that gives no cues. Files stay where
-    they are: each is parsed in its row. Files without cues give no rows; files_without_cues() lists them.
+    The parser goes by extension; an unknown one is read as WebVTT, and as SRT if that gives no cues. Files are read once
+    and parsed in their row; the Python helpers get null for files that don't need them. Files without cues give no rows;
+    files_without_cues() lists them.
     """
-    content = F.coalesce("content", F.lit(""))
-    vtt = vtt_cues(F.col("plain"), normalize, blank)
-    branches = {
-        "vtt": vtt,
-        "srt": srt_cues(content),
-        "json3": json3_cues(content),
-        "ass": ass_cues(content),
-        "ttml": _xml(content, "ttml"),
-        "timed": _xml(content, "timed"),
-        "unknown": F.when(F.size(vtt) > 0, vtt).otherwise(srt_cues(content)),
-    }
-    kinds = {"vtt": "vtt", "srt": "srt", "json3": "json3", "ass": "ass", "ssa": "ass", "ttml": "ttml", "dfxp": "ttml", "xml": "ttml", "srv1": "timed", "srv2": "timed", "srv3": "timed"}
-    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.lower("ext")], F.lit("unknown"))
-    routed = files.select("job_id", "path", content.alias("content"), kind.alias("kind"))
-    out = None
-    for name, cues in branches.items():
-        part = routed.where(F.col("kind") == name)
-        if name in ("vtt", "unknown"):
-            part = part.withColumn("plain", unescape_lines(F.col("content")))
-        part = part.select("job_id", "path", F.posexplode(cues).alias("cue_no", "cue"))
-        out = part if out is None else out.unionByName(part)
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.lower("ext")], F.lit("unknown"))
+    routed = files.select("job_id", "path", F.coalesce("content", F.lit("")).alias("content"), kind.alias("kind"))
+    content, kind = F.col("content"), F.col("kind")
+    helped = routed.withColumns({
+        "plain": plain_lines(F.when(kind.isin("vtt", "unknown") & content.contains("&"), content)),
+        "marked": F.pandas_udf(_xml_of, CUE_ARRAY)(F.when(kind.isin("ttml", "timed"), content), kind),
+    })
+    srt = srt_cues(content)
+    vtt = _bound(vtt_cues(content, normalize, blank, F.col("plain")), lambda v: F.when((kind == "unknown") & (F.size(v) == 0), srt).otherwise(v))
+    cues = F.when(kind.isin("vtt", "unknown"), vtt).when(kind == "srt", srt).when(kind == "json3", json3_cues(content)).when(kind == "ass", ass_cues(content)).otherwise(F.col("marked"))
+    out = helped.select("job_id", "path", F.posexplode(cues).alias("cue_no", "cue"))
     return out.select("job_id", "path", F.col("cue_no").cast("int").alias("cue_no"), "cue.start", "cue.end", "cue.text")
 
 

@@ -158,3 +158,40 @@ def test_recorded_runs(spark):
     assert [r["count"] for r in made.groupBy("job_id").count().collect()] == [21] * 8
     assert {tuple(r.n[:3]) for r in made.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", F.length("text").alias("n")))), lambda x: x["n"]).alias("n")).collect()} == {(474, 487, 496)}
     assert captions.EXTENSIONS[0] == "vtt"
+
+
+def cues_of(spark, content, ext):
+    df = spark.createDataFrame([("j", f"/j/x.{ext}", ext, content)], "job_id string, path string, ext string, content string")
+    return [(r.start, r.end, r.text) for r in captions.parse_captions(df).orderBy("cue_no").collect()]
+
+
+def test_timing_lines_begin_a_block(spark):
+    """A line that only holds times somewhere, has no spaces around its arrow, or follows another timing line, is text."""
+    srt = "1\n00:00:01,000 --> 00:00:02,000\nsee 00:00:05,000 --> 00:00:06,000 there\n\n2\n00:00:03,000 --> 00:00:04,000\nHello 2\n00:00:07,000 --> 00:00:08,000\nWorld\n\n00:00:09,000-->00:00:10,000\nno cue\n"
+    assert cues_of(spark, srt, "srt") == [(1.0, 2.0, "see 00:00:05,000 --> 00:00:06,000 there"), (3.0, 4.0, "Hello 2 00:00:07,000 --> 00:00:08,000 World")]
+    vtt = "WEBVTT\nKind: captions\n\n00:00:01.000 --> 00:00:02.000 align:start\na &lt;i&gt;b&lt;/i&gt; &amp;amp; c\nd&#10;e\\Nf\u2028g\n \nlost\n00:00:03.000 --&gt; 00:00:04.000\nlost too\n"
+    assert cues_of(spark, vtt, "vtt") == [(1.0, 2.0, "a b &amp; c d e f g")]
+    assert cues_of(spark, "00:00:01,000 --> 00:00:02,000\nx & y\n", "txt") == [(1.0, 2.0, "x & y")]
+
+
+def test_timed_text_is_decoded_twice_and_times_are_strict(spark):
+    timed = '<t><text start="1" dur="2">it&amp;#39;s\nme </text><text t="3s" d="1.5s">b</text><text start="" t="4">c</text><text dur="1">d</text><text start="nan" dur="1e2s">e</text><text start="-3">f</text><TEXT start="9">g</TEXT></t>'
+    assert cues_of(spark, timed, "srv1") == [(1.0, 3.0, "it's me"), (3.0, 4.5, "b"), (4.0, 4.0, "c"), (0.0, 0.0, "e"), (0.0, 0.0, "f")]
+    ttml = '<tt xmlns="u" xmlns:p="http://www.w3.org/ns/ttml#parameter"><p begin="inf" end="2s">a &amp;amp; b</p><p p:begin="3" dur="00:00:01.500">c<br/>d</p><p begin="5" end="">e</p><P begin="6">f</P></tt>'
+    assert cues_of(spark, ttml, "ttml") == [(0.0, 2.0, "a &amp; b"), (3.0, 4.5, "cd"), (5.0, 5.0, "e")]
+
+
+def test_json3_breaks_and_ass_times(spark):
+    events = '{"events":[{"tStartMs":1000,"dDurationMs":0,"dDuration":500,"segs":[{"utf8":"one\\ntwo"},{"utf8":"\\n"},{"utf8":" three"}]},{"tStartMs":"2500","segs":[{"utf8":"x"}]},{"segs":[{"utf8":"lost"}]}]}'
+    assert cues_of(spark, events, "json3") == [(1.0, 1.5, "one two three"), (2.5, 2.5, "x")]
+    ass = "Dialogue: 0,0:00:01.50,0:00:02.00,D,,0,0,0,,{\\an8}a, b\\Nc\nDialogue: 0,bad,0:00:02.00,D,,0,0,0,,lost\nDialogue: 0,0:00:01.50,0:00:2.00,D,,0,0,0,,lost"
+    assert cues_of(spark, ass, "ass") == [(1.5, 2.0, "a, b c")]
+
+
+def test_files_are_scanned_once(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.vtt").write_text("WEBVTT\n\n00:00:01.000 --> 00:00:02.000\na &amp; b\n")
+    cues = captions.parse_captions(captions.read_caption_files(spark, str(tmp_path)))
+    plan = cues._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Union" not in plan
+    assert [r.text for r in cues.collect()] == ["a & b"]

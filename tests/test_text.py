@@ -61,3 +61,9 @@ def test_small_ones(spark):
     assert [x is not None for x in apply(spark, ["2025-01-02T03:04:05Z", "2025-01-02T03:04:05.123+01:00", "2025-01-02", "yesterday", "", None], text.parse_created_at)] == [True, True, True, False, False, False]
     assert apply(spark, ["\u2003 a b \t"], text.prepare_text) == ["a b"]
     assert apply(spark, ["x"], lambda c: text.to_jsonable(F.struct(c.alias("a"), F.lit(None).cast("string").alias("b")))) == ['{"a":"x","b":null}']
+
+
+def test_times_are_trimmed_and_strict(spark):
+    df = spark.createDataFrame([(" 00:00:01.500 ",), ("-5",), ("1e3",), (".5",), ("5.",), ("nan",), ("7s",), ("7 s",), (" 2.25s\t",), ("00:00:01,5",), (None,)], "t string")
+    got = df.select(text.timecode_to_seconds(F.col("t")).alias("a"), text.any_time_to_seconds(F.col("t")).alias("b")).collect()
+    assert [r.a for r in got] == [1.5, *[0.0] * 10] and [r.b for r in got] == [1.5, 0.0, 0.0, 0.0, 0.0, 0.0, 7.0, 0.0, 2.25, 0.0, 0.0]
