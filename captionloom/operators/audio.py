@@ -5,28 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionloom.operators.stored import joined_in_parts, ranged, stored
 
-def noise_floor(loudness: DataFrame, offset: float, low: float, high: float, approximate: bool = False) -> DataFrame:
+
+#: Buckets that a job's values are counted into in a pass of noise_floor(), and how many frames may be left to be sorted.
+FLOOR_BUCKETS, FLOOR_ROWS = 1024, 100_000
+#: Loudness below or above which a value counts as infinite.
+ENDLESS = 1e300
+
+
+def noise_floor(loudness: DataFrame, offset: float, low: float, high: float, buckets: int = FLOOR_BUCKETS, rows: int = FLOOR_ROWS) -> DataFrame:
     """(job_id, p10, noise_db) of frames (job_id, rms_db): the 10th percentile less offset, within [low, high].
 
-    Jobs without a value have nulls. approximate=True sketches the percentile where a job's frames don't fit one task.
+    The percentile is the value of rank ceil(n / 10), exactly, and no task holds a job's values: the frames of a job that has
+    more than `rows` are counted into `buckets` parts of their range, combined before the shuffle; the part that holds the
+    wanted rank is counted again in the same way, until few enough frames are left or all of them are equal. A pass is a
+    scan; jobs of usual length need none. Null and NaN are no values; jobs without a value have nulls.
     """
-    p10 = F.percentile_approx("rms_db", 0.1, 10_000) if approximate else F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY rms_db)")
+    within = F.greatest(F.lit(-ENDLESS), F.least(F.lit(ENDLESS), F.col("rms_db").cast("double")))
+    known = loudness.where("rms_db IS NOT NULL AND NOT isnan(rms_db)").select("job_id", within.alias("v"))
+    state = stored(known.groupBy("job_id").agg(F.expr("(count(*) + 9) div 10").alias("rank"), F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")))
+    inside = lambda jobs: joined_in_parts(known, jobs, ["job_id"]).where("v >= a AND v <= b")
+    wide = (F.col("n") > rows) & (F.col("a") < F.col("b"))
+    while not state.where(wide).isEmpty():
+        part = F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.col("a")) / (F.col("b") - F.col("a")) * buckets))
+        counts = inside(state.where(wide).drop("n")).groupBy("job_id", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        upto = F.sum("n").over(Window.partitionBy("job_id").orderBy("part"))  # a row a part of the job
+        hit = counts.withColumn("upto", upto).where("upto >= rank AND upto - n < rank")
+        state = stored(state.where(~wide).unionByName(hit.select("job_id", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n", "a", "b")))
+    few = inside(state.where("a < b").drop("n")).groupBy("job_id", "rank", "v").agg(F.count("*").alias("n"))
+    ranked = few.withColumn("upto", F.sum("n").over(Window.partitionBy("job_id").orderBy("v"))).where("upto >= rank")
+    p10 = ranked.groupBy("job_id").agg(F.min("v").alias("p10")).unionByName(state.where("a = b").select("job_id", F.col("a").alias("p10")))
+    p10 = p10.withColumn("p10", F.when(F.col("p10") <= -ENDLESS, float("-inf")).when(F.col("p10") >= ENDLESS, float("inf")).otherwise(F.col("p10")))
     floor = F.least(F.lit(high), F.greatest(F.lit(low), F.col("p10") - offset))
-    return loudness.groupBy("job_id").agg(p10.cast("double").alias("p10")).withColumn("noise_db", F.when(F.col("p10").isNotNull(), floor))
+    return loudness.select("job_id").distinct().join(p10, "job_id", "left").withColumn("noise_db", F.when(F.col("p10").isNotNull(), floor))
 
 
 def detect_silences(frames: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, start, end, dur, mid) from frames (keys, frame_no, t, rms_db, noise_db, min_d).
 
-    A silence is a maximal run at or below noise_db that a louder frame ends; it runs to that frame's time and must last
-    min_d. A run that the data end in is not reported. One sort per key serves all windows.
+    A silence is a maximal run at or below noise_db that a louder frame ends, or one without loudness; it runs to that
+    frame's time and must last min_d. A run that the data end in is not reported. Frames are dealt in ranges of (keys,
+    frame_no), so that one recording of any length is worked on by all cores; what crosses a range's border is settled by
+    one row a range and key.
     """
     keys = keys or ["job_id"]
-    order = Window.partitionBy(*keys).orderBy("frame_no")
-    quiet = F.col("rms_db") <= F.col("noise_db")
-    marked = frames.withColumn("quiet", quiet).withColumn("turn", (F.col("quiet") != F.coalesce(F.lag("quiet").over(order), ~F.col("quiet"))).cast("int"))
-    turns = marked.where("turn = 1").withColumn("end", F.lead("t").over(order))
+    quiet = F.coalesce(F.col("rms_db") <= F.col("noise_db"), F.lit(False))
+    dealt = ranged(frames.select(*keys, "frame_no", "t", quiet.alias("quiet"), "min_d"), *keys, "frame_no")
+    inside = Window.partitionBy("range", *keys).orderBy("frame_no")
+    marked = dealt.withColumn("before", F.lag("quiet").over(inside))
+    turned = F.col("before").isNotNull() & (F.col("quiet") != F.col("before"))
+    at = F.col("frame_no")
+    ends = marked.groupBy("range", *keys).agg(F.min_by("quiet", at).alias("first"), F.min_by("t", at).alias("first_t"), F.max_by("quiet", at).alias("last"), F.min_by(F.when(turned, F.col("t")), F.when(turned, at)).alias("turn_t"))
+    across = Window.partitionBy(*keys).orderBy("range")  # a row a range of the key
+    ends = ends.withColumn("opens", F.coalesce(F.lag("last").over(across) != F.col("first"), F.lit(True)))
+    own = F.when(F.col("opens"), F.col("first_t")).otherwise(F.col("turn_t"))
+    ends = ends.withColumn("own", own).select("range", *keys, "opens", F.first("own", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("next_t"))
+    turns = marked.where(turned | F.col("before").isNull()).withColumn("end", F.lead("t").over(inside)).join(ends, ["range", *keys])
+    turns = turns.where(F.col("before").isNotNull() | F.col("opens")).withColumn("end", F.coalesce("end", "next_t"))
     runs = turns.where(F.col("quiet") & F.col("end").isNotNull() & (F.col("end") - F.col("t") >= F.col("min_d")))
     dur = F.col("end") - F.col("start")
     return runs.select(*keys, F.col("t").alias("start"), "end").select(*keys, "start", "end", dur.alias("dur"), (F.col("start") + dur / 2).alias("mid"))

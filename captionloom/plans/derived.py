@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.ids import dashed, url_uuid
+from captionloom.operators import stored
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under the session's shared one; a local one only where none is set and everything runs in one process."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(at or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/queries/{uuid.uuid4().hex}"
+    return stored.folder(spark, "queries")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -121,6 +121,35 @@ def test_noise_floor(spark, n):
     assert got.p10 == p10 and got.noise_db == min(-20.0, max(-50.0, p10 - 5.0))
 
 
+@pytest.mark.parametrize("kind", ["spread", "near", "equal", "few"])
+def test_noise_floor_in_passes(spark, kind):
+    """One job with nearly all frames, counted in passes of few buckets, on values of all kinds."""
+    r = np.random.default_rng(3)
+    values = {"spread": r.normal(-30, 9, 5000), "near": 1e-9 * r.normal(size=5000) + np.where(r.random(5000) < 0.5, -40, 5), "equal": np.full(5000, -7.0), "few": r.choice([-np.inf, -50.0, -20.0, np.inf], 5000, p=[0.09, 0.3, 0.6, 0.01])}[kind]
+    rows = [("a", float(v)) for v in values] + [("a", None), ("a", float("nan")), ("b", -3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "job_id string, rms_db double").repartition(4)
+    got = {x.job_id: (x.p10, x.noise_db) for x in audio.noise_floor(df, 5.0, -50.0, -20.0, buckets=8, rows=20).collect()}
+    p10 = float(np.sort(values)[int(0.1 * 4999)])
+    assert got == {"a": (p10, min(-20.0, max(-50.0, p10 - 5.0))), "b": (-3.0, -20.0), "c": (None, None)}
+
+
+def test_silences_of_one_long_recording(spark):
+    """A million frames of one job lie in even ranges; silences that cross many borders, or fill whole ranges, are found."""
+    from captionloom.operators.stored import ranged
+
+    n = 1_000_000
+    quiet = lambda k: (k % 1000 < 300) | ((k > 120_000) & (k < 700_000)) | (k > n - 50)
+    k = F.col("id")
+    df = spark.range(n).select(F.lit("a").alias("job_id"), k.alias("frame_no"), k.cast("double").alias("t"), F.when(quiet(k), 0.0).otherwise(F.when(k == 900_100, None).otherwise(9.0)).alias("rms_db"), F.lit(1.0).alias("noise_db"), F.lit(250.0).alias("min_d"))
+    sizes = [r["count"] for r in ranged(df, "job_id", "frame_no").groupBy("range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.4 * n
+    got = sorted((r.start, r.end) for r in audio.detect_silences(df).collect())
+    q = quiet(np.arange(n))
+    edge = np.flatnonzero(np.diff(q.astype(int), prepend=0))
+    want = [(float(a), float(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= 250]
+    assert got == want and (120_000.0, 700_300.0) in want
+
+
 def test_nearest_like_brute_force(spark):
     r = random.Random(2)
     pts = [("a", float(r.randint(0, 60))) for _ in range(12)] + [("b", 5.0)]
