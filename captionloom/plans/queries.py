@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions import ids, text
-from captionloom.operators import audio, chunks, jobs, points, tracks, transcripts, validate, vectors
+from captionloom.operators import audio, chunks, jobs, long_jobs, points, tracks, transcripts, validate, vectors
 from captionloom.plans import derived
 from captionloom.plans.derived import table
 
@@ -68,6 +68,13 @@ def pack_plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.pack_chunks(cues, overlap=False, normalized=True)
 
 
+@query(PACK_SQL)
+def pack_segmented_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing by folds that start at several places of a job and are joined: the same chunks."""
+    cues = derived.sentences(spark, sf_dir).withColumn("text", F.btrim("text", F.lit(" \t"))).where("text <> ''")
+    return long_jobs.pack_long_jobs(cues, overlap=False, normalized=True, segment=20)
+
+
 @query("""
 SELECT doc_id, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS clock,
        CASE WHEN ms // 3600000 < 100 THEN round(ms / 1000.0, 3) ELSE 0.0 END AS seconds, CAST(doc_id % 7 AS DOUBLE) + 0.5 AS loose
