@@ -40,11 +40,53 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Encoder] | None = None, dim: int = 64, batch: int = 256) -> DataFrame:
+def letter_counts() -> Encoder:
+    """An encoder that SQL can say: how often a text has each letter from a to z."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        return np.array([[t.count(chr(c)) for c in range(97, 123)] for t in texts], float).reshape(-1, 26)
+
+    return encode
+
+
+#: Characters of a batch, counted as its rows times its longest text: what a model pads them to.
+PADDED_CHARS = 65_536
+
+
+def length_batches(sizes: np.ndarray, most: int, chars: int) -> Iterator[np.ndarray]:
+    """Row numbers in batches of rows of like length, the longest first: `most` rows and `chars` padded characters at most,
+    or one row that is longer than that."""
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, min(most, int(chars // max(1, sizes[order[at]]))))
+        yield order[at : at + n]
+        at += n
+
+
+def encoded(encode: Encoder, texts: list[str], dim: int) -> list[tuple[np.ndarray | None, str | None]]:
+    """(vector, error) of each text. A batch that fails is halved until the texts that fail stand alone; one whose vectors
+    have another size fails as a whole, since that is no text's fault."""
+    try:
+        x = np.asarray(encode(texts), float)
+        if x.shape == (len(texts), dim):
+            return [(v, None) for v in unit_rows(x).astype(np.float32)]
+        if x.ndim == 2 and len(x) == len(texts):
+            return [(None, f"ValueError: vectors of {x.shape[1]} numbers, not {dim}")] * len(texts)
+        raise ValueError(f"vectors of shape {x.shape}, not {(len(texts), dim)}")
+    except Exception as e:  # noqa: BLE001  the encoder is the caller's; its failure belongs to the text
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return encoded(encode, texts[:half], dim) + encoded(encode, texts[half:], dim)
+
+
+def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Encoder] | None = None, dim: int = 64, batch: int = 256, chars: int = PADDED_CHARS) -> DataFrame:
     """df with `vector` (unit length, array<float>) and `embed_error`; row order inside partitions stays.
 
-    The encoder is made once per task and called on batches. A batch that fails, or whose vectors have another size, has
-    null vectors and the reason; the others go on. Null texts count as empty.
+    The encoder is made once per task and called on batches of texts of like length, of `batch` rows and about `chars`
+    characters with padding at most. A text that the encoder fails on has a null vector and the reason; the others of its
+    batch go on. Null texts count as empty.
     """
     make = make_encoder or hashed_words(dim)
     plain = [f"c{k}" for k in range(len(df.columns))]  # so that no name of a column matters inside
@@ -54,16 +96,12 @@ def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Enco
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make()
         for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch].copy()
-                try:
-                    x = np.asarray(encode(part["prepared"].tolist()), float)
-                    if x.shape != (len(part), dim):
-                        raise ValueError(f"vectors of shape {x.shape}, not {(len(part), dim)}")
-                    part["vector"], part["embed_error"] = list(unit_rows(x).astype(np.float32)), None
-                except Exception as e:  # noqa: BLE001  the encoder is the caller's; its failure belongs to the batch
-                    part["vector"], part["embed_error"] = None, f"{type(e).__name__}: {e}"
-                yield part.drop(columns="prepared")
+            texts = pdf["prepared"].tolist()
+            found: list = [(None, None)] * len(texts)
+            for rows in length_batches(np.array([len(t) for t in texts], np.int64), batch, chars):
+                for k, told in zip(rows, encoded(encode, [texts[k] for k in rows], dim), strict=True):
+                    found[k] = told
+            yield pdf.drop(columns="prepared").assign(vector=pd.Series([v for v, _ in found], index=pdf.index, dtype=object), embed_error=pd.Series([e for _, e in found], index=pdf.index, dtype=object))
 
     held = df.toDF(*plain)
     text = F.col(plain[df.columns.index(text_col)])
@@ -91,9 +129,9 @@ def payload_filter(user_id: str | None = None, source: str | None = None, lang:
     if title_word is not None:
         out = out & F.array_contains(F.split(F.lower(f"{payload}.title"), r"(?U)\W+"), title_word.lower())
     if created_from is not None:
-        out = out & (F.col(f"{payload}.created_at") >= F.lit(created_from))
+        out = out & (F.col(f"{payload}.created_at") >= (created_from if isinstance(created_from, Column) else F.lit(created_from)))
     if created_to is not None:
-        out = out & (F.col(f"{payload}.created_at") <= F.lit(created_to))
+        out = out & (F.col(f"{payload}.created_at") <= (created_to if isinstance(created_to, Column) else F.lit(created_to)))
     return out
 
 

@@ -236,6 +236,26 @@ def filtered_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+@query("""
+WITH p AS (SELECT *, CASE WHEN vec_id % 3 = 0 THEN 'Big, RED house' WHEN vec_id % 3 = 1 THEN 'redder things' ELSE 'a red-hot one' END AS title, TIMESTAMP '2025-01-01' + INTERVAL 1 HOUR * CAST(vec_id % 500 AS INTEGER) AS at FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM p, embeddings q WHERE q.vec_id % 20 = 0 AND p.vec_id % 3 <> 1 AND p.vec_id % 2 = 0 AND p.vec_id % 5 <> 0 AND p.vec_id % 7 <> 0 AND p.vec_id % 11 <> 0 AND p.vec_id % 13 <> 0 AND p.vec_id % 500 BETWEEN 24 AND 240)
+SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10
+""")
+def points_by_every_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search under all payload predicates at once: six keywords, a word of the title, a range of times with both ends."""
+    n = F.col("vec_id")
+    of = lambda k, name: F.when(n % k == 0, F.lit("other")).otherwise(F.lit(name)).alias(name)
+    title = F.when(n % 3 == 0, "Big, RED house").when(n % 3 == 1, "redder things").otherwise("a red-hot one")
+    at = F.timestamp_seconds(F.lit(1735689600) + n % 500 * 3600)
+    source = F.when(n % 2 == 0, "source").otherwise("other").alias("source")
+    payload = F.struct(F.lit("user").alias("user_id"), source, of(5, "lang"), of(7, "model"), of(11, "source_url"), of(13, "source_id"), title.alias("title"), at.alias("created_at"))
+    pts = table(spark, sf_dir, "embeddings").select(n.alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"))
+    first, last = F.timestamp_seconds(F.lit(1735689600 + 24 * 3600)), F.timestamp_seconds(F.lit(1735689600 + 240 * 3600))
+    where = vectors.payload_filter("user", "source", "lang", "model", "source_url", "source_id", "Red", first, last)
+    hits = vectors.search_topk(pts, _asked(spark, sf_dir), where=where)
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT h.query_id, h.rank, CAST(h.id AS VARCHAR) AS id, CAST(e.label AS VARCHAR) AS source FROM (" + TOPK_SQL.format(where="", low=-2) + ") h JOIN embeddings e ON e.vec_id = h.id")
 def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
@@ -293,12 +313,22 @@ def upserted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.merged(existing, batch, "order")
 
 
-@query("SELECT doc_id, 64 AS dim, true AS unit, CAST(NULL AS VARCHAR) AS embed_error FROM documents")
+#: A text's letter counts over their norm, as the 32-bit floats that vectors hold, in millionths.
+LETTERS_SQL = """
+SELECT *, list_transform(c, lambda x: CAST(floor(CAST(CAST(CASE WHEN norm > 0 THEN x / norm ELSE 0 END AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT)) AS v FROM (
+  SELECT *, sqrt(CAST(list_sum(list_transform(c, lambda x: x * x)) AS DOUBLE)) AS norm FROM (SELECT *, list_transform(range(97, 123), lambda k: CAST(length(text) - length(replace(text, chr(CAST(k AS INTEGER)), '')) AS BIGINT)) AS c FROM ({rows})))
+"""
+
+
+def millionths(vector: str = "vector") -> Column:
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * 1_000_000))
+
+
+@query(f"SELECT doc_id, CAST(len(v) AS INTEGER) AS dim, md5(array_to_string(v, ',')) AS digest, CAST(NULL AS VARCHAR) AS embed_error FROM ({LETTERS_SQL.format(rows='SELECT doc_id, coalesce(text, chr(32)) AS text FROM documents')})")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document has a vector of the wanted size and of length 1, or 0 where nothing is in it."""
-    out = vectors.embed(derived.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), dim=64)
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return out.select("doc_id", F.size("vector").alias("dim"), ((norm == 0) | (F.abs(norm - 1) < 1e-5)).alias("unit"), "embed_error")
+    """Every document's unit vector by an encoder that counts letters, so that the oracle can say each number."""
+    out = vectors.embed(derived.spread(table(spark, sf_dir, "documents").select("doc_id", "text")), make_encoder=vectors.letter_counts, dim=26)
+    return out.select("doc_id", F.size("vector").alias("dim"), F.md5(F.array_join(millionths(), ",")).alias("digest"), F.col("embed_error").cast("string").alias("embed_error"))
 
 
 FRAMES_SQL = "SELECT CAST(user_id AS VARCHAR) AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, value AS rms FROM events"

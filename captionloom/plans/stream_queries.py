@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.text import to_jsonable
-from captionloom.operators import jobs, points, validate
+from captionloom.operators import jobs, points, validate, vectors
 from captionloom.plans import derived
 from captionloom.plans.derived import folder
-from captionloom.plans.queries import EVENTS_SQL, ORACLES, REASON_SQL, query
+from captionloom.plans.queries import EVENTS_SQL, LETTERS_SQL, ORACLES, REASON_SQL, millionths, query
 from captionloom.streaming import job_streams, streams
 
 
@@ -82,13 +82,14 @@ def stream_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.read_points(spark, f"{at}/points").select(F.col("id").cast("long").alias("id"), F.col("payload.version").alias("version"))
 
 
-@query(f"SELECT lang, count(*) AS n, 64 AS dim FROM ({REASON_SQL}) WHERE reason IS NULL GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n, 26 AS dim, CAST(sum(list_sum(v)) AS BIGINT) AS total FROM ({LETTERS_SQL.format(rows=f'SELECT lang, text FROM ({REASON_SQL}) WHERE reason IS NULL')}) GROUP BY lang")
 def stream_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accepted messages through the embedding stream: items per language."""
+    """Accepted messages through the embedding stream: items per language, and the sum of all their numbers."""
     at = folder(spark)
     good = validate.accepted(validate.validate_messages(derived.faulty_messages(spark, sf_dir)))
-    streams.stream_embed(stream_of(spark, good, f"{at}/in"), f"{at}/items", f"{at}/dlq", f"{at}/log", "hashed").awaitTermination()
-    return spark.read.parquet(f"{at}/items").groupBy("payload.lang").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim"))
+    streams.stream_embed(stream_of(spark, good, f"{at}/in"), f"{at}/items", f"{at}/dlq", f"{at}/log", "letters", vectors.letter_counts, 26).awaitTermination()
+    total = F.aggregate(millionths(), F.lit(0).cast("long"), lambda a, x: a + x)
+    return spark.read.parquet(f"{at}/items").groupBy("payload.lang").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("dim"), F.sum(total).alias("total"))
 
 
 def _arriving(spark: SparkSession, events: DataFrame, at: str, when, thirds: int = 3) -> DataFrame:

@@ -30,7 +30,7 @@ def stream_validate(spark: SparkSession, source: str, out: str, dlq: str, checkp
 
 
 def stream_embed(messages: DataFrame, out: str, dlq: str, checkpoint: str, model: str, make_encoder=None, dim: int = 64, batch: int = 256, trigger: dict | None = None) -> StreamingQuery:
-    """Accepted messages to embedded items (Parquet) in bounded batches; messages whose batch failed go to dlq."""
+    """Accepted messages to embedded items (Parquet) in bounded batches; messages whose text failed go to dlq."""
     encoded = vectors.embed(messages, "text", make_encoder, dim, batch)
 
     def each(part: DataFrame, number: int) -> None:

@@ -211,12 +211,41 @@ def test_embed(spark):
 
     rows = vectors.embed(df, make_encoder=make, dim=8, batch=4).collect()
     assert [r.id for r in rows] == list(range(11))
-    assert [r.vector is None for r in rows] == [4 <= r.id < 8 for r in rows] and rows[5].embed_error == "ValueError: bad text"
+    assert [r.vector is None for r in rows] == [r.id == 5 for r in rows] and rows[5].embed_error == "ValueError: bad text"
     assert all(abs(np.linalg.norm(r.vector) - 1) < 1e-6 for r in rows if r.vector and r.id != 10)
     again = vectors.embed(df, make_encoder=make, dim=8, batch=4).collect()
     assert rows == again
 
 
+def test_embedding_batches_by_length(spark):
+    """A bad text in a thousand is one reject; batches of like length pad less, none passes its budget, order stays."""
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 2000, 1000)
+    df = spark.createDataFrame([(k, ("bad " if k == 637 else "") + "w" * int(n)) for k, n in enumerate(sizes)], "id int, text string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def encode(texts):
+            calls.add(1)
+            assert len(texts) <= 64 and (len(texts) == 1 or len(texts) * max(map(len, texts)) <= 20_000)
+            if any(t.startswith("bad") for t in texts):
+                raise ValueError("bad text")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    rows = vectors.embed(df, make_encoder=make, dim=2, batch=64, chars=20_000).collect()
+    assert [x.id for x in rows] == list(range(1000)) and [x.id for x in rows if x.vector is None] == [637] and rows[637].embed_error == "ValueError: bad text"
+    assert all(abs(x.vector[0] / x.vector[1] - sizes[x.id]) < 1 for x in rows if x.vector)
+    batches = list(vectors.length_batches(sizes, 64, 20_000))
+    assert sorted(np.concatenate(batches).tolist()) == list(range(1000)) and calls.value <= len(batches) + 2 * 7
+    padded = sum(len(b) * sizes[b].max() for b in batches)
+    plain = sum(64 * sizes[k : k + 64].max() for k in range(0, 1000, 64))
+    assert padded < 1.03 * sizes.sum() < 0.6 * plain
+    wrong = vectors.embed(df.limit(5), make_encoder=make, dim=3).collect()
+    assert {x.embed_error for x in wrong} == {"ValueError: vectors of 2 numbers, not 3"}
+
+
 def test_search(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 5)).round(1)
