@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions import ids, text
-from captionloom.operators import audio, chunks, jobs, long_jobs, points, tracks, transcripts, validate, vectors
+from captionloom.operators import audio, chunks, jobs, long_jobs, points, summaries, tracks, transcripts, validate, vectors
 from captionloom.plans import derived
 from captionloom.plans.derived import table
 
@@ -476,6 +476,28 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_summary(documents).select("method", "lang", "jobs", "success_share", F.round("total_seconds", 6).alias("total_seconds"), "chunks")
 
 
+@query("""
+SELECT CAST(doc_id % 7 AS INTEGER) // 2 AS week, count(*) AS jobs, avg(CASE WHEN doc_id % 9 = 0 THEN 0.0 ELSE 1.0 END) AS success_share, round(avg(n_chars / 100.0), 6) AS total_seconds, CAST(sum(n_chars // 500 + 1) AS BIGINT) AS chunks,
+  true AS near FROM documents GROUP BY 1
+""")
+def merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries stored per day, one day of them twice, and merged by pairs of days: counts as in SQL, and quantiles and
+    distinct jobs near the exact ones."""
+    at = derived.folder(spark)
+    d = table(spark, sf_dir, "documents").withColumn("day", (F.col("doc_id") % 7).cast("int"))
+    fields = F.struct(F.lit("captions").alias("method"), F.col("lang").alias("lang"), F.expr("n_chars div 500 + 1").cast("int").alias("chunks"))
+    stage = F.struct(F.struct(F.struct(F.col("lang").alias("lang")).alias("selected")).alias("captions"))
+    documents = d.select(F.col("doc_id").cast("string").alias("job_id"), "day", fields.alias("text_processing"), stage.alias("stages"), (F.col("doc_id") % 9 != 0).alias("success"), (F.col("n_chars") / 100.0).alias("total_seconds"))
+    summaries.store_days(documents, F.col("day"), at)
+    summaries.store_days(documents.where("day = 3"), F.col("day"), at)
+    week = F.expr("day div 2").cast("int").alias("week")
+    merged = summaries.merged_summary(summaries.read_days(spark, at).withColumn("week", week), "week")
+    lower, upper = (F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY total_seconds)") for q in (0.86, 0.94))
+    exact = documents.groupBy(week).agg(lower.alias("low"), upper.alias("high"), F.count_distinct("job_id").alias("n"))
+    near = (F.col("total_p90") >= F.col("low")) & (F.col("total_p90") <= F.col("high")) & (F.abs(F.col("distinct_jobs") / F.col("n") - 1) < 0.08)
+    return merged.join(exact, "week").select("week", "jobs", "success_share", F.round("total_seconds", 6).alias("total_seconds"), "chunks", near.alias("near"))
+
+
 @query("""
 SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role
 """)
@@ -564,6 +586,18 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.agg(F.count("*").alias("cues"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
+@query(ORACLES["caption_files"])
+def caption_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged transcripts packed into archives, many jobs in each, and read from there."""
+    from captionloom.sources.captions import parse_captions
+    from captionloom.sources.subtitle_sink import read_caption_archives, save_subtitles
+
+    at = derived.folder(spark)
+    save_subtitles(transcripts.render_vtt(_merged(spark, sf_dir).withColumn("text", _escaped(F.regexp_replace("text", BREAKS, " ")))), at, "archive")
+    told = parse_captions(read_caption_archives(spark, at)).groupBy("job_id")
+    return told.agg(F.count("*").alias("cues"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
+
+
 @query(f"""
 WITH r AS (SELECT CASE WHEN n % 17 = 4 THEN 'invalid_json' ELSE coalesce(reason, 'accepted') END AS reason FROM ({REASON_SQL}))
 SELECT reason, count(*) AS n FROM r GROUP BY 1 UNION ALL SELECT 'written', count(*) FILTER (reason <> 'invalid_json') FROM r
