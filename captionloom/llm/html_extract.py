@@ -7,6 +7,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ MATHS = frozenset("math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mro
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_NEXT = frozenset("p li dt dd tr td th".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)|<[!?][^>]*(?:>|$)|([^<]+|<)", re.S)
+#: A tag whose attribute lacks its closing quote, up to where it seems to end.
+BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|$)")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 PATH_DIM, WORD_DIM, EXTRA_DIM = 384, 32, 6
@@ -43,19 +46,29 @@ def _end_tag(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\b[^>]*>", re.I)
 
 
-Block = tuple[tuple[str, ...], str, float]
+#: Slots of the names on a block's path, its text, and its share of linked characters.
+Block = tuple[tuple[int, ...], str, float]
+
+
+def _slots(names: tuple[str, ...], above: tuple[int, ...] = ()) -> tuple[int, ...]:
+    """The slots of an element's path: those above it and its own; the same object where it adds none, so that a page
+    nested to any depth has few of them."""
+    more = {zlib.crc32(n.encode()) % PATH_DIM for n in names}.difference(above)
+    return tuple(sorted(more.union(above))) if more else above
 
 
 def blocks_of(page: str) -> list[Block]:
-    """(path, text, share of linked characters) of every leaf block in page order.
+    """(path, text, share of linked characters) of every leaf block in page order, in time linear in the page.
 
-    The path holds the names, classes, ids and roles of the open block elements. A block ends at every block element's
+    The path holds hashed names, classes, ids and roles of the open block elements. A block ends at every block element's
     start and end tag; <br> and other inline tags end none. Text is decoded, white space runs become one space. Comments,
     scripts, styles and form controls are no text; a control or drawing without an end tag ends with the element it is
-    in, and a head with the first element that belongs to a body.
+    in, and a head with the first element that belongs to a body. A tag with an open quote ends at the next '>'.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    open_tags: Counter[str] = Counter()
+    open_inner: Counter[str] = Counter()
     text: list[str] = []
     linked = anchor = 0
 
@@ -64,16 +77,25 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                path = tuple(n for _, names in stack for n in names)
-                out.append((path, joined, min(1.0, linked / len(joined))))
+                out.append((stack[-1][1] if stack else (), joined, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
+    def pop_to(tags: list, counts: Counter, tag: str, name) -> None:
+        """Close the innermost open `tag` and all in it."""
+        while tags:
+            gone = name(tags.pop())
+            counts[gone] -= 1
+            if gone == tag:
+                return
+
     skip, inner, at = None, [], 0  # the element whose content is left out, what is open in it, where to read on
     while at < len(page):
         m = TOKEN.match(page, at)
+        if m[5] == "<":
+            m = BROKEN.match(page, at) or m
         at = m.end()
-        plain = m[5]
+        plain = m[5] if m.re is TOKEN else None
         if plain is not None:
             if skip == "head" and not inner and not plain.isspace():
                 skip = None
@@ -92,15 +114,17 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         if skip is not None:
-            if closing and tag in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            if closing and open_inner[tag]:
+                pop_to(inner, open_inner, tag, lambda x: x)
             elif closing and tag == skip:
                 skip = None
-            elif closing and any(name == tag for name, _ in stack) or not closing and skip == "head" and tag not in HEAD:
+            elif closing and open_tags[tag] or not closing and skip == "head" and tag not in HEAD:
                 skip = None
                 inner.clear()
+                open_inner.clear()
             elif not closing and tag not in VOID and tag not in INLINE and tag != "option" and not alone:
                 inner.append(tag)
+                open_inner[tag] += 1
             if skip is not None or closing and tag in SKIPPED:
                 continue
         if tag in INLINE or tag in MATHS:
@@ -111,19 +135,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if place is not None:
-                del stack[place:]
+            if open_tags[tag]:
+                pop_to(stack, open_tags, tag, lambda x: x[0])
             anchor = 0
         elif tag in SKIPPED:
             skip = None if alone else tag
             inner.clear()
+            open_inner.clear()
         elif tag not in VOID:
             if stack and (tag in CLOSED_BY_NEXT and stack[-1][0] == tag or stack[-1][0] == "p"):
-                stack.pop()
-            stack.append((tag, (tag, *_names(m[3]))))
-            if alone:
-                stack.pop()
+                open_tags[stack.pop()[0]] -= 1
+            if not alone:
+                stack.append((tag, _slots((tag, *_names(m[3])), stack[-1][1] if stack else ())))
+                open_tags[tag] += 1
     flush()
     return out
 
@@ -135,7 +159,7 @@ def features(blocks: list[Block], place: np.ndarray) -> np.ndarray:
     if not blocks:
         return x
     for i, (path, _, _) in enumerate(blocks):
-        x[i, _hashed(path)] = 1
+        x[i, list(path)] = 1
     w = Words([t.encode("utf-8", "replace") for _, t, _ in blocks], lower=True)
     slot = (w.hashes() % np.uint64(WORD_DIM)).astype(np.int64)
     counts = np.bincount(w.doc * WORD_DIM + slot, minlength=len(blocks) * WORD_DIM).reshape(-1, WORD_DIM)
@@ -149,11 +173,6 @@ def places(n: int) -> np.ndarray:
     return np.arange(n) / max(1, n - 1)
 
 
-@functools.lru_cache(maxsize=65536)
-def _hashed(path: tuple[str, ...]) -> list[int]:
-    return sorted({zlib.crc32(n.encode()) % PATH_DIM for n in path})
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 

@@ -1,6 +1,7 @@
 """Page operators and the importance sampler: held-out accuracy, brute force, hard rows."""
 
 import random
+import time
 import re
 
 import numpy as np
@@ -60,6 +61,20 @@ def test_long_pages_in_parts(monkeypatch):
     assert html_extract.extract(model, [page, "<p>x</p>"])[:1] == whole
 
 
+@pytest.mark.parametrize("page, n", [("<div><b>x</i>" * 16_000, 16_000), ("<div>" * 16_000 + "y</foo>" * 16_000, 16_000), ("<noscript>" + "<div>" * 16_000 + "</q></zz>" * 16_000, 0)])
+def test_deep_pages_take_linear_time(page, n):
+    """Paths are shared by the blocks below an element; end tags without a start look nowhere."""
+    began = time.perf_counter()
+    blocks = html_extract.blocks_of(page)
+    assert len(blocks) == n and time.perf_counter() - began < 5  # some 0.2 s; a quadratic walk takes minutes
+    assert len({id(path) for path, _, _ in blocks}) <= 2
+
+
+def test_an_open_quote_ends_with_its_tag():
+    assert [t for _, t, _ in html_extract.blocks_of('<p>one</p><p class="x>two</p><p>three</p>')] == ["one", "two", "three"]
+    assert [t for _, t, _ in html_extract.blocks_of("a < b <3 <p title='x")] == ["a < b <3"]
+
+
 def test_extract_held_out():
     model, r, right, total = html_extract.trained(), random.Random(99), 0, 0
     for _ in range(150):
