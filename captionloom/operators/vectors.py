@@ -120,6 +120,11 @@ def build_points(items: DataFrame, named: str | None = None) -> DataFrame:
     return items.where("reason IS NULL").select(F.col("point_id").alias("id"), vector.alias("vector"), "payload")
 
 
+def title_words(title: Column) -> Column:
+    """The distinct words of a title, in lower case."""
+    return F.array_distinct(F.array_remove(F.split(F.lower(title), r"(?U)\W+"), ""))
+
+
 def payload_filter(user_id: str | None = None, source: str | None = None, lang: str | None = None, model: str | None = None, source_url: str | None = None, source_id: str | None = None, title_word: str | None = None, created_from=None, created_to=None, payload: str = "payload") -> Column:
     """Predicate on payload fields: equality of keywords, a word of the title, a range of created_at (ends included)."""
     out = F.lit(True)
@@ -127,7 +132,7 @@ def payload_filter(user_id: str | None = None, source: str | None = None, lang:
         if value is not None:
             out = out & (F.col(f"{payload}.{name}") == value)
     if title_word is not None:
-        out = out & F.array_contains(F.split(F.lower(f"{payload}.title"), r"(?U)\W+"), title_word.lower())
+        out = out & F.array_contains(title_words(F.col(f"{payload}.title")), title_word.lower())
     if created_from is not None:
         out = out & (F.col(f"{payload}.created_at") >= (created_from if isinstance(created_from, Column) else F.lit(created_from)))
     if created_to is not None:

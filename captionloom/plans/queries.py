@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions import ids, text
-from captionloom.operators import audio, chunks, jobs, long_jobs, points, summaries, tracks, transcripts, validate, vectors
+from captionloom.operators import audio, chunks, jobs, long_jobs, point_index, points, summaries, tracks, transcripts, validate, vectors
 from captionloom.plans import derived
 from captionloom.plans.derived import table
 
@@ -256,6 +256,20 @@ def points_by_every_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
+@query(TOPK_SQL.format(where="AND p.label = 2 AND p.vec_id % 3 = 1", low=-2))
+def indexed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filtered search over a stored point table that reads only the buckets its index names; some come after indexing."""
+    at, n = derived.folder(spark), F.col("vec_id")
+    title = F.concat(F.lit("Part "), n, F.when(n % 3 == 1, ": Zebra").otherwise(": horse"))
+    payload = F.struct(F.col("label").cast("string").alias("source"), title.alias("title"))
+    rows = table(spark, sf_dir, "embeddings").select(n.alias("id"), F.col("embedding").alias("vector"), payload.alias("payload"), F.lit(1).alias("order"))
+    points.upsert_points(rows.where("id % 4 <> 0"), at, bucket_rows=50)
+    point_index.index_points(spark, at)
+    points.upsert_points(rows.where("id % 4 = 0"), at, bucket_rows=50)
+    hits = vectors.search_topk(point_index.read_points_where(spark, at, source="2", title_word="zebra"), _asked(spark, sf_dir))
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT h.query_id, h.rank, CAST(h.id AS VARCHAR) AS id, CAST(e.label AS VARCHAR) AS source FROM (" + TOPK_SQL.format(where="", low=-2) + ") h JOIN embeddings e ON e.vec_id = h.id")
 def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _points(spark, sf_dir)
