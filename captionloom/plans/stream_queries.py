@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionloom.functions.text import to_jsonable
@@ -105,8 +105,9 @@ def _arriving(spark: SparkSession, events: DataFrame, at: str, when, thirds: int
     return spark.readStream.schema(dealt.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
-#: Seconds by which an event arrives behind its time: less than the day that the watermark waits.
-LATENESS = F.pmod(F.xxhash64("event_id"), F.lit(43_200))
+def _arrival() -> Column:
+    """When an event arrives, in seconds: up to twelve hours behind its time, less than the day that the watermark waits."""
+    return F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(43_200))
 
 
 @query(f"SELECT * FROM ({ORACLES['job_states']}) WHERE CAST(job_id AS BIGINT) % 5 <> 0")
@@ -115,7 +116,7 @@ def stream_live_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark)
     events = derived.job_event_table(spark, sf_dir)
     known = events.where("CAST(job_id AS LONG) % 5 <> 0").select("job_id").distinct()
-    s = _arriving(spark, events, f"{at}/in", F.unix_seconds(F.col("ts").cast("timestamp")) + LATENESS)
+    s = _arriving(spark, events, f"{at}/in", _arrival())
     job_streams.job_status_stream(s, f"{at}/out", f"{at}/log", known, "1 day", 400 * 86_400).awaitTermination()
     return job_streams.live_status(spark, f"{at}/out")
 
@@ -128,7 +129,7 @@ def stream_job_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job's feed out of a stream whose events arrive up to twelve hours late: its status, then its events in order."""
     at = folder(spark)
     events = derived.job_event_table(spark, sf_dir)
-    s = _arriving(spark, events, f"{at}/in", F.unix_seconds(F.col("ts").cast("timestamp")) + LATENESS)
+    s = _arriving(spark, events, f"{at}/in", _arrival())
     job_streams.job_events_stream(s, jobs.job_status(events), f"{at}/out", f"{at}/log", "1 day").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("job_id", "type", F.md5("data").alias("digest"), "seq", "pos")
 
