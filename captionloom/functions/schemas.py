@@ -4,20 +4,14 @@ from __future__ import annotations
 
 #: Caption formats that a request may prefer.
 FORMATS = ("vtt", "ttml", "srv3", "srv2", "srv1", "json3", "srt")
-JOB_STATES = ("queued", "running", "done", "error")
 
-REQUEST = "url string, preferred_sub_formats array<string>, languages array<string>"
-TRACKS = "video_id string, lang string, lang_pos int, formats array<string>"
-CAPTION_FILE = "job_id string, path string, ext string, content string"
-CUE = "job_id string, cue_no int, start double, end double, text string"
 CUE_ARRAY = "array<struct<start:double,end:double,text:string>>"
 CHUNK = "job_id string, chunk_no int, text string, time_from double, time_to double"
 #: Times are read as text and cast, since numbers written as text are numbers too.
 MESSAGE_IN = "doc_chunk_id string, text string, user_id string, source string, title string, lang string, created_at string, source_url string, source_id string, video_timestamp struct<time_from:string,time_to:string>"
+#: The fields that a message must have.
 REQUIRED = ("doc_chunk_id", "text", "user_id", "source", "title", "lang", "created_at", "source_url", "source_id")
 EMBEDDED = "id string, vector array<float>, payload struct<doc_chunk_id:string,user_id:string,source:string,title:string,lang:string,model:string,created_at:timestamp,source_url:string,source_id:string,video_timestamp:struct<time_from:double,time_to:double>>"
-JOB_EVENT = "event_id long, ts timestamp, job_id string, type string, data string"
-LOUDNESS = "job_id string, frame_no int, t double, rms_db double"
 SILENCE = "job_id string, start double, end double, dur double, mid double"
 PART = f"job_id string, idx int, cues {CUE_ARRAY}, lang string, error string"
 SELECTED = "struct<lang:string,format:string,chain:string>"
