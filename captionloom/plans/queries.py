@@ -72,7 +72,7 @@ def pack_plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pack_segmented_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing by folds that start at several places of a job and are joined: the same chunks."""
     cues = derived.sentences(spark, sf_dir).withColumn("text", F.btrim("text", F.lit(" \t"))).where("text <> ''")
-    return long_jobs.pack_long_jobs(cues, overlap=False, normalized=True, segment=20)
+    return long_jobs.pack_long_jobs(cues, overlap=False, normalized=True, segment=100)
 
 
 @query("""
