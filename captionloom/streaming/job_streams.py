@@ -179,7 +179,8 @@ def job_events_stream(events: DataFrame, snapshot: DataFrame, out: str, checkpoi
 def throughput_stream(events: DataFrame, out: str, checkpoint: str, seconds: int, failed: Column, late: str = "10 minutes", key: str = "event_id", trigger: dict | None = None) -> StreamingQuery:
     """rate() in append mode: a window (start, processed, failed, per_second) goes to out once, when the watermark closes it.
 
-    An event that comes again within the watermark's delay counts once. Events older than the watermark change nothing;
+    An event that comes again within the watermark's delay counts once. Events older than the watermark (late
+    rows are told by that of the trigger before) change nothing;
     counted() tells how many arrived, how many were taken, and how many were late.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).observe("arrived", F.count(F.lit(1)).alias("n")).withWatermark("ts", late)
