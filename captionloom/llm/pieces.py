@@ -436,4 +436,5 @@ def encode_documents(docs: DataFrame, text_col: str = "text", model: str = MODEL
 
 
 def pieces_report(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """(doc_id, n_tokens, round_trip, token_ids) of every row, repeated rows included. Null and empty texts have no tokens."""
     return encode_documents(docs.select("doc_id", "text"), model=model).select("doc_id", "n_tokens", "round_trip", "token_ids")

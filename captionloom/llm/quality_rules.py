@@ -168,7 +168,8 @@ def judged(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, carr
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that judged() keeps, with all their columns."""
+    """The rows of docs that judged() keeps, with all their columns, repeated rows as often as they come. Null texts and
+    texts without words go; an empty table gives no rows."""
     return judged(docs, text_col, threshold).where("kept").select("row.*")
 
 
