@@ -289,7 +289,10 @@ def _element(spec: str, inside: str) -> str:
 
 
 def training_page(r: random.Random) -> tuple[str, list[int]]:
-    """A page made by rule, and 1 or 0 for each of its blocks: article or not."""
+    """A page made by rule, and 1 or 0 for each of its blocks: article or not.
+
+    Where the article's own element is named, the parts outside it need no name that is known, or none at all.
+    """
     syllables = [a + b for a in "bdfgklmnprstvz" for b in ("a", "e", "i", "o", "u", "an", "er", "io", "en")]
     labels: list[int] = []
 
@@ -304,23 +307,40 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
             body = f"<b>{body}</b>" if r.random() < 0.5 else f"{body}<br>"
         return f"<{tag}>{body}</{tag}>"
 
-    def side(kind: str) -> str:
-        spec = r.choice(SIDE[kind])
+    main = r.choice(MAIN)
+    told = main not in ("div", "section")
+
+    def unnamed(kind: str) -> str:
+        """An element whose name tells nothing."""
+        tag = r.choice(("div", "div", "section", "ul" if kind == "nav" else "div"))
+        return tag if r.random() < 0.5 else f"{tag}{r.choice('.#')}{''.join(r.choice(syllables) for _ in range(3))}"
+
+    def side(kind: str, outside: bool = False) -> str:
+        spec = unnamed(kind) if outside and told and r.random() < 0.3 else r.choice(SIDE[kind])
         shape = r.random()
         if kind == "nav" or shape < 0.2:
             inside = "<ul>" + "".join(f"<li><a href='#'>{_marked(labels, words(r.randint(1, 2)))}</a></li>" for _ in range(r.randint(2, 7))) + "</ul>"
+        elif shape < 0.45 and kind in ("aside", "comments"):
+            tag = r.choice(("ul/li", "ol/li", "div/p"))
+            inside = leaf(r.choice(("h2", "h3", "h4")), 0, 1, 4, "") + _element(tag.split("/")[0], "".join(leaf(tag.split("/")[1], 0, 2, 30) for _ in range(r.randint(1, 5))))
+            if outside and told and r.random() < 0.4:  # a heading and a list in the page's body
+                return inside
         elif shape < 0.55:
             inside = _marked(labels, words(r.randint(3, 40)) + ".")
         else:
             inside = "".join(leaf(r.choice(["p", "div", "h3"]), 0, 2, 60) for _ in range(r.randint(1, 3)))
         return _element(spec, inside)
 
-    before = "".join(side(k) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.5)
+    if r.random() < 0.06:  # a page of text alone
+        text = " ".join(words(r.randint(3, 30)) + "." for _ in range(r.randint(1, 6)))
+        labels.append(1)
+        return r.choice(("{}", "<body>{}</body>", "<html><head><title>x</title></head><body>{}</body></html>", "<p>{}</p>", "<body><div>{}</div></body>")).format(text), labels
+    before = "".join(side(k, True) for k in ("header", "nav", "notice", "ad", "form") if r.random() < 0.5)
     body = leaf("h1", 1, 2, 12, "") if r.random() < 0.85 else ""
     for _ in range(r.choice((0, 1, 2, 4, 8, 16))):
         if r.random() < 0.12:
             body += side(r.choice(("ad", "aside", "form", "notice", "nav")))
-        kind = r.choice("ppppppphlqtd")
+        kind = r.choice("pppppppphlqtdfgxb")
         if kind == "p":
             body += leaf("p", 1, 1, 120)
         elif kind == "h":
@@ -331,12 +351,21 @@ def training_page(r: random.Random) -> tuple[str, list[int]]:
             body += _element("blockquote", leaf("p", 1, 5, 40))
         elif kind == "t":
             body += "<table><tr>" + "".join(leaf("td", 1, 1, 4, "") for _ in range(3)) + "</tr></table>"
+        elif kind == "f":
+            body += "<figure><img src=x>" + leaf("figcaption", 1, 2, 20) + "</figure>"
+        elif kind == "g":
+            body += "<dl>" + "".join(leaf("dt", 1, 1, 3, "") + leaf("dd", 1, 3, 20) for _ in range(r.randint(1, 3))) + "</dl>"
+        elif kind == "x":
+            body += leaf("pre", 1, 2, 30, "")
+        elif kind == "b":  # text of no element of its own
+            labels.append(1)
+            body += f"<hr>{words(r.randint(4, 60))}.<hr>"
         else:
             body += leaf("div", 1, 5, 80)
     if r.random() < 0.1:
         body += side("comments")
-    page = before + _element(r.choice(MAIN), body)
-    page += "".join(side(k) for k in ("aside", "ad", "comments", "form", "footer") if r.random() < 0.5)
+    page = before + _element(main, body)
+    page += "".join(side(k, True) for k in ("aside", "ad", "comments", "form", "footer") if r.random() < 0.5)
     if r.random() < 0.4:
         page = _element(r.choice(FRAME), page)
     return f"<html><head><title>x</title></head><body>{page}</body></html>", labels
@@ -348,7 +377,7 @@ def _marked(labels: list[int], text: str) -> str:
 
 
 @functools.cache
-def trained(pages: int = 1200, epochs: int = 14, batch: int = 40, seed: int = 11) -> Labeller:
+def trained(pages: int = 2000, epochs: int = 14, batch: int = 40, seed: int = 11) -> Labeller:
     """Fit the labeller by Adam on `pages` pages made by rule; no row of the input is used, so it is the same for all inputs."""
     r = random.Random(seed)
     data = []

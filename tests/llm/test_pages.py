@@ -45,6 +45,39 @@ def test_extract_broken_markup(page):
     assert html_extract.extract(html_extract.trained(), [page]) == [WANT]
 
 
+STORY = "<h1>A Title</h1><p>The text of the story is here, and goes on.</p><p>It ends here.</p>"
+TOLD = "A Title\nThe text of the story is here, and goes on.\nIt ends here."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article>{STORY}<figure><img src=x><figcaption>A caption of it.</figcaption></figure></article><footer>&copy; us</footer></body>", f"{TOLD}\nA caption of it."),
+        ("<body><nav><a href=/>Home</a></nav><article><h1>Terms</h1><dl><dt>One</dt><dd>The first number.</dd><dt>Two</dt><dd>The second number.</dd></dl></article></body>", "Terms\nOne\nThe first number.\nTwo\nThe second number."),
+        ("<body><article><h1>A Title</h1><p>The code is this:</p><pre>x = 1\ny = 2</pre><p>It ends here.</p></article></body>", "A Title\nThe code is this:\nx = 1 y = 2\nIt ends here."),
+        ("<body><article><h1>A Title</h1>Text without any paragraph around it.<p>And one with.</p></article></body>", "A Title\nText without any paragraph around it.\nAnd one with."),
+        ("The plain sentence stands here alone.", "The plain sentence stands here alone."),
+        ("<html><body>Some bare text of a page. It has two sentences.</body></html>", "Some bare text of a page. It has two sentences."),
+        (f"<body><div class=rail><ul><li><a href=#>Other stories to read</a></li><li><a href=#>Another story</a></li></ul></div><article>{STORY}</article></body>", TOLD),
+        (f"<body><article>{STORY}</article><div class=userposts><h3>Comments</h3><p>I like this one.</p><p>Me too, thanks.</p></div></body>", TOLD),
+        (f"<body><article>{STORY}</article><div class=legalese>Copyright 2020 Story Press. All rights reserved.</div></body>", TOLD),
+        (f"<body><article>{STORY}</article><h3>Comments</h3><ul><li>I like this one.</li><li>Me too, thanks.</li></ul></body>", TOLD),
+        (f"<body><article>{STORY}</article><section><h2>Related</h2><ul><li><a href=#>One more thing</a></li><li><a href=#>Two things</a></li></ul></section></body>", TOLD),
+    ],
+)
+def test_extract_shapes(page, want):
+    """Captions, lists of terms, bare text, and parts outside the article whose names tell nothing."""
+    assert html_extract.extract(html_extract.trained(), [page]) == [want]
+
+
+def test_given_pages(spark):
+    """Every given page is its article element's blocks."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").toLocalIterator():
+        body = re.search(r"<article>(.*?)</article>", r.html, re.S)
+        want = "\n".join(t for _, t, _ in html_extract.blocks_of(body[1] if body else ""))
+        assert html_extract.extract(html_extract.trained(), [r.html]) == [want]
+
+
 def test_blocks_keep_fallbacks_and_formulas():
     texts = [t for _, t, _ in html_extract.blocks_of("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data=a><p>A chart of it.</p></object></article>")]
     assert texts == ["Let x=2 hold.", "A chart of it."]
