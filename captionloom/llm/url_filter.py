@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionloom.llm.common import LOWER, UPPER, cut
+from captionloom.llm.common import LOWER, UPPER, cut, per_salt, salt, salts_of
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path begins with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -108,12 +108,22 @@ def host_reputations(outcomes: DataFrame) -> DataFrame:
     return reputation_levels(outcomes)["host"].withColumnRenamed("key", "host")
 
 
+def _with_bound(rows: DataFrame, key: str, unit: str, known: DataFrame, name: str) -> DataFrame:
+    """rows with their key's `lower` of known (key, lower) as `name`, null where there is none. Keys meet known values once
+    each, and those go back by key and part, so the rows of no key meet in one task."""
+    dealt = rows.withColumn("_salt", salt(unit))
+    keys = dealt.groupBy(key).agg(salts_of("_salt").alias("_salts"))
+    found = keys.join(known.select(F.col("key").alias(key), F.col("lower").alias(name)), key)
+    return dealt.join(per_salt(found, "_salts", "_salt"), [key, "_salt"], "left").drop("_salt")
+
+
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, outcomes: DataFrame | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, lower) for every row of pages.
 
     Pages that a rule fits get its verdict. Others are blocked if their host's reputation bound reaches BOUND, else
     allowed; a host without labelled pages has the bound that its domain's pages give, else its suffix's, else all pages.
-    A host of any size is one row of the reputations; its pages meet them by a join that Spark splits or broadcasts by size.
+    Bounds are found once for each host, and go back to its pages by host and part: a host with a third of all pages, or a
+    suffix with a third of all hosts, is no task's alone.
     URLs without a host are allowed. outcomes (host, is_bad) are the labelled pages; by default they are the pages that a
     rule judged. Null URLs have an empty host and path.
     """
@@ -121,12 +131,14 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     seen = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     seen = seen.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select(id_col, "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
     labelled = outcomes if outcomes is not None else seen.where("verdict IS NOT NULL").select("host", (F.col("verdict") == "block").alias("is_bad"))
-    levels, both = reputation_levels(labelled), seen
-    for level, key in (("host", F.col("host")), ("domain", domain_of(F.col("host"))), ("suffix", suffix_of(F.col("host")))):
-        known = levels[level].select(F.col("key").alias(f"{level}_key"), F.col("lower").alias(f"{level}_lower"))
-        both = both.join(known, (F.col("host") != "") & (key == F.col(f"{level}_key")), "left")
+    levels = reputation_levels(labelled)
     rest = F.lit(levels["all"].first()["lower"])
-    both = both.withColumn("lower", F.when(F.col("host") != "", F.coalesce("host_lower", "domain_lower", "suffix_lower", rest)))
+    hosts = seen.where("host <> ''").select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    for key in ("domain", "suffix"):
+        hosts = _with_bound(hosts, key, "host", levels[key], f"{key}_lower")
+    own = levels["host"].select(F.col("key").alias("host"), F.col("lower").alias("own_lower"))
+    bounds = hosts.join(own, "host", "left").select(F.col("host").alias("key"), F.coalesce("own_lower", "domain_lower", "suffix_lower", rest).alias("lower"))
+    both = _with_bound(seen, "host", id_col, cut(bounds), "lower")
     by_host = F.when(F.col("lower") >= BOUND, "block").otherwise("allow")
     return both.select(id_col, "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), "lower")
 

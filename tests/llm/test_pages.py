@@ -174,6 +174,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.where("false")).count() == 0
 
 
+def test_a_host_with_most_pages(spark):
+    """One host in many parts, one domain with many hosts, ids that are null or repeat: every row has its host's bound."""
+    rows = [(k % 3000 or None, f"http://big.site.org/{k}") for k in range(9000)] + [(k, f"http://h{k}.site.org/x") for k in range(500)] + [(k, f"http://bad.net/es/{k}") for k in range(200)] + [(1, "http://bad.net/en/1"), (None, None)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    bounds = {h: {r.lower for r in got if r.host == h} for h in ("big.site.org", "h1.site.org", "h499.site.org", "bad.net")}
+    assert all(len(b) == 1 and None not in b for b in bounds.values()) and bounds["h1.site.org"] == bounds["h499.site.org"]
+    assert [r.verdict for r in got if r.path == "/en/1" and r.host == "bad.net"] == ["block"] and [r.lower for r in got if r.host == ""] == [None]
+
+
 def test_reputations(spark):
     rows = [("bad.x.aa", True)] * 40 + [("good.x.aa", False)] * 40 + [("one.y.aa", True)] + [("few.z.aa", False)] * 3 + [(f"h{k}.w.aa", k % 9 == 0) for k in range(60)]
     got = {r.host: r for r in url_filter.host_reputations(spark.createDataFrame(rows, "host string, is_bad boolean")).collect()}
