@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionloom.functions import ids, text
@@ -125,6 +125,61 @@ def overlap_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(_line_pairs(spark, sf_dir))
 
 
+OVERLAP_PACK_SQL = rf"""
+WITH plain AS (SELECT doc_id, i, t, lag(t) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
+  SELECT doc_id, i, regexp_replace(p[i], '^{SPACES}+|{SPACES}+$', '', 'g') AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\. |\n') AS p FROM documents))) WHERE t <> ''),
+rolled AS (SELECT doc_id, i, CASE WHEN before IS NULL THEN t ELSE array_to_string(b[greatest(len(b) - 3, 1) :], ' ') || ' ' || t END AS t FROM (SELECT *, list_filter(string_split_regex(before, '{SPACES}+'), lambda x: x <> '') AS b FROM plain)),
+cues AS (SELECT doc_id, list(struct_pack(t := t, w := list_filter(string_split_regex(t, '{SPACES}+'), lambda x: x <> ''), s := CAST(i - 1 AS DOUBLE), e := CAST(i AS DOUBLE)) ORDER BY i) AS cues FROM rolled GROUP BY doc_id),
+folded AS (SELECT doc_id, list_reduce(cues, lambda a, x: list_transform(list_transform(
+    [coalesce(list_filter(range(least(len(a.l), len(x.w), 30), 1, -1), lambda n: a.l[len(a.l) - n + 1 :] = x.w[1 : n])[1], 0)],
+    lambda n: struct_pack(t := CASE WHEN n = 0 THEN x.t ELSE array_to_string(x.w[n + 1 :], ' ') END, w := x.w[n + 1 :])),
+    lambda y: CASE WHEN y.t = '' THEN a
+         WHEN len(a.b) > 0 AND len(a.b) + 1 + len(y.t) <= 500 THEN struct_pack(done := a.done, b := a.b || ' ' || y.t, s := a.s, e := x.e, l := y.w)
+         WHEN len(y.t) >= 500 THEN struct_pack(done := list_append(CASE WHEN len(a.b) > 0 THEN list_append(a.done, struct_pack(t := a.b, s := a.s, e := a.e)) ELSE a.done END, struct_pack(t := y.t, s := x.s, e := x.e)), b := '', s := 0.0::DOUBLE, e := 0.0::DOUBLE, l := CASE WHEN len(a.b) > 0 THEN y.w ELSE []::VARCHAR[] END)
+         ELSE struct_pack(done := CASE WHEN len(a.b) > 0 THEN list_append(a.done, struct_pack(t := a.b, s := a.s, e := a.e)) ELSE a.done END, b := y.t, s := x.s, e := x.e, l := CASE WHEN len(a.b) > 0 THEN y.w ELSE a.l END) END)[1],
+    struct_pack(done := []::STRUCT(t VARCHAR, s DOUBLE, e DOUBLE)[], b := '', s := 0.0::DOUBLE, e := 0.0::DOUBLE, l := []::VARCHAR[])) AS a FROM cues),
+chunks AS (SELECT doc_id, CASE WHEN len(a.b) > 0 THEN list_append(a.done, struct_pack(t := a.b, s := a.s, e := a.e)) ELSE a.done END AS c FROM folded)
+SELECT CAST(doc_id AS VARCHAR) AS job_id, CAST(i - 1 AS INTEGER) AS chunk_no, c[i].t AS text, c[i].s AS time_from, c[i].e AS time_to FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM chunks)
+"""
+
+
+@query(OVERLAP_PACK_SQL)
+def pack_overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fold over cues that roll up: each begins with the last four words of the one before it, loses what it
+    repeats of the last one added, and is packed."""
+    cues = derived.sentences(spark, sf_dir).withColumn("text", text.strip(F.col("text"))).where("text <> ''")
+    before = text.tokens(F.lag("text").over(Window.partitionBy("job_id").orderBy("cue_no")))
+    tail = F.array_join(F.slice(before, F.greatest(F.size(before) - 3, F.lit(1)), F.lit(4)), " ")
+    return chunks.pack_chunks(cues.withColumn("text", F.concat_ws(" ", tail, "text")), normalized=True)
+
+
+def _sql_repeats(tokens: str) -> str:
+    """One row a text (id, w: its words) without immediate repeats of three, two and one words, three passes each."""
+    steps, last = [], tokens
+    for k, n in enumerate((3, 3, 3, 2, 2, 2, 1, 1, 1)):
+        same = lambda at: f"v[{at} : {at} + {n - 1}] = v[i : i + {n - 1}]"
+        steps.append(f"""p{k} AS (SELECT id, CASE WHEN len(list_filter(range(1, len(w) - {2 * n - 2}), lambda i: {same(f"i + {n}")})) = 0 THEN w ELSE list_reduce(range(1, len(w) + 1), lambda a, i:
+  CASE WHEN i < a.nxt THEN a
+       WHEN i + {2 * n - 1} <= len(w) AND {same(f"i + {n}")} THEN struct_pack(out := list_concat(a.out, w[i : i + {n - 1}]), nxt := i + {n} * coalesce(list_filter(range(2, len(w) // {n} + 2), lambda j: NOT ({same(f"i + {n} * j")}))[1], 1))
+       ELSE struct_pack(out := list_append(a.out, w[i]), nxt := i + 1) END, struct_pack(out := []::VARCHAR[], nxt := 1::BIGINT)).out END AS w FROM (SELECT id, w, list_transform(w, lambda x: lower(x)) AS v FROM {last}))""")
+        last = f"p{k}"
+    return ", ".join(steps)
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, i, p[i] AS t FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\. |
+') AS p FROM documents))),
+t AS (SELECT struct_pack(doc_id := doc_id, i := i) AS id, list_filter(string_split_regex(t, '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM c),
+{_sql_repeats("t")}
+SELECT CAST(id.doc_id AS VARCHAR) AS job_id, CAST(id.i - 1 AS INTEGER) AS cue_no, CAST(len(w) AS INTEGER) AS n_words, md5(array_to_string(w, ' ')) AS digest FROM p8
+""")
+def collapsed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of one to three words collapsed in the letters of every cue; without signs in them, words are what SQL can tell apart."""
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}]+", " "))
+    c = derived.sentences(spark, sf_dir).select("job_id", "cue_no", text.collapse_repeats(words).alias("t"))
+    return c.select("job_id", "cue_no", F.size(text.tokens(F.col("t"))).alias("n_words"), F.md5("t").alias("digest"))
+
+
 @query(ORACLES["overlap_of_lines"])
 def overlap_of_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """overlap_of_lines by its former name."""
