@@ -66,26 +66,26 @@ def unescape_html(c: Column) -> Column:
     return F.pandas_udf(_unescape, "string")(c)
 
 
-def _gram(words: str) -> str:
+def _gram(words: str, ascii_case: bool) -> str:
     # Words of a repeat are whole but for the first one's start and the last repeat's end, so nothing is tried twice.
-    return rf"(?iuU)\b(\S++{words})(?:\s++\1)+\b"
+    return rf"(?iU{'-u' if ascii_case else ''})\b(\S++{words})(?:\s++\1)+\b"
 
 
-def collapse_repeats(c: Column) -> Column:
+def collapse_repeats(c: Column, ascii_case: bool = False) -> Column:
     """Immediate repeats of three words, then two, then one become one; case doesn't count, the first spelling stays.
 
-    One look for any repeat spares most texts the nine replacements.
+    ascii_case: only the case of A to Z doesn't count. One look for any repeat spares most texts the nine replacements.
     """
     out = c
     for more in (r"\s++\S++\s++\S++", r"\s++\S++", ""):
         for _ in range(3):
-            out = F.regexp_replace(out, _gram(more), "$1")
-    return F.when(c.rlike(_gram(r"(?:\s++\S++){0,2}")), out).otherwise(c)
+            out = F.regexp_replace(out, _gram(more, ascii_case), "$1")
+    return F.when(c.rlike(_gram(r"(?:\s++\S++){0,2}", ascii_case)), out).otherwise(c)
 
 
-def cleaned(c: Column) -> Column:
+def cleaned(c: Column, ascii_case: bool = False) -> Column:
     """normalize_text() behind its first two steps: tags, white space and repeats of text whose entities are decoded."""
-    return collapse_repeats(collapse_ws(strip_tags(c)))
+    return collapse_repeats(collapse_ws(strip_tags(c)), ascii_case)
 
 
 def normalize_text(c: Column, entities: bool = True) -> Column:

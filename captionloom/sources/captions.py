@@ -80,16 +80,17 @@ def _timed_cues(content: Column, mark: str, blank: str, plain: Column | None, ea
     return _bound(F.transform(_lines(content), seen), cues)
 
 
-def vtt_cues(content: Column, normalize: str = "line", blank: str = "whitespace", plain: Column | None = None) -> Column:
+def vtt_cues(content: Column, normalize: str = "line", blank: str = "whitespace", plain: Column | None = None, ascii_case: bool = False) -> Column:
     """WebVTT cues. normalize: clean each line (equal neighbours in a cue become one) or the whole cue. blank: what ends a cue.
 
     plain: the lines with '\\N' as a space and entities decoded, null where a file has none (see plain_lines()).
+    ascii_case: see collapse_repeats().
     """
     spaced = lambda x: F.replace(x, F.lit("\\N"), F.lit(" ")) if plain is None else F.when(plain.isNull(), F.replace(x, F.lit("\\N"), F.lit(" "))).otherwise(x)
     if normalize == "line":
-        return _timed_cues(content, ".,", blank, plain, lambda x: cleaned(spaced(x)), True)
+        return _timed_cues(content, ".,", blank, plain, lambda x: cleaned(spaced(x), ascii_case), True)
     cues = _timed_cues(content, ".,", blank, plain, strip, False)
-    return F.filter(F.transform(cues, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), cleaned(spaced(c["text"])).alias("text"))), lambda c: c["text"] != "")
+    return F.filter(F.transform(cues, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), cleaned(spaced(c["text"]), ascii_case).alias("text"))), lambda c: c["text"] != "")
 
 
 def srt_cues(content: Column) -> Column:
@@ -193,12 +194,12 @@ def plain_lines(content: Column) -> Column:
 KINDS = {"vtt": "vtt", "srt": "srt", "json3": "json3", "ass": "ass", "ssa": "ass", "ttml": "ttml", "dfxp": "ttml", "xml": "ttml", "srv1": "timed", "srv2": "timed", "srv3": "timed"}
 
 
-def parse_captions(files: DataFrame, normalize: str = "line", blank: str = "whitespace") -> DataFrame:
+def parse_captions(files: DataFrame, normalize: str = "line", blank: str = "whitespace", ascii_case: bool = False) -> DataFrame:
     """(job_id, path, cue_no, start, end, text) of a table of caption files (job_id, path, ext, content).
 
     The parser goes by extension; an unknown one is read as WebVTT, and as SRT if that gives no cues. Files are read once
     and parsed in their row; the Python helpers get null for files that don't need them. Files without cues give no rows;
-    files_without_cues() lists them.
+    files_without_cues() lists them. normalize, blank and ascii_case are those of vtt_cues().
     """
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.lower("ext")], F.lit("unknown"))
     routed = files.select("job_id", "path", F.coalesce("content", F.lit("")).alias("content"), kind.alias("kind"))
@@ -208,7 +209,7 @@ def parse_captions(files: DataFrame, normalize: str = "line", blank: str = "whit
         "marked": F.pandas_udf(_xml_of, CUE_ARRAY)(F.when(kind.isin("ttml", "timed"), content), kind),
     })
     srt = srt_cues(content)
-    vtt = _bound(vtt_cues(content, normalize, blank, F.col("plain")), lambda v: F.when((kind == "unknown") & (F.size(v) == 0), srt).otherwise(v))
+    vtt = _bound(vtt_cues(content, normalize, blank, F.col("plain"), ascii_case), lambda v: F.when((kind == "unknown") & (F.size(v) == 0), srt).otherwise(v))
     cues = F.when(kind.isin("vtt", "unknown"), vtt).when(kind == "srt", srt).when(kind == "json3", json3_cues(content)).when(kind == "ass", ass_cues(content)).otherwise(F.col("marked"))
     out = helped.select("job_id", "path", F.posexplode(cues).alias("cue_no", "cue"))
     return out.select("job_id", "path", F.col("cue_no").cast("int").alias("cue_no"), "cue.start", "cue.end", "cue.text")

@@ -66,3 +66,14 @@ def test_overlap_of_all_lines(spark, tmp_path):
             cut = next((m for m in range(min(len(a), len(b), 30), 1, -1) if a[-m:] == b[:m]), 0)
             want[k, n] = hashlib.md5((" ".join(b[cut:]) if cut else cur).encode()).hexdigest()
     assert got == want
+
+
+def test_parsed_captions_of_hard_words(spark, tmp_path):
+    """Repeats in other letters' case are two words to SQL, and a cue may begin after ten hours."""
+    says = ["Ö ö eintz ein", "Èon èon onvi, Ñez ñez", "a Ö b A ö b a Ö b", "so So SO", None]
+    turns = [(c, t, "user", x) for c in range(6) for t, x in [*enumerate(says), (20_000, "late"), (20_001, "à À")]]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = plans.QUERIES["parsed_captions"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(plans.ORACLES["parsed_captions"]).df())
