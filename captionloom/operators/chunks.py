@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionloom.functions import batches
 from captionloom.functions.ids import chunk_id, coerce_source_id
 from captionloom.functions.schemas import CHUNK
 from captionloom.functions.text import normalize_text
@@ -68,7 +69,7 @@ def pack_chunks(cues: DataFrame, max_len: int = 500, overlap: bool = True, compa
     """(job_id, chunk_no, text, time_from, time_to) from cues (job_id, cue_no, start, end, text).
 
     Cleaning runs in the JVM; the fold is sequential in a job, so jobs are the unit of parallel work: cues meet by job
-    once, as one sorted array in a row, and Arrow batches of such rows are folded.
+    once, as one sorted array in a row, and Arrow batches of such rows are folded, some 20,000 cues at a time.
     """
     if max_len < 1:
         raise ValueError("max_len must be 1 or more")
@@ -78,18 +79,21 @@ def pack_chunks(cues: DataFrame, max_len: int = 500, overlap: bool = True, compa
     return pack_job_arrays(jobs, max_len, overlap, compare_first)
 
 
+CHUNK_TYPES = {"job_id": pa.string(), "chunk_no": pa.int32(), "text": pa.string(), "time_from": pa.float64(), "time_to": pa.float64()}
+
+
 def pack_job_arrays(jobs: DataFrame, max_len: int = 500, overlap: bool = True, compare_first: bool = False) -> DataFrame:
     """pack_chunks() for jobs whose cues are an array in their row already (as parsers give them): no shuffle at all."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(held: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in held for p in batches.parts(batch, "cues", batches.CUES)):
             out = []
-            for job, cues in zip(pdf["job_id"], pdf["cues"], strict=True):
-                rows = [(c["start"], c["end"], c["text"]) for c in cues if c["text"]]
-                out += [(job, k, *chunk) for k, chunk in enumerate(pack(rows, max_len, overlap, compare_first))]
-            yield pd.DataFrame(out, columns=["job_id", "chunk_no", "text", "time_from", "time_to"])
+            for job, cues in zip(part.column("job_id").to_pylist(), batches.cues_of(part.column("cues")), strict=True):
+                out += [(job, k, *chunk) for k, chunk in enumerate(pack([c for c in cues if c[2]], max_len, overlap, compare_first))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CHUNK_TYPES.values(), strict=True)], list(CHUNK_TYPES))
 
-    return jobs.select(F.col("job_id").cast("string").alias("job_id"), "cues").mapInPandas(run, CHUNK)
+    return jobs.select(F.col("job_id").cast("string").alias("job_id"), "cues").mapInArrow(run, CHUNK)
 
 
 def build_chunk_messages(chunks: DataFrame, jobs: DataFrame, default_user: str, created_at: Column | None = None, random_ids: bool = False) -> DataFrame:
