@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from captionloom.functions import batches
 from captionloom.functions.text import normalize_text
 from captionloom.operators.chunks import trimmed_overlap
 from captionloom.operators.stored import ranged, stored
@@ -18,6 +19,12 @@ SEGMENT = 20_000
 STATE = "struct<held:string,begin:double,end:double,last:string>"
 PIECE = "struct<text:string,time_from:double,time_to:double>"
 KEY = ["job_id", "seg"]
+#: The same as Arrow has them.
+STATE_TYPE = pa.struct([("held", pa.string()), ("begin", pa.float64()), ("end", pa.float64()), ("last", pa.string())])
+PIECES_TYPE = pa.list_(pa.struct([("text", pa.string()), ("time_from", pa.float64()), ("time_to", pa.float64())]))
+OWN = [("job_id", pa.string()), ("seg", pa.int64())]
+FIRST_TYPES = pa.schema([*OWN, ("chunks", PIECES_TYPE), ("state", STATE_TYPE)])
+AGAIN_TYPES = pa.schema([*OWN, ("start", STATE_TYPE), ("pre", PIECES_TYPE), ("skip", pa.int32()), ("end", STATE_TYPE)])
 
 
 class Fold:
@@ -85,33 +92,35 @@ def pack_long_jobs(cues: DataFrame, max_len: int = 500, overlap: bool = True, co
     began with each. Then each is folded again from where the one before it ended, only until that fold and the first agree
     (mostly at the next flush or the one after). A segment in which they never agree ends otherwise than it was taken to, so
     the next one is taken up again, until nothing changes: as many rounds as there are such segments in a row. No task holds
-    more than a segment; what a job's segments hand on is a row each. Results are those of the fold from beginning to end.
+    more than some segments of 20,000 cues in all, or one; what a job's segments hand on is a row each. Results are those of the fold from beginning to end.
     """
     if max_len < 1 or segment < 1:
         raise ValueError("max_len and segment must be 1 or more")
     options = (max_len, overlap, compare_first)
 
-    def from_nothing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def from_nothing(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in given for p in batches.parts(batch, "cues", batches.CUES)):
             rows = []
-            for job, seg, held in zip(pdf["job_id"], pdf["seg"], pdf["cues"], strict=True):
+            for job, seg, held in zip(part.column("job_id").to_pylist(), part.column("seg").to_pylist(), batches.cues_of(part.column("cues")), strict=True):
                 fold = Fold(*options)
-                chunks = [x for c in held for x in fold.add(c["start"], c["end"], c["text"])]
-                rows.append((job, seg, _dicts(chunks), fold.state()))
-            yield pd.DataFrame(rows, columns=["job_id", "seg", "chunks", "state"])
+                chunks = [x for c in held for x in fold.add(*c)]
+                rows.append({"job_id": job, "seg": seg, "chunks": _dicts(chunks), "state": fold.state()})
+            yield pa.RecordBatch.from_pylist(rows, FIRST_TYPES)
 
-    def from_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(job, seg, start, *caught_up(held, options, start)) for job, seg, held, start in zip(pdf["job_id"], pdf["seg"], pdf["cues"], pdf["start"], strict=True)]
-            out = pd.DataFrame(rows, columns=["job_id", "seg", "start", "pre", "skip", "end"])
-            yield out.assign(skip=out["skip"].astype("Int32"))
+    def from_before(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in given for p in batches.parts(batch, "cues", batches.CUES)):
+            rows = []
+            for job, seg, start, held in zip(*(part.column(c).to_pylist() for c in (*KEY, "start", "cues")), strict=True):
+                pre, skip, end = caught_up(held, options, start)
+                rows.append({"job_id": job, "seg": seg, "start": start, "pre": pre, "skip": skip, "end": end})
+            yield pa.RecordBatch.from_pylist(rows, AGAIN_TYPES)
 
     text = F.col("text") if normalized else normalize_text(F.col("text"))
     rows = cues.select(F.col("job_id").cast("string").alias("job_id"), "cue_no", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), text.alias("text")).where("text <> ''")
     place = F.row_number().over(Window.partitionBy("range", "job_id").orderBy("cue_no")) - 1
     cut = ranged(rows, "job_id", "cue_no").withColumn("seg", F.col("range").cast("long") * (1 << 32) + F.floor(place / segment))
     segments = stored(cut.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cue_no", "start", "end", "text"))).alias("cues")))
-    first = stored(segments.mapInPandas(from_nothing, f"job_id string, seg long, chunks array<{PIECE}>, state {STATE}"))
+    first = stored(segments.mapInArrow(from_nothing, f"job_id string, seg long, chunks array<{PIECE}>, state {STATE}"))
     along = Window.partitionBy("job_id").orderBy("seg")  # a row a segment
     now = first.select(*KEY, F.lit(None).cast(STATE).alias("start"), F.array().cast(f"array<{PIECE}>").alias("pre"), F.lit(0).alias("skip"), "state")
     while True:
@@ -119,7 +128,7 @@ def pack_long_jobs(cues: DataFrame, max_len: int = 500, overlap: bool = True, co
         due = stored(due.select(*KEY, F.col("due").alias("start")))
         if due.isEmpty():
             break
-        again = segments.join(due, KEY).mapInPandas(from_before, f"job_id string, seg long, start {STATE}, pre array<{PIECE}>, skip int, end {STATE}")
+        again = segments.join(due, KEY).mapInArrow(from_before, f"job_id string, seg long, start {STATE}, pre array<{PIECE}>, skip int, end {STATE}")
         again = again.join(first.select(*KEY, "state"), KEY).select(*KEY, "start", "pre", "skip", F.when(F.col("skip").isNull(), F.col("end")).otherwise(F.col("state")).alias("state"))
         now = stored(now.join(due, KEY, "left_anti").unionByName(again))
     rest = F.when(F.lead("seg").over(along).isNull() & (F.col("state.held") != ""), F.array(F.struct(F.col("state.held").alias("text"), F.col("state.begin").alias("time_from"), F.col("state.end").alias("time_to"))))
