@@ -6,12 +6,12 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from captionloom.functions import batches
 from captionloom.functions.text import prepare_text
 from captionloom.operators import grid
 
@@ -85,7 +85,7 @@ def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Enco
     """df with `vector` (unit length, array<float>) and `embed_error`; row order inside partitions stays.
 
     The encoder is made once per task and called on batches of texts of like length, of `batch` rows and about `chars`
-    characters with padding at most. A text that the encoder fails on has a null vector and the reason; the others of its
+    characters with padding at most, out of some 2 MB of texts or one that is longer. A text that the encoder fails on has a null vector and the reason; the others of its
     batch go on. Null texts count as empty.
     """
     make = make_encoder or hashed_words(dim)
@@ -93,19 +93,20 @@ def embed(df: DataFrame, text_col: str = "text", make_encoder: Callable[[], Enco
     fields = [T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields, strict=True)]
     schema = T.StructType([*fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("embed_error", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make()
-        for pdf in batches:
-            texts = pdf["prepared"].tolist()
+        for part in (p for b in given for p in batches.parts(b, "prepared", batches.TEXT)):
+            texts = part.column("prepared").to_pylist()
             found: list = [(None, None)] * len(texts)
             for rows in length_batches(np.array([len(t) for t in texts], np.int64), batch, chars):
                 for k, told in zip(rows, encoded(encode, [texts[k] for k in rows], dim), strict=True):
                     found[k] = told
-            yield pdf.drop(columns="prepared").assign(vector=pd.Series([v for v, _ in found], index=pdf.index, dtype=object), embed_error=pd.Series([e for _, e in found], index=pdf.index, dtype=object))
+            made = [pa.array([v for v, _ in found], pa.list_(pa.float32())), pa.array([e for _, e in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in plain), *made], [*plain, "vector", "embed_error"])
 
     held = df.toDF(*plain)
     text = F.col(plain[df.columns.index(text_col)])
-    return held.withColumn("prepared", prepare_text(F.coalesce(text, F.lit("")))).mapInPandas(run, schema).toDF(*df.columns, "vector", "embed_error")
+    return held.withColumn("prepared", prepare_text(F.coalesce(text, F.lit("")))).mapInArrow(run, schema).toDF(*df.columns, "vector", "embed_error")
 
 
 def embedded_items(messages: DataFrame, model: str) -> DataFrame:
