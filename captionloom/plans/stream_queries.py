@@ -93,16 +93,26 @@ def stream_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, events: DataFrame, at: str, when, thirds: int = 3) -> DataFrame:
-    """Events as a stream of a file a trigger, in the order of `when` (seconds), and behind them a tick far ahead, of a job
-    of its own, which moves the watermark over all of them."""
+    """Events as a stream of equal parts, one a trigger, in the order of `when` (seconds), and behind them a tick far ahead,
+    of a job of its own, which moves the watermark over all of them. All parts have the same number of files, so that a
+    trigger takes one part, and all cores write and read it."""
     timed = events.withColumns({"ts": F.col("ts").cast("timestamp"), "_when": when.cast("double")})
     low, high = timed.agg(F.min("_when"), F.max("_when")).first()
     part = F.least(F.lit(thirds - 1), F.floor((F.col("_when") - F.lit(low)) * thirds / F.lit(max(1.0, (high or 0) - (low or 0))))).cast("int")
     tick = timed.agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts")).withColumns({"_part": F.lit(thirds), "event_id": F.lit(-1).cast("long"), **({"job_id": F.lit("tick")} if "job_id" in events.columns else {})})
     dealt = timed.withColumn("_part", part).drop("_when").unionByName(tick, allowMissingColumns=True)
+    files = _files_a_part(timed, part, thirds)
     for k in range(thirds + 1):  # one after the other: files are read by their age
-        dealt.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(dealt.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(at)
+        dealt.where(F.col("_part") == k).drop("_part").repartition(files if k < thirds else 1).write.mode("append").parquet(at)
+    return spark.readStream.schema(dealt.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(at)
+
+
+def _files_a_part(rows: DataFrame, part: Column, parts: int) -> int:
+    """As many files as shuffles have partitions, or as few as no part leaves empty: rows are dealt in turn, so a split with
+    as many rows of a part as there are files fills them all."""
+    held = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = min(held.get(k, 0) for k in range(parts))
+    return max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), least // max(1, rows.rdd.getNumPartitions())))
 
 
 def _arrival() -> Column:

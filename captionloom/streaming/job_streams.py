@@ -8,8 +8,7 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -61,17 +60,19 @@ class Status(StatefulProcessor):
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  Spark's names
         self.held.update((True, None, *[None] * 9))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         held = list(self.held.get() or (False, None, *[None] * 9))
-        before, events = list(held), pd.concat(list(rows))
-        held[0] |= not self.only_known or bool((events["type"] == "job").any())
+        before, events = list(held), list(rows)
+        held[0] |= not self.only_known or any(e["type"] == "job" for e in events)
         if not held[0]:
             return
-        for e in events[events["type"] == "state"].itertuples(index=False):
+        for e in events:
+            if e["type"] != "state":
+                continue
             for k, name in enumerate(self.FIELDS):
-                value, at = getattr(e, name), 2 + 3 * k
-                if isinstance(value, str) and (held[at] is None or (e.at, e.event_id) > (held[at + 1], held[at + 2])):
-                    held[at : at + 3] = value, int(e.at), int(e.event_id)
+                value, at = e[name], 2 + 3 * k
+                if value is not None and (held[at] is None or (e["at"], e["event_id"]) > (held[at + 1], held[at + 2])):
+                    held[at : at + 3] = value, e["at"], e["event_id"]
         if held == before:
             return
         due = held[3] // 1000 + self.keep_ms if held[2] in TERMINAL else None
@@ -83,9 +84,9 @@ class Status(StatefulProcessor):
             held[1] = due
         self.held.update(tuple(held))
         if held[2:] != before[2:]:
-            yield pd.DataFrame({"job_id": [key[0]], "state": [held[2]], "detail": [held[5]], "error": [held[8]]})
+            yield Row(job_id=key[0], state=held[2], detail=held[5], error=held[8])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         self.held.clear()
         return iter(())
 
@@ -107,7 +108,7 @@ def job_status_stream(events: DataFrame, out: str, checkpoint: str, jobs: DataFr
     wanted = events.where("job_id IS NOT NULL AND type IN ('state', 'job')").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     typed = wanted.select("job_id", "ts", "event_id", "type", _micros().alias("at"), data.alias("d")).where("type = 'job' OR (at IS NOT NULL AND event_id IS NOT NULL)").select("job_id", "ts", "event_id", "type", "at", state.alias("state"), "d.detail", "d.error")
     known = jobs.select("job_id").distinct().groupBy("job_id") if jobs is not None else None
-    told = typed.groupBy("job_id").transformWithStateInPandas(Status(1000 * keep_seconds, jobs is not None), "job_id string, state string, detail string, error string", "update", "eventTime", initialState=known)
+    told = typed.groupBy("job_id").transformWithState(Status(1000 * keep_seconds, jobs is not None), "job_id string, state string, detail string, error string", "update", "eventTime", initialState=known)
     return _batches_to(told, out, checkpoint, "update", trigger)
 
 
@@ -120,41 +121,43 @@ def live_status(spark: SparkSession, out: str) -> DataFrame:
 class Feed(StatefulProcessor):
     """Events of a job that wait for the watermark, and how many went out; see job_events_stream()."""
 
-    COLUMNS = ("job_id", "pos", "seq", "type", "data", "at")
+    OUT = Row("job_id", "pos", "seq", "type", "data", "at")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sent = handle.getValueState("sent", "n long, snapshot string, timer long")
         self.waiting = handle.getListState("waiting", "at long, seq long, type string, data string")
 
-    def _wake(self, sent: tuple, due: int | None) -> None:
+    def _wake(self, sent: tuple, due: int | None, known: bool = False) -> None:
+        """sent as state, with a timer at due if none comes before it; nothing is written where the state is known to be that."""
         if due is not None and (sent[2] is None or due < sent[2]):
             if sent[2] is not None:
                 self.handle.deleteTimer(sent[2])
             self.handle.registerTimer(due)
-            sent = (*sent[:2], due)
-        self.sent.update(sent)
+            sent, known = (*sent[:2], due), False
+        if not known:
+            self.sent.update(sent)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self._wake((0, initialState["snapshot"].iloc[0], None), 1)
+        self._wake((0, initialState["snapshot"], None), 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        more = [(int(r.at), int(r.seq), r.type, r.data) for batch in rows for r in batch.itertuples(index=False)]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        more = [(r["at"], r["seq"], r["type"], r["data"]) for r in rows]
         self.waiting.appendList(more)
-        self._wake(self.sent.get() or (0, None, None), min(m[0] for m in more) // 1000 + 1)
+        sent = self.sent.get()
+        self._wake(sent or (0, None, None), min(m[0] for m in more) // 1000 + 1, sent is not None)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         n, snapshot, _ = self.sent.get()
         passed = 1000 * timerValues.getCurrentWatermarkInMs()
         held = sorted(self.waiting.get(), key=lambda x: x[:2])
         ready = [x for x in held if x[0] <= passed]
-        out = [(key[0], 0, 0, "state", snapshot, None)] if snapshot is not None else []
-        out += [(key[0], n + k, seq, kind, data, at) for k, (at, seq, kind, data) in enumerate(ready, 1)]
+        out = [self.OUT(key[0], 0, 0, "state", snapshot, None)] if snapshot is not None else []
+        out += [self.OUT(key[0], n + k, seq, kind, data, at) for k, (at, seq, kind, data) in enumerate(ready, 1)]
         self.waiting.clear() if len(ready) == len(held) else self.waiting.put(held[len(ready) :])
         self._wake((n + len(ready), None, None), held[len(ready)][0] // 1000 + 1 if len(ready) < len(held) else None)
-        if out:
-            yield pd.DataFrame({c: pd.Series([r[k] for r in out], dtype="Int64" if c in ("pos", "seq", "at") else object) for k, c in enumerate(self.COLUMNS)})
+        yield from out
 
     def close(self) -> None:
         pass
@@ -172,7 +175,7 @@ def job_events_stream(events: DataFrame, snapshot: DataFrame, out: str, checkpoi
     start = snapshot.select("job_id", F.to_json(F.struct("state", "detail", "error")).alias("snapshot"))
     timed = events.where("job_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     rows = timed.select("job_id", "ts", _micros().alias("at"), F.col("event_id").cast("long").alias("seq"), "type", "data")
-    fed = rows.groupBy("job_id").transformWithStateInPandas(Feed(), "job_id string, pos long, seq long, type string, data string, at long", "append", "eventTime", initialState=start.groupBy("job_id"))
+    fed = rows.groupBy("job_id").transformWithState(Feed(), "job_id string, pos long, seq long, type string, data string, at long", "append", "eventTime", initialState=start.groupBy("job_id"))
     return _batches_to(fed.select("job_id", "pos", "seq", "type", "data", F.timestamp_micros("at").alias("ts")), out, checkpoint, "append", trigger)
 
 

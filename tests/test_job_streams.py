@@ -93,3 +93,54 @@ def test_windows_close_once_without_late_and_doubled_events(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.start, r.processed, r.failed) for r in got) == [(START + datetime.timedelta(hours=h), 60, 30) for h in range(4)]
     assert job_streams.counted(q) == {"arrived": 240 + 20 + 10 + 2 + 1, "taken": 241, "late": 2, "doubled": 30}
+
+
+def test_parts_of_equal_files(spark, tmp_path):
+    """Each part of arriving events has the same number of files, written by all cores, and every event lies in its part."""
+    from captionloom.plans import stream_queries
+
+    rows = [event(k, k, f"j{k % 7}", "log") for k in range(300)]
+    events = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    s = stream_queries._arriving(spark, events, str(tmp_path / "in"), F.unix_seconds("ts"))
+    files = sorted((p.stat().st_mtime_ns, str(p)) for p in (tmp_path / "in").glob("*.parquet"))
+    assert s.isStreaming and len(files) == 3 * 4 + 1
+    for k in range(3):
+        held = spark.read.parquet(*[p for _, p in files[4 * k : 4 * k + 4]])
+        assert held.count() == held.where(F.floor(F.col("event_id") * 3 / 299) == k).count() + (k == 2)
+
+
+class Kept:
+    """A state and a handle that count what is written."""
+
+    def __init__(self, value=None):
+        self.value, self.writes, self.items, self.timers = value, 0, [], []
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.writes = value, self.writes + 1
+
+    def appendList(self, items):  # noqa: N802
+        self.items += items
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_feed_takes_rows():
+    """Events come as rows, not as a pandas frame a job; a state that stays as it is is not written again."""
+    feed = job_streams.Feed()
+    feed.sent, feed.waiting, feed.handle = Kept(), Kept(), Kept()
+    row = job_streams.Row("at", "seq", "type", "data")
+    assert not list(feed.handleInputRows(("j",), iter([row(5000, 1, "log", "{}")]), None))
+    assert not list(feed.handleInputRows(("j",), iter([row(9000, 2, "log", None), row(7000, 3, "log", "{}")]), None))
+    assert feed.sent.writes == 1 and feed.handle.timers == [6] and feed.waiting.items == [(5000, 1, "log", "{}"), (9000, 2, "log", None), (7000, 3, "log", "{}")]
+
+
+def test_status_takes_rows():
+    status = job_streams.Status(1000, False)
+    status.held, status.handle = Kept(), Kept()
+    row = job_streams.Row("type", "at", "event_id", "state", "detail", "error")
+    rows = [row("state", 5, 1, "running", None, None), row("log", 9, 9, "lost", None, None), row("state", 4, 2, "queued", "d", None)]
+    assert [tuple(r) for r in status.handleInputRows(("j",), iter(rows), None)] == [("j", "running", "d", None)]
