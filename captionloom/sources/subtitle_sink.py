@@ -109,12 +109,17 @@ class SubtitleWriter(DataSourceWriter):
             for info in store.get_file_info(fs.FileSelector(at)):
                 if not info.base_name.startswith("_staged-"):
                     store.delete_dir(info.path) if info.type == fs.FileType.Directory else store.delete_file(info.path)
+        there = {info.base_name for info in store.get_file_info(fs.FileSelector(at))}
         for name in (x for m in done for x in m.names):
             if self.archive:
                 for end in (".index.json", ".zip"):
                     store.move(f"{self._staging(at)}/{name}{end}", f"{at}/{name}{end}")
                 continue
             for job in store.get_file_info(fs.FileSelector(f"{self._staging(at)}/{name}")):
+                if isinstance(store, fs.LocalFileSystem) and job.base_name not in there:  # a new job's folder moves as it is
+                    store.move(job.path, f"{at}/{job.base_name}")
+                    there.add(job.base_name)
+                    continue
                 store.create_dir(f"{at}/{job.base_name}")
                 for file in store.get_file_info(fs.FileSelector(job.path)):
                     store.move(file.path, f"{at}/{job.base_name}/{file.base_name}")

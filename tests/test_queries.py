@@ -77,3 +77,9 @@ def test_parsed_captions_of_hard_words(spark, tmp_path):
     c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     got = plans.QUERIES["parsed_captions"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(c.sql(plans.ORACLES["parsed_captions"]).df())
+
+
+def test_caption_files_lie_under_their_jobs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(plans.derived, "folder", lambda _: str(tmp_path / "out"))
+    jobs = {r.job_id for r in plans.QUERIES["caption_files"](spark, SF).collect()}
+    assert {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.*")} >= {f"{j}/en.vtt" for j in jobs}
