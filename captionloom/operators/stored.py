@@ -18,10 +18,10 @@ def folder(spark: SparkSession, under: str = "steps") -> str:
     return f"{(at or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{under}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table and read back: it is computed once, and a lost executor costs a reread."""
-    at = folder(df.sparkSession)
-    df.write.parquet(at)
+def stored(df: DataFrame, at: str | None = None) -> DataFrame:
+    """df written as a table (into folder `at`, or a new one) and read back: it is computed once, and a lost executor costs a reread."""
+    at = at or folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -1,6 +1,7 @@
 """Folds started at several places give what the fold from beginning to end gives."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,33 @@ def test_one_long_job(spark):
     got = long_jobs.pack_long_jobs(df, normalized=True, segment=5_000).orderBy("chunk_no").collect()
     job = [(r.start, r.end, r.text) for r in df.collect()]
     assert [(r.text, r.time_from, r.time_to) for r in got] == list(chunks.pack(job, 500)) and [r.chunk_no for r in got] == list(range(len(got)))
+
+
+def spanning_jobs(spark):
+    """Jobs of all kinds and more ranges than jobs, so that most ranges begin in the middle of a job; one job has no name."""
+    r = random.Random(21)
+    jobs = {f"{kind}{n}": some_job(r, n, kind) for kind in ("short", "large", "rolling", "lockstep") for n in (1, 40, 300)} | {None: some_job(r, 60, "short")}
+    rows = [(j, k, *c) for j, job in jobs.items() for k, c in enumerate(job)]
+    r.shuffle(rows)
+    return jobs, spark.createDataFrame(rows, "job_id string, cue_no int, start double, end double, text string").repartition(3)
+
+
+@pytest.mark.parametrize("options", [(41, True, False), (41, True, True), (60, False, False), (1, True, False)])
+@pytest.mark.parametrize("segment", [4, 1_000])
+def test_jobs_over_many_ranges(spark, options, segment):
+    jobs, df = spanning_jobs(spark)
+    got = long_jobs.pack_long_jobs(df, *options, normalized=True, segment=segment, ranges=23).collect()
+    for j, job in jobs.items():
+        mine = sorted((x.chunk_no, x.text, x.time_from, x.time_to) for x in got if x.job_id == j)
+        assert mine == [(k, *c) for k, c in enumerate(chunks.pack(job, *options))], j
+
+
+def test_disk_of_short_segments(spark):
+    """What is written on the way, shuffles and all, is a few times the cues, however short the segments are."""
+    words = F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(k)))) for k in range(3)])
+    df = spark.range(60_000).select((F.col("id") % 100).cast("string").alias("job_id"), F.col("id").alias("cue_no"), F.col("id").cast("double").alias("start"), (F.col("id") + 1).cast("double").alias("end"), words.alias("text"))
+    at = Path(spark.conf.get("spark.checkpoint.dir")).parent
+    size = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = size()
+    n = long_jobs.pack_long_jobs(df, overlap=False, normalized=True, segment=100).count()
+    assert n == 12_000 and size() - before < 4 * 60_000 * 98
